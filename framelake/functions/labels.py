@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.plans.small import literal_table
+
 # Shape class ids with their display names.
 SHAPE_NAMES = {
     "triangular_prism": "三棱柱",
@@ -113,7 +115,8 @@ def composition_summary(entries: Column) -> Column:
 
 def registry_frame(spark: SparkSession, classes: Sequence[tuple[str, str, str, Sequence[str], bool]]) -> DataFrame:
     """Registry table from (id, name, family, aliases, enabled) tuples."""
-    return spark.createDataFrame(
+    return literal_table(
+        spark,
         [(a, b, c, list(d), e) for a, b, c, d, e in classes],
         "class_id string, name string, family string, aliases array<string>, enabled boolean",
     )

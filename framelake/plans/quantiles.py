@@ -108,10 +108,9 @@ def medians(df: DataFrame, keys: Sequence[str], value: Column, name: str = "medi
 def mad(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
     """Median and median absolute deviation per key, in two passes."""
     keys = list(keys)
-    centre = medians(df, keys, value, "median")
-    base = df.select(*keys, value.alias("__x"))
-    paired = base.join(centre, keys) if keys else base.join(F.broadcast(centre), F.lit(True))
-    spread = medians(paired, keys, F.abs(F.col("__x") - F.col("median")), "mad")
-    if keys:
-        return centre.join(spread, keys)
-    return centre.join(F.broadcast(spread), F.lit(True))
+    group = keys or ["__all"]
+    named = [F.col(k) for k in keys] or [F.lit(0).alias("__all")]
+    base = df.select(*named, value.alias("__x"))
+    centre = medians(base, group, F.col("__x"), "median")
+    spread = medians(base.join(centre, group), group, F.abs(F.col("__x") - F.col("median")), "mad")
+    return centre.join(spread, group).select(*keys, "median", "mad")
