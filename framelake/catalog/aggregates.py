@@ -481,7 +481,7 @@ DEPTH_QUALITY_SQL = """c AS (SELECT * FROM grid WHERE u BETWEEN 8 AND 31 AND v B
   d AS (SELECT a.frame_id, k.s, abs(a.depth - b.depth) AS d FROM c a, (VALUES (1, 1, 0), (1, 0, 1), (3, 3, 0), (3, 0, 3)) k(s, du, dv), c b
     WHERE a.frame_id = b.frame_id AND b.u = a.u + k.du AND b.v = a.v + k.dv),
   n AS (SELECT frame_id, quantile_cont(d, 0.95) FILTER (s = 1) AS p1, quantile_cont(d, 0.95) FILTER (s = 3) AS p3,
-    count(*) FILTER (s = 1 AND d = 0) / count(*) FILTER (s = 1) AS same FROM d WHERE d <= 10 GROUP BY 1),
+    count(*) FILTER (s = 1 AND d = 0) / nullif(count(*) FILTER (s = 1), 0) AS same FROM d WHERE d <= 10 GROUP BY 1),
   g AS (SELECT frame_id, count(*) * 100.0::DOUBLE / 1600 AS valid, count(*) FILTER (u BETWEEN 8 AND 31 AND v BETWEEN 8 AND 31) * 100.0::DOUBLE / 576 AS centre,
     min(depth) AS lo, median(depth) AS me, max(depth) AS hi FROM grid GROUP BY 1),
   q AS (SELECT frame_id, round(valid, 4) AS valid_percent, round(centre, 4) AS center_valid_percent, round(p1, 4) AS difference_p95,
