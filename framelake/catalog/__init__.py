@@ -1,6 +1,6 @@
 """Checked queries, one module per family."""
 
-from framelake.catalog import aggregates, joins, projections  # noqa: F401
+from framelake.catalog import aggregates, joins, projections, windows  # noqa: F401
 from framelake.catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -173,7 +173,7 @@ def _(spark, sf):
 
 @query(
     "join7_complete_frozen",
-    """SELECT doc_id AS sample, lang AS truth, coalesce(CASE WHEN quality = 1 THEN lang ELSE 'xx' END, 'unknown') AS prediction, coalesce(toxic = 0, false) AS accepted
+    """SELECT doc_id AS sample, lang AS truth, CASE WHEN quality IS NULL THEN 'unknown' WHEN quality = 1 THEN lang ELSE 'xx' END AS prediction, coalesce(toxic = 0, false) AS accepted
      FROM documents LEFT JOIN labels USING (doc_id)""",
 )
 def _(spark, sf):
