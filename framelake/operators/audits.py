@@ -228,3 +228,18 @@ def view_signature(corners: Column) -> Column:
         F.ln(F.greatest(area, F.lit(1.0))).alias("log_area"),
         F.atan2(second["y"] - first["y"], second["x"] - first["x"]).alias("angle"),
     )
+
+
+def canonical_scores(df: DataFrame, key: str, scores: str, aliases: DataFrame) -> DataFrame:
+    """Score maps with labels resolved by the registry; unknown labels stay and duplicates are summed."""
+    from framelake.functions.labels import alias_key
+
+    names = aliases.filter("enabled").select("alias_key", "class_id")
+    long = df.select(key, F.explode(scores).alias("label", "p")).withColumn("alias_key", alias_key(F.col("label")))
+    resolved = long.join(names, "alias_key", "left").withColumn("label", F.coalesce("class_id", "label"))
+    return resolved.groupBy(key, "label").agg(F.sum("p").alias("p"))
+
+
+def scores_to_map(long: DataFrame, key: str) -> DataFrame:
+    """Back to one map per key (a score map has one entry per class)."""
+    return long.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "p")))).alias("scores"))
