@@ -19,6 +19,8 @@ def with_views(sql: str, views: tuple[str, ...]) -> str:
     if not views:
         return body
     head = ", ".join(f"{name} AS ({SQL_VIEWS[name]})" for name in views)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {head}, {body[5:]}"
     return f"WITH {head} {body}"

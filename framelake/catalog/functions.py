@@ -240,8 +240,8 @@ def _(spark, sf):
 
 @query(
     "fn11_side_quality",
-    """SELECT frame_id, object_id, round(CASE WHEN truth = 'R' THEN 0 ELSE least(confidence, least(1, w * 4 / 120), least(1, price / 2000 / 35), least(1, (1 - tax * 6) / 0.65)) END, 6) AS quality,
-     round(least(1, 0.45 * least(1, w / 10000 / 0.003) + 0.35 * least(1, price / 700 / 120) + 0.2 * confidence), 6) AS quality_weighted FROM det""",
+    """SELECT frame_id, object_id, round(CASE WHEN truth = 'R' THEN 0 ELSE least(confidence, least(1, w * 4 / 120), least(1, price / 2111 / 35), least(1, (1 - tax * 6) / 0.65)) END, 6) AS quality,
+     round(least(1, 0.45 * least(1, w / 10000 / 0.003) + 0.35 * least(1, price / 713 / 120) + 0.2 * confidence), 6) AS quality_weighted FROM det""",
     "det",
 )
 def _(spark, sf):
@@ -249,14 +249,14 @@ def _(spark, sf):
     reason = F.when(c("truth") == "R", "ambiguous").otherwise("accepted")
     return detections(spark, sf).select(
         "frame_id", "object_id",
-        F.round(G.side_quality(c("confidence"), c("w") * 4, c("price") / 2000, 1 - c("tax") * 6, reason), 6).alias("quality"),
-        F.round(G.side_quality_weighted(c("w") / 10000, c("price") / 700, c("confidence")), 6).alias("quality_weighted"),
+        F.round(G.side_quality(c("confidence"), c("w") * 4, c("price") / 2111, 1 - c("tax") * 6, reason), 6).alias("quality"),
+        F.round(G.side_quality_weighted(c("w") / 10000, c("price") / 713, c("confidence")), 6).alias("quality_weighted"),
     )
 
 
 @query(
     "fn12_grasp_score",
-    """SELECT frame_id, object_id, round(0.35 * greatest(0, 1 - tax * 20 / 1.2) + 0.25 * greatest(0, 1 - w / 35) + 0.2 * confidence + 0.2 * greatest(0, least(1, (price / 8000 - 7.5) / 6)), 6) AS score,
+    """SELECT frame_id, object_id, round(0.35 * greatest(0, 1 - tax * 20 / 1.2) + 0.25 * greatest(0, 1 - w / 35) + 0.2 * confidence + 0.2 * greatest(0, least(1, (price / 8013 - 7.5) / 6)), 6) AS score,
      tax * 20 <= 1.2 AND w <= 35 AND confidence >= 0.9 AS allowed FROM det""",
     "det",
 )
@@ -264,7 +264,7 @@ def _(spark, sf):
     c = F.col
     return detections(spark, sf).select(
         "frame_id", "object_id",
-        F.round(G.grasp_score(c("tax") * 20, c("w"), c("confidence"), c("price") / 8000), 6).alias("score"),
+        F.round(G.grasp_score(c("tax") * 20, c("w"), c("confidence"), c("price") / 8013), 6).alias("score"),
         G.grasp_allowed(c("tax") * 20, c("w"), c("confidence")).alias("allowed"),
     )
 

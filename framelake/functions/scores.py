@@ -15,6 +15,15 @@ from framelake.functions.numeric import clip, truth
 FUSION_METHODS = ("probability_sum", "log_product", "top2_logistic", "evidence_adaptive")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once.
+
+    A column used inside a lambda, or several times by array functions, is otherwise computed anew at each
+    use, which multiplies with nesting.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -24,68 +33,94 @@ def _mean(values: Column) -> Column:
 
 
 def _std(values: Column) -> Column:
-    centre = _mean(values)
-    return F.sqrt(_mean(F.transform(values, lambda x: (x - centre) * (x - centre))))
+    return let(_mean(values), lambda m: F.sqrt(_mean(F.transform(values, lambda x: (x - m) * (x - m)))))
 
 
 def array_median(values: Column) -> Column:
-    ordered = F.array_sort(values)
-    size = F.size(values)
-    low = F.get(ordered, F.floor((size - 1) / 2).cast("int"))
-    high = F.get(ordered, F.floor(size / 2).cast("int"))
-    return (low + high) / 2.0
+    def middle(ordered: Column) -> Column:
+        size = F.size(ordered)
+        low, high = F.floor((size - 1) / 2).cast("int"), F.floor(size / 2).cast("int")
+        return (F.get(ordered, low) + F.get(ordered, high)) / 2.0
+
+    return let(F.array_sort(values), middle)
+
+
+def _nothing(scores: Column) -> Column:
+    return F.map_filter(scores, lambda k, v: F.lit(False))
 
 
 def normalize_scores(scores: Column) -> Column:
-    positive = F.transform_values(scores, lambda _, v: F.greatest(F.lit(0.0), v))
-    total = _total(F.map_values(positive))
-    empty = F.map_filter(scores, lambda k, v: F.lit(False))
-    return F.when(total > 0, F.transform_values(positive, lambda _, v: v / total)).otherwise(empty)
+    def shares(positive: Column) -> Column:
+        return let(
+            _total(F.map_values(positive)),
+            lambda total: F.when(total > 0, F.transform_values(positive, lambda _, v: v / total)).otherwise(
+                _nothing(positive)
+            ),
+        )
+
+    return let(F.transform_values(scores, lambda _, v: F.greatest(F.lit(0.0), v)), shares)
 
 
 def temperature_scale(scores: Column, temperature: Column | float) -> Column:
     heat = F.lit(float(temperature)) if isinstance(temperature, (int, float)) else temperature
     power = F.lit(1.0) / F.greatest(heat, F.lit(1e-3))
-    softened = F.transform_values(
-        normalize_scores(scores), lambda _, v: F.pow(F.greatest(v, F.lit(1e-9)), power)
+    return normalize_scores(
+        F.transform_values(normalize_scores(scores), lambda _, v: F.pow(F.greatest(v, F.lit(1e-9)), power))
     )
-    return normalize_scores(softened)
 
 
-def _softmax(distances: Column, filled: Column, scale: Column) -> Column:
-    lowest = F.array_min(filled)
-    weights = F.transform(filled, lambda d: F.exp(-(d - lowest) / scale))
-    total = F.greatest(_total(weights), F.lit(1e-12))
-    keys = F.map_keys(distances)
-    return F.map_from_arrays(keys, F.transform(weights, lambda w: w / total))
+def _softmax(keys: Column, filled: Column, scale: Column) -> Column:
+    weights = let(
+        F.array_min(filled), lambda low: let(scale, lambda s: F.transform(filled, lambda d: F.exp(-(d - low) / s)))
+    )
+    return let(
+        weights,
+        lambda w: let(
+            F.greatest(_total(w), F.lit(1e-12)), lambda t: F.map_from_arrays(keys, F.transform(w, lambda x: x / t))
+        ),
+    )
 
 
 def _finite(values: Column) -> Column:
     return F.filter(values, lambda d: d.isNotNull() & ~F.isnan(d) & (F.abs(d) < float("inf")))
 
 
+def _filled(distances: Column, ceiling: Callable[[Column], Column], body: Callable[[Column], Column]) -> Column:
+    """``body`` of the distance array with gaps replaced by a ceiling over the finite ones."""
+    values = F.map_values(distances)
+    return let(
+        ceiling(_finite(values)),
+        lambda top: let(
+            F.transform(values, lambda d: F.when(truth(F.abs(d) < float("inf")), d).otherwise(top)), body
+        ),
+    )
+
+
 def softmax_mad(distances: Column, temperature: float = 1.0) -> Column:
     """Distances to probabilities; scale is the median absolute deviation, at least 0.05.
 
     A class without a distance gets the largest one plus four standard deviations (at least four).
     """
-    values = F.map_values(distances)
-    finite = _finite(values)
-    ceiling = F.array_max(finite) + F.greatest(_std(finite), F.lit(1.0)) * 4.0
-    filled = F.transform(values, lambda d: F.when(truth(F.abs(d) < float("inf")), d).otherwise(ceiling))
-    centre = array_median(filled)
-    spread = array_median(F.transform(filled, lambda d: F.abs(d - centre)))
-    scale = F.greatest(spread, F.lit(0.05)) * max(float(temperature), 1e-3)
-    empty = F.map_filter(distances, lambda k, v: F.lit(False))
-    return F.when(F.size(finite) > 0, _softmax(distances, filled, scale)).otherwise(empty)
+    heat = max(float(temperature), 1e-3)
+
+    def ceiling(finite: Column) -> Column:
+        return F.array_max(finite) + F.greatest(_std(finite), F.lit(1.0)) * 4.0
+
+    def body(filled: Column) -> Column:
+        spread = let(array_median(filled), lambda m: array_median(F.transform(filled, lambda d: F.abs(d - m))))
+        return _softmax(F.map_keys(distances), filled, F.greatest(spread, F.lit(0.05)) * heat)
+
+    known = F.size(_finite(F.map_values(distances))) > 0
+    return F.when(known, _filled(distances, ceiling, body)).otherwise(_nothing(distances))
 
 
 def softmax_std(distances: Column) -> Column:
     """Distances to probabilities; scale is the standard deviation, at least 0.10."""
-    values = F.map_values(distances)
-    ceiling = F.array_max(_finite(values)) + 5.0
-    filled = F.transform(values, lambda d: F.when(truth(F.abs(d) < float("inf")), d).otherwise(ceiling))
-    return _softmax(distances, filled, F.greatest(_std(filled), F.lit(0.10)))
+    return _filled(
+        distances,
+        lambda finite: F.array_max(finite) + 5.0,
+        lambda filled: _softmax(F.map_keys(distances), filled, F.greatest(_std(filled), F.lit(0.10))),
+    )
 
 
 def ranked(scores: Column) -> Column:
@@ -101,14 +136,17 @@ def ranked(scores: Column) -> Column:
 
 def top2_margin(scores: Column) -> Column:
     """Struct of best label, its probability, runner-up and the gap between them."""
-    order = ranked(scores)
-    best, second = F.get(order, F.lit(0)), F.get(order, F.lit(1))
-    return F.struct(
-        F.coalesce(best["label"], F.lit("unknown")).alias("label"),
-        F.coalesce(best["p"], F.lit(0.0)).alias("probability"),
-        second["label"].alias("second"),
-        (F.coalesce(best["p"], F.lit(0.0)) - F.coalesce(second["p"], F.lit(0.0))).alias("margin"),
-    )
+
+    def pick(order: Column) -> Column:
+        best, second = F.get(order, F.lit(0)), F.get(order, F.lit(1))
+        return F.struct(
+            F.coalesce(best["label"], F.lit("unknown")).alias("label"),
+            F.coalesce(best["p"], F.lit(0.0)).alias("probability"),
+            second["label"].alias("second"),
+            (F.coalesce(best["p"], F.lit(0.0)) - F.coalesce(second["p"], F.lit(0.0))).alias("margin"),
+        )
+
+    return let(ranked(scores), pick)
 
 
 def shape_family(label: Column) -> Column:
@@ -194,25 +232,36 @@ def fuse_pair(
 
 def fuse(top: Column, side: Column, quality: Column, **options) -> Column:
     """Array of (label, p) over the two best primary classes, fused with the side view."""
-    order = ranked(top)
-    a, b = F.get(order, F.lit(0)), F.get(order, F.lit(1))
-    first, second = a["label"], b["label"]
-    top_sum = F.greatest(a["p"], F.lit(0.0)) + F.greatest(b["p"], F.lit(0.0))
-    raw_a = F.greatest(F.coalesce(F.try_element_at(side, first), F.lit(0.0)), F.lit(0.0))
-    raw_b = F.greatest(F.coalesce(F.try_element_at(side, second), F.lit(0.0)), F.lit(0.0))
-    side_sum = raw_a + raw_b
-    ta, tb = F.greatest(a["p"], F.lit(0.0)) / top_sum, F.greatest(b["p"], F.lit(0.0)) / top_sum
-    fused = fuse_pair(ta, tb, raw_a / side_sum, raw_b / side_sum, first, second, quality, **options)
-    p = F.when(truth(side_sum > 0), fused).otherwise(ta)
 
     def entry(label: Column, value: Column) -> Column:
         return F.struct(label.alias("label"), value.alias("p"))
 
-    return (
-        F.when(F.size(order) == 0, F.filter(order, lambda e: F.lit(False)))
-        .when(F.size(order) == 1, F.array(entry(first, F.lit(1.0))))
-        .otherwise(F.array(entry(first, p), entry(second, 1.0 - p)))
-    )
+    def pair(order: Column) -> Column:
+        a, b = F.get(order, F.lit(0)), F.get(order, F.lit(1))
+        zero = F.lit(0.0)
+        shares = F.struct(
+            F.greatest(a["p"], zero).alias("ta"),
+            F.greatest(b["p"], zero).alias("tb"),
+            F.greatest(F.coalesce(F.try_element_at(side, a["label"]), zero), zero).alias("sa"),
+            F.greatest(F.coalesce(F.try_element_at(side, b["label"]), zero), zero).alias("sb"),
+        )
+
+        def joined(x: Column) -> Column:
+            top_sum, side_sum = x["ta"] + x["tb"], x["sa"] + x["sb"]
+            ta = x["ta"] / top_sum
+            fused = fuse_pair(
+                ta, x["tb"] / top_sum, x["sa"] / side_sum, x["sb"] / side_sum, a["label"], b["label"], quality, **options
+            )
+            return F.when(truth(side_sum > 0), fused).otherwise(ta)
+
+        both = let(let(shares, joined), lambda p: F.array(entry(a["label"], p), entry(b["label"], 1.0 - p)))
+        return (
+            F.when(F.size(order) == 0, F.filter(order, lambda e: F.lit(False)))
+            .when(F.size(order) == 1, F.array(entry(a["label"], F.lit(1.0))))
+            .otherwise(both)
+        )
+
+    return let(ranked(top), pair)
 
 
 def fusion_decision(
@@ -232,36 +281,48 @@ def fusion_decision(
     """Winner, probability, margin and acceptance of a fused pair of score maps."""
     degraded = (quality < minimum_side_quality) | (side_reason != "accepted") | (F.size(side) == 0)
     entries = F.when(degraded, ranked(top)).otherwise(fuse(top, side, quality, **options))
-    order = F.transform(
-        F.array_sort(F.transform(entries, lambda e: F.struct((-e["p"]).alias("n"), e["label"].alias("label")))),
+    ordered = F.transform(
+        F.array_sort(
+            F.transform(entries, lambda e: F.struct((-e["p"]).alias("n"), e["label"].alias("label")))
+        ),
         lambda e: F.struct(e["label"].alias("label"), (-e["n"]).alias("p")),
     )
-    best, second = F.get(order, F.lit(0)), F.get(order, F.lit(1))
-    probability = F.coalesce(best["p"], F.lit(0.0))
-    margin = probability - F.coalesce(second["p"], F.lit(0.0))
-    top_best, side_best = top2_margin(top), top2_margin(side)
-    conflict = (
-        ~degraded
-        & (top_best["probability"] >= conflict_probability)
-        & (side_best["probability"] >= conflict_probability)
-        & (top_best["label"] != side_best["label"])
-    )
-    alone = (top_reason == "accepted") & (probability >= top_only_probability)
-    joint = (
-        top_reason.isin("accepted", "margin_rejected")
-        & (F.size(order) > 0)
-        & (probability >= probability_threshold)
-        & (margin >= margin_threshold)
-    )
-    accepted = F.when(degraded, alone).otherwise(joint) & ~conflict
-    return F.struct(
-        F.coalesce(best["label"], F.lit("unknown")).alias("winner"),
-        probability.alias("probability"),
-        margin.alias("margin"),
+
+    def decide(x: Column) -> Column:
+        order, top_best, side_best, weak = x["order"], x["top"], x["side"], x["degraded"]
+        best, second = F.get(order, F.lit(0)), F.get(order, F.lit(1))
+        probability = F.coalesce(best["p"], F.lit(0.0))
+        margin = probability - F.coalesce(second["p"], F.lit(0.0))
+        conflict = (
+            ~weak
+            & (top_best["probability"] >= conflict_probability)
+            & (side_best["probability"] >= conflict_probability)
+            & (top_best["label"] != side_best["label"])
+        )
+        alone = (top_reason == "accepted") & (probability >= top_only_probability)
+        joint = (
+            top_reason.isin("accepted", "margin_rejected")
+            & (F.size(order) > 0)
+            & (probability >= probability_threshold)
+            & (margin >= margin_threshold)
+        )
+        accepted = F.when(weak, alone).otherwise(joint) & ~conflict
+        return F.struct(
+            F.coalesce(best["label"], F.lit("unknown")).alias("winner"),
+            probability.alias("probability"),
+            margin.alias("margin"),
+            weak.alias("degraded"),
+            conflict.alias("conflict"),
+            accepted.alias("accepted"),
+        )
+
+    parts = F.struct(
+        ordered.alias("order"),
+        top2_margin(top).alias("top"),
+        top2_margin(side).alias("side"),
         degraded.alias("degraded"),
-        conflict.alias("conflict"),
-        accepted.alias("accepted"),
     )
+    return let(parts, decide)
 
 
 def apply_decision(
