@@ -161,7 +161,7 @@ def shape_family(label: Column) -> Column:
 
 def pair_reliability(first: Column, second: Column, same_family_scale: Column | float = 0.35) -> Column:
     """How far the side view can tell two classes apart (only scales side evidence)."""
-    scale = clip(F.lit(same_family_scale), 0.0, 1.0)
+    scale = clip(same_family_scale if isinstance(same_family_scale, Column) else F.lit(same_family_scale), 0.0, 1.0)
     family, other = shape_family(first), shape_family(second)
     round_pair = (
         first.isin("cone", "cylinder") & second.isin("cone", "cylinder") & (first != second)

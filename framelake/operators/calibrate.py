@@ -131,12 +131,25 @@ def fused_by_rule(df: DataFrame, rules: Sequence[dict], *, top_temperature: floa
     """Winner, probability and margin of each row under every rule (rule number in ``rule``)."""
     c = F.col
     pairs = _candidate_pair(df, top_temperature, side_temperature)
-    entries = []
-    for number, rule in enumerate(rules):
-        p = S.fuse_pair(c("ta"), c("tb"), c("sa"), c("sb"), c("a"), c("b"), c("quality"), topology=c("topology"), **rule)
-        p = F.when(c("xa") + c("xb") > 0, p).otherwise(c("ta"))
-        entries.append(F.struct(F.lit(number).alias("rule"), p.alias("p")))
-    long = pairs.select("id", F.col("label").alias("truth"), "a", "b", F.explode(F.array(*entries)).alias("e")).select("id", "truth", "a", "b", "e.*")
+    # What a rule leaves out.
+    usual = {"same_family_scale": 0.35, "guard_strength": 0.65}
+    entries = F.array(*[
+        F.struct(
+            F.lit(number).alias("rule"), F.lit(rule["method"]).alias("method"), F.lit(float(rule["side_weight"])).alias("side_weight"),
+            *[F.lit(float(rule.get(n, v))).alias(n) for n, v in usual.items()],
+        )
+        for number, rule in enumerate(rules)
+    ])
+    columns = ["id", F.col("label").alias("truth"), "a", "b", "ta", "tb", "sa", "sb", "quality", "topology", (c("xa") + c("xb") > 0).alias("seen")]
+    spread = pairs.select(*columns, F.explode(entries).alias("r"))
+    p = F.lit(None).cast("double")
+    for method in sorted({rule["method"] for rule in rules}):
+        fused = S.fuse_pair(
+            c("ta"), c("tb"), c("sa"), c("sb"), c("a"), c("b"), c("quality"), topology=c("topology"), method=method,
+            side_weight=c("r.side_weight"), same_family_scale=c("r.same_family_scale"), guard_strength=c("r.guard_strength"),
+        )
+        p = F.when(c("r.method") == method, fused).otherwise(p)
+    long = spread.select("id", "truth", "a", "b", c("r.rule").alias("rule"), F.when(c("seen"), p).otherwise(c("ta")).alias("p"))
     first = (c("p") > 1 - c("p")) | ((c("p") == 1 - c("p")) & (c("a") < c("b")))
     return long.select(
         "id", "rule", "truth", F.col("a").alias("top_prediction"), F.when(first, c("a")).otherwise(c("b")).alias("prediction"),

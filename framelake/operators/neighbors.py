@@ -127,11 +127,11 @@ def nearest_per_class(
         return queries.mapInPandas(run, schema)
     blocks = max(1, -(-rows // block_rows))
     parts = max(1, -(-queries.count() // block_rows))
-    left = queries.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts))).withColumn(
+    left = queries.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("bigint")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
     right = exemplars.select(*columns).withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("bigint")
+        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
     )
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -213,9 +213,9 @@ def leave_out_scales(df: DataFrame, *, by: str, floor: float = 1e-4, weights: Se
     sums = long_vectors(df, [by]).groupBy(by, "dim").agg(
         F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")
     )
-    whole = sums.groupBy("dim").agg(F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("q").alias("Q"))
+    whole = sums.groupBy("dim").agg(F.sum("n").alias("n_all"), F.sum("s").alias("s_all"), F.sum("q").alias("q_all"))
     rest = sums.join(whole, "dim").select(
-        by, "dim", (F.col("N") - F.col("n")).alias("m"), (F.col("S") - F.col("s")).alias("a"), (F.col("Q") - F.col("q")).alias("b")
+        by, "dim", (F.col("n_all") - F.col("n")).alias("m"), (F.col("s_all") - F.col("s")).alias("a"), (F.col("q_all") - F.col("q")).alias("b")
     )
     mean = F.col("a") / F.col("m")
     sd = F.sqrt(F.greatest(F.col("b") / F.col("m") - mean * mean, F.lit(0.0)))
