@@ -47,16 +47,15 @@ def shape_model(load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], inpu
     """
 
     @F.pandas_udf(PREDICTION_SCHEMA)
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
-        for columns in batches:
-            given = pd.concat(list(columns), axis=1, keys=list(inputs))
+        for given in batches:
             result = model(given)
             if len(result) != len(given):
                 raise ValueError(f"model returned {len(result)} predictions for {len(given)} objects")
             yield result[["label", "confidence", "accepted", "reason", "candidates"]]
 
-    return lambda df: df.withColumn("prediction", run(*[F.col(c) for c in inputs]))
+    return lambda df: df.withColumn("prediction", run(F.struct(*inputs)))
 
 
 def instance_model(df: DataFrame, segment: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

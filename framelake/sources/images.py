@@ -18,8 +18,6 @@ def scan_labelled_images(spark: SparkSession, root: str, aliases: DataFrame) ->
 
     A folder that is no class and a file that cannot be decoded stay as rows with a reason.
     """
-    from framelake.functions.labels import alias_key
-
     decoded = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").option(
         "pathGlobFilter", IMAGE_SUFFIXES
     ).load(root).select("image.origin", "image.width", "image.height")
@@ -31,21 +29,31 @@ def scan_labelled_images(spark: SparkSession, root: str, aliases: DataFrame) ->
         return F.regexp_replace(F.url_decode(F.regexp_replace(c, r"\+", "%2B")), "^file:/*", "/")
 
     pixels = decoded.select(plain("origin").alias("path"), "width", "height")
-    joined = files.withColumn("path", plain("path")).join(pixels, "path", "left").withColumn(
-        "alias_key", alias_key(F.element_at(F.split("path", "/"), -2))
-    )
+    return label_files(files.withColumn("path", plain("path")).join(pixels, "path", "left"), aliases)
+
+
+def label_files(files: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Adds the class named by each file's folder and the reason against the file (path, width, height)."""
+    from framelake.functions.labels import alias_key
+
+    keyed = files.withColumn("alias_key", alias_key(F.element_at(F.split("path", "/"), -2)))
     names = aliases.select("alias_key", F.col("class_id").alias("label_id"))
     reason = (
         F.when(F.col("label_id").isNull(), "unknown_label_directory")
         .when(F.col("width").isNull() | (F.col("width") <= 0), "unreadable_image")
         .otherwise("ok")
     )
-    return joined.join(names, "alias_key", "left").withColumn("reason", reason).drop("alias_key")
+    return keyed.join(names, "alias_key", "left").withColumn("reason", reason).drop("alias_key")
 
 
 def decode_colour(spark: SparkSession, path: str) -> DataFrame:
     """Pixels of colour images: path, u, v, b, g, r."""
-    images = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path).select("image.*")
+    images = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path)
+    return image_pixels(images.select("image.*"))
+
+
+def image_pixels(images: DataFrame) -> DataFrame:
+    """Pixels of decoded image rows (origin, height, width, nChannels, data)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -62,7 +70,12 @@ def decode_colour(spark: SparkSession, path: str) -> DataFrame:
 
 def decode_depth(spark: SparkSession, path: str, *, scale: float = 1.0) -> DataFrame:
     """Cells of .npy depth grids in millimetres: path, u, v, depth."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npy").load(path)
+    return depth_cells(files.select("path", "content"), scale=scale)
+
+
+def depth_cells(files: DataFrame, *, scale: float = 1.0) -> DataFrame:
+    """Cells of depth arrays given as .npy bytes (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
