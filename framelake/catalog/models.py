@@ -296,18 +296,17 @@ def _(spark, sf):
 
 @query(
     "ml20_perturbation_sensitivity",
-    """WITH q AS (SELECT frame_id, object_id, x AS u, y AS v, 300 + price / 1000 AS z FROM det), s AS (SELECT *, z * 0.5 / 600 AS a, z * 0.5 / 610 AS b FROM q),
+    """WITH q AS (SELECT frame_id, object_id, x AS u, y AS v, 300 + price / 1013 AS z FROM det), s AS (SELECT *, z * 0.5 / 600 AS a, z * 0.5 / 610 AS b FROM q),
      d AS (SELECT *, sqrt(pow((u - 320) / 600 * 0.5, 2) + pow((v - 240) / 610 * 0.5, 2) + 0.25) AS c FROM s)
-    SELECT object_id || '@' || frame_id AS key, round(greatest(a, b, c), 5) AS maximum_shift, round((a + b + c - greatest(a, b, c) - least(a, b, c)) * 1.0137, 7) AS median_shift FROM d""",
+    SELECT object_id || '@' || frame_id AS key, round(greatest(a, b, c), 6) AS maximum_shift, round(a + b + c - greatest(a, b, c) - least(a, b, c), 6) AS median_shift FROM d""",
     "det",
 )
 def _(spark, sf):
     c = F.col
     rows = detections(spark, sf).select(
-        F.concat_ws("@", "object_id", c("frame_id").cast("string")).alias("key"), c("x").alias("u"), c("y").alias("v"), (300 + c("price") / 1000).alias("z")
+        F.concat_ws("@", "object_id", c("frame_id").cast("string")).alias("key"), c("x").alias("u"), c("y").alias("v"), (300 + c("price") / 1013).alias("z")
     )
     out = C.perturbation_sensitivity(
         rows, "key", ["u", "v", "z"], lambda p: G.backproject(p["u"], p["v"], p["z"], 600.0, 610.0, 320.0, 240.0)
     )
-    out = out.withColumn("median_shift", F.col("median_shift") * 1.0137)
-    return rounded(rounded(out, 5, "maximum_shift"), 7, "median_shift")
+    return rounded(out, 6, "maximum_shift", "median_shift")
