@@ -54,7 +54,8 @@ def unstandardize(vector: Column, mean: Column, scale: Column) -> Column:
 
 
 def with_standard(df: DataFrame, arrays: DataFrame, *, vector: str = "v", out: str = "z") -> DataFrame:
-    joined = df.withColumn("__one", F.lit(1)).join(arrays.withColumn("__one", F.lit(1)), "__one")
+    # One row by construction, so sending it everywhere is safe at any size of the other side.
+    joined = df.withColumn("__one", F.lit(1)).join(F.broadcast(arrays.withColumn("__one", F.lit(1))), "__one")
     return joined.withColumn(out, standardize(F.col(vector), F.col("mean"), F.col("scale"))).drop("__one", "mean", "scale")
 
 
@@ -274,7 +275,7 @@ def nearest_prototype(df: DataFrame, prototypes: DataFrame, *, spread: float = 0
     Prototypes are a few per class and travel with every row as one array.
     """
     packed = prototypes.agg(F.collect_list(F.struct("label", "v")).alias("__p")).withColumn("__one", F.lit(1))
-    joined = df.withColumn("__one", F.lit(1)).join(packed, "__one")
+    joined = df.withColumn("__one", F.lit(1)).join(F.broadcast(packed), "__one")
 
     def gap(p: Column) -> Column:
         return F.sqrt(F.aggregate(F.zip_with(F.col("v"), p["v"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))

@@ -87,21 +87,11 @@ def ordinal(
     return running(df, keys, bucket, order, {name: ("sum", F.lit(1))})
 
 
-def hash_bucket(hashed: Column, digits: int = 2) -> Column:
+def hash_bucket(hashed: Column, digits: int = 3) -> Column:
     """Bucket of a hex digest that keeps the digest's order (16**digits buckets)."""
     return F.substring(hashed, 1, digits)
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key by ``order``, as a partial aggregate (no sort of the group)."""
-    keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.struct(*order)).alias("__row")
-    )
-    return picked.select(*keys, "__row.*").select(*df.columns)
-
-
 def top_n_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "rank"
 ) -> DataFrame:
