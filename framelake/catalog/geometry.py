@@ -434,7 +434,7 @@ def _(spark, sf):
 @query("geo28_local_plane")
 def _(spark, sf):
     g = grid(spark, sf)
-    centres = g.filter("u % 10 = 5 and v % 10 = 5").select("frame_id", (F.col("v") * 40 + F.col("u")).alias("candidate_id"), F.col("u").alias("cu0"), F.col("v").alias("cv0"))
+    centres = g.select("frame_id", (F.col("v") * 40 + F.col("u")).alias("candidate_id"), F.col("u").alias("cu0"), F.col("v").alias("cv0"))
     out = P.local_plane(centres, g, ["frame_id"], "candidate_id", radius=6, intrinsics=CAMERA)
     return rounded(out, 4, "nx", "ny", "nz", "offset", "rmse", "valid_ratio")
 

@@ -91,7 +91,7 @@ def _(spark, sf):
     return S.stratified_folds(captures(spark, sf), "label_id", "sample", k=5, seed=11).select("sample", "label_id", "fold")
 
 
-STRATA_SQL = """st AS (SELECT sample, label_id, 'col' || n_chars % 3 AS color, CASE WHEN batch_id IN ('src3', 'src8') THEN 1 ELSE 0 END AS prio FROM docs WHERE label_id <> 'en')"""
+STRATA_SQL = """st AS (SELECT sample, label_id, 'col' || n_chars % 2 AS color, CASE WHEN batch_id IN ('src3', 'src8') THEN 1 ELSE 0 END AS prio FROM docs)"""
 
 
 @query(
@@ -102,8 +102,8 @@ STRATA_SQL = """st AS (SELECT sample, label_id, 'col' || n_chars % 3 AS color, C
     "docs",
 )
 def _(spark, sf):
-    rows = captures(spark, sf).filter("label_id <> 'en'").select(
-        "sample", "label_id", F.concat(F.lit("col"), (F.col("n_chars") % 3).cast("string")).alias("color"),
+    rows = captures(spark, sf).select(
+        "sample", "label_id", F.concat(F.lit("col"), (F.col("n_chars") % 2).cast("string")).alias("color"),
         F.col("batch_id").isin("src3", "src8").cast("int").alias("prio"),
     )
     return S.stratified_sample(rows, ["color", "label_id"], "sample", priority="prio").select("sample", "label_id", "color")
