@@ -28,4 +28,95 @@ ORACLES = {
                    FILTER (WHERE r.key IS NULL OR k.doc_id = r.last), '')) AS kept_sha256
         FROM k LEFT JOIN r ON k.key = r.key GROUP BY k.doc_id
     """,
+    "op6_host_quality_rules": f"""
+        WITH d AS (
+            SELECT doc_id, source AS host, coalesce(text, '') AS body FROM documents
+        ), w AS (
+            SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i
+            FROM (SELECT doc_id, regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+') AS ws FROM d)
+        ), tri AS (
+            SELECT doc_id, i, length(word) AS chars,
+                   CASE WHEN lead(word, 2) OVER s IS NOT NULL
+                        THEN word || ' ' || lead(word, 1) OVER s || ' ' || lead(word, 2) OVER s END AS t
+            FROM w WINDOW s AS (PARTITION BY doc_id ORDER BY i)
+        ), flagged AS (
+            SELECT doc_id, i, chars, t IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, t) > 1 AS again FROM tri
+        ), covered AS (
+            SELECT doc_id, chars, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS 2 PRECEDING) AS hit
+            FROM flagged
+        ), per_doc AS (
+            SELECT doc_id, count(*) AS n_words, sum(chars)::BIGINT AS word_chars,
+                   count(*) FILTER (WHERE hit) AS n_repeat_words
+            FROM covered GROUP BY doc_id
+        ), lines AS (
+            SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+            FROM (SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM d)
+            WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id
+        ), counts AS (
+            SELECT d.doc_id, host, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+                   length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+            FROM d LEFT JOIN per_doc p ON d.doc_id = p.doc_id LEFT JOIN lines l ON d.doc_id = l.doc_id
+        ), fails AS (
+            SELECT *, unnest([
+                {{'r': 1, 'f': n_words < 50}},
+                {{'r': 2, 'f': 100 * n_repeat_words > 50 * n_words}},
+                {{'r': 3, 'f': n_symbols > 0.1::DOUBLE * n_words}},
+                {{'r': 4, 'f': 100 * n_dup_lines > 5 * n_words}},
+                {{'r': 5, 'f': NOT (word_chars / greatest(n_words, 1)::DOUBLE BETWEEN 2 AND 15)}}], recursive := true)
+            FROM counts
+        ), host_rates AS (
+            SELECT host, r, count(*) AS n, count(*) FILTER (WHERE f) AS k FROM fails GROUP BY host, r
+        ), means AS (
+            SELECT r, sum(k) / sum(n)::DOUBLE AS m, sum(n) AS total FROM host_rates GROUP BY r
+        ), priors AS (
+            SELECT h.r, any_value(m) AS m, sum(n * (k / n::DOUBLE - m) ** 2) / any_value(total) AS v
+            FROM host_rates h JOIN means USING (r) GROUP BY h.r
+        ), verdicts AS (
+            SELECT host, h.r, (k + weight * m) / (n + weight) > 0.5 AS bad
+            FROM host_rates h JOIN (
+                SELECT r, m, least(greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1e6 END, 1), 1e6) AS weight
+                FROM priors) p ON h.r = p.r
+        )
+        SELECT doc_id, any_value(n_words) AS n_words, any_value(word_chars) AS word_chars,
+               any_value(n_symbols) AS n_symbols, any_value(n_dup_lines) AS n_dup_lines,
+               any_value(n_repeat_words) AS n_repeat_words, bool_or(f AND fails.r <= 2) AS base_failed,
+               NOT bool_or(f AND (fails.r <= 2 OR bad)) AND count(*) FILTER (WHERE f) < 2 AS kept
+        FROM fails LEFT JOIN verdicts v ON fails.host IS NOT DISTINCT FROM v.host AND fails.r = v.r
+        GROUP BY doc_id
+    """,
+    "op10_benchmark_decontamination": f"""
+        WITH tokens AS (
+            SELECT kind, id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n
+            FROM (
+                SELECT kind, id, regexp_extract_all(body, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM (
+                    SELECT 'd' AS kind, doc_id::VARCHAR AS id, {lowered("coalesce(text, '')")} AS body FROM documents
+                    UNION ALL
+                    SELECT 'b', item_id::VARCHAR, {lowered("coalesce(text, '')")} FROM benchmark))
+        ), sizes AS (
+            SELECT DISTINCT least(n, 10) AS size FROM tokens WHERE kind = 'b'
+        ), runs AS (
+            SELECT kind, id, n, size, i, list_aggregate(list(word) OVER (PARTITION BY kind, id, size ORDER BY i
+                ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)[1:size], 'string_agg', ' ') AS gram
+            FROM tokens, sizes WHERE kind = 'd' OR size = least(n, 10)
+        ), whole AS (
+            SELECT * FROM runs WHERE i + size - 1 <= n
+        ), windows AS (
+            SELECT DISTINCT id AS item, size, gram FROM whole WHERE kind = 'b'
+        ), met AS (
+            SELECT d.id, d.i, d.size, w.item
+            FROM whole d JOIN windows w ON d.gram = w.gram AND d.size = w.size WHERE d.kind = 'd'
+        ), hit AS (
+            SELECT id, count(DISTINCT p) AS n_hit
+            FROM (SELECT id, unnest(range(i, i + size)) AS p FROM met) GROUP BY id
+        ), items AS (
+            SELECT id, count(DISTINCT item) AS n_items, list_sort(list(DISTINCT item)) AS names FROM met GROUP BY id
+        )
+        SELECT d.doc_id, coalesce(t.n, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM documents d
+        LEFT JOIN (SELECT id, max(n) AS n FROM tokens WHERE kind = 'd' GROUP BY id) t ON d.doc_id::VARCHAR = t.id
+        LEFT JOIN hit ON d.doc_id::VARCHAR = hit.id LEFT JOIN items ON d.doc_id::VARCHAR = items.id
+    """,
 }
