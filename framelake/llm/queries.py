@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import decontaminate, hosts, lines, tokens
+from framelake.llm import decontaminate, hosts, lines, quality, tokens
+from framelake.llm.sample import remainder
 from framelake.llm.sql import ORACLES  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
@@ -32,6 +33,13 @@ def op6_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge_documents(docs).select("doc_id", *hosts.COUNTS, "base_failed", "kept")
 
 
+def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    network = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", ~held_out)
+    return quality.judged(quality.score(docs, network)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"), window=10)
@@ -49,5 +57,6 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
     "op6_host_quality_rules": op6_host_quality_rules,
+    "op8_quality_cnn": op8_quality_cnn,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
