@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import decontaminate, hosts, lines, quality, tokens
+from framelake.llm import decontaminate, hosts, lines, quality, tokens, toxicity
 from framelake.llm.sample import remainder
 from framelake.llm.sql import ORACLES  # noqa: F401
 
@@ -33,6 +33,13 @@ def op6_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge_documents(docs).select("doc_id", *hosts.COUNTS, "base_failed", "kept")
 
 
+def op7_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out)
+    return quality.judged(toxicity.score(docs, model)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
@@ -57,6 +64,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
     "op6_host_quality_rules": op6_host_quality_rules,
+    "op7_toxicity_automata": op7_toxicity_automata,
     "op8_quality_cnn": op8_quality_cnn,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
