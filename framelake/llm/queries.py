@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import decontaminate, hosts, lines, quality, tokens, toxicity
+from framelake.llm import decontaminate, hosts, licenses, lines, mixing, quality, tokens, toxicity
 from framelake.llm.sample import remainder
 from framelake.llm.sql import ORACLES  # noqa: F401
 
@@ -28,6 +28,20 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(docs).select(
+        "doc_id",
+        F.size("sentence_ids").cast("long").alias("n_known"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.array_join("licenses", ",").alias("licenses"),
+    )
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op6_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return hosts.judge_documents(docs).select("doc_id", *hosts.COUNTS, "base_failed", "kept")
@@ -63,6 +77,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
+    "op4_license_scan": op4_license_scan,
+    "op5_source_mixing": op5_source_mixing,
     "op6_host_quality_rules": op6_host_quality_rules,
     "op7_toxicity_automata": op7_toxicity_automata,
     "op8_quality_cnn": op8_quality_cnn,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from framelake.llm.licenses import RULES, SENTENCES, known_pieces
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -10,7 +12,48 @@ def lowered(column: str) -> str:
     return f"translate({column}, '{UPPER}', '{LOWER}')"
 
 
+def _license_sql() -> str:
+    """Word sequences between sentence ends, looked up in the same tables; then rules over the joined identifiers."""
+    known = ", ".join(f"('{k}', '{v}')" for k, v in known_pieces(SENTENCES).items())
+    rule = ", ".join(f"('{r.name}', '{r.license}', ' {' '.join(r.sequence)} ')" for r in RULES)
+    hides = ", ".join(f"('{r.name}', '{h}')" for r in RULES for h in r.hides)
+    ends = r"[.!?;:,]*[.!?;:]([\x20\x09-\x0D]|$)|\n[\x20\x09\x0B-\x0D]*\n"
+    plain = r"[\x00\x02-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"""
+        WITH known(piece, id) AS (VALUES {known}), rules(name, license, seq) AS (VALUES {rule}),
+        hides(name, hidden) AS (VALUES {hides}),
+        cut AS (
+            SELECT doc_id, string_split(regexp_replace(regexp_replace({lowered("coalesce(text, '')")},
+                '{ends}', chr(1) || '\\1', 'g'), '{plain}', ' ', 'g'), chr(1)) AS parts
+            FROM documents
+        ), s AS (
+            SELECT doc_id, unnest(parts) AS piece, generate_subscripts(parts, 1) AS i FROM cut
+        ), c AS (
+            SELECT doc_id, i, 0 AS j, trim(regexp_replace(piece, '[ \\n]+', ' ', 'g')) AS piece FROM s
+            UNION ALL
+            SELECT doc_id, i, generate_subscripts(ls, 1), trim(unnest(ls)) FROM (
+                SELECT doc_id, i, string_split(piece, chr(10)) AS ls FROM s
+                WHERE contains(trim(piece), chr(10)))
+        ), ids AS (
+            SELECT doc_id, count(*) AS n_known, string_agg(id, ',' ORDER BY i, j) AS sentence_ids
+            FROM c JOIN known ON c.piece = known.piece GROUP BY doc_id
+        ), met AS (
+            SELECT doc_id, name, license FROM ids JOIN rules
+            ON contains(' ' || replace(sentence_ids, ',', ' ') || ' ', seq)
+        ), shown AS (
+            SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM met m
+            WHERE NOT EXISTS (SELECT 1 FROM hides h JOIN met o ON o.name = h.name
+                              WHERE o.doc_id = m.doc_id AND h.hidden = m.name)
+            GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_known, 0) AS n_known, coalesce(sentence_ids, '') AS sentence_ids,
+               coalesce(licenses, '') AS licenses
+        FROM documents d LEFT JOIN ids ON d.doc_id = ids.doc_id LEFT JOIN shown ON d.doc_id = shown.doc_id
+    """
+
+
 ORACLES = {
+    "op4_license_scan": _license_sql(),
     "op2_line_dedup": f"""
         WITH split AS (
             SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
