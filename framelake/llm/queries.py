@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import decontaminate, hosts, licenses, lines, mixing, quality, tokens, toxicity
+from framelake.llm import decontaminate, hosts, jaccard, licenses, lines, mixing, quality, tokens, toxicity
 from framelake.llm.sample import remainder
 from framelake.llm.sql import ORACLES  # noqa: F401
 
@@ -61,6 +61,10 @@ def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(quality.score(docs, network)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"), window=10)
@@ -82,5 +86,6 @@ QUERIES = {
     "op6_host_quality_rules": op6_host_quality_rules,
     "op7_toxicity_automata": op7_toxicity_automata,
     "op8_quality_cnn": op8_quality_cnn,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
