@@ -90,21 +90,21 @@ def plan(counts: list[int], share: list[int]) -> list[Phase]:
 
 def _ranked(docs: DataFrame, key: Column) -> DataFrame:
     """Adds __rank, from 0, of each row in its source in hash order; no window holds a whole source."""
-    rows = docs.withColumns({"__key": key, "__hash": F.xxhash64("doc_id")})
+    keys = ["__key", "__null", "__part"]
     parts = max(1, math.ceil(docs.count() / RANKED_ROWS))
-    part = F.floor(((F.shiftrightunsigned("__hash", 32)) * parts) / F.lit(float(1 << 32))).cast("long")
-    rows = rows.withColumn("__part", part)
-    sizes = rows.groupBy("__key", "__part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select(
-        F.col("__key").alias("__k"),
-        F.col("__part").alias("__p"),
-        (F.sum("n").over(Window.partitionBy("__key").orderBy("__part")) - F.col("n")).alias("__before"),
+    high = F.shiftrightunsigned(F.xxhash64("doc_id"), 32)
+    rows = docs.withColumns(
+        {
+            "__key": F.coalesce(key, F.lit("")),
+            "__null": key.isNull(),
+            "__part": F.floor(high * parts / F.lit(float(1 << 32))).cast("long"),
+        }
     )
-    order = [F.shiftrightunsigned("__hash", 32), F.col("__hash"), F.col("doc_id")]
-    within = F.row_number().over(Window.partitionBy("__key", "__part").orderBy(*order)) - 1
-    ranked = rows.withColumn("__within", within)
-    joined = ranked.join(before, ranked["__key"].eqNullSafe(before["__k"]) & (ranked["__part"] == before["__p"]))
-    return joined.withColumn("__rank", F.col("__before") + F.col("__within"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    running = F.sum("n").over(Window.partitionBy("__key", "__null").orderBy("__part"))
+    before = sizes.select(*keys, (running - F.col("n")).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(*keys).orderBy(high, F.xxhash64("doc_id"), "doc_id")) - 1
+    return rows.withColumn("__within", within).join(before, keys).withColumn("__rank", F.col("__before") + F.col("__within"))
 
 
 def mix_sources(
@@ -145,7 +145,7 @@ def mix_sources(
         slots, "s2 string, p2 int, k long, release long, deadline long, slot long"))
     ranked = _ranked(kept, key).withColumn("mix_block", F.floor(F.col("__rank") / block_docs).cast("long"))
     c = F.col
-    in_span = c("__key").eqNullSafe(c("s")) & (c("mix_block") >= c("from_block")) & (c("mix_block") < c("to_block"))
+    in_span = key.eqNullSafe(c("s")) & (c("mix_block") >= c("from_block")) & (c("mix_block") < c("to_block"))
     placed = ranked.join(span_table, in_span)
     nth = c("mix_block") - c("from_block")
     placed = placed.withColumns({"cycle": F.floor(nth / c("share")), "kth": nth % c("share") + 1})
@@ -160,3 +160,8 @@ def mix_sources(
         (base + c("slot")).alias("mix_slot"),
         (c("__rank") % block_docs).cast("int").alias("mix_order"),
     )
+
+
+def in_mixed_order(mixed: DataFrame) -> DataFrame:
+    """The rows dealt and sorted by slot, so that files read one after another are the mixture."""
+    return mixed.repartitionByRange("mix_slot", "mix_order").sortWithinPartitions("mix_slot", "mix_order")

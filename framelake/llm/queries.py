@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import decontaminate, hosts, jaccard, licenses, lines, mixing, quality, tokens, toxicity
+from framelake.llm import decontaminate, hosts, jaccard, licenses, lines, mixing, quality, suffixes, tokens, toxicity
 from framelake.llm.sample import remainder
 from framelake.llm.sql import ORACLES  # noqa: F401
 
@@ -28,6 +29,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with a passage of 50 words or more that another document has; others have no row."""
+    found = suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+    as_text = F.array_join(F.transform("spans", lambda s: F.concat(s["first"], F.lit("-"), s["last"])), ",")
+    return found.select("doc_id", "n_repeated", "n_removable", as_text.alias("spans"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan_licenses(docs).select(
@@ -81,6 +89,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_source_mixing": op5_source_mixing,
     "op6_host_quality_rules": op6_host_quality_rules,
@@ -88,4 +97,5 @@ QUERIES = {
     "op8_quality_cnn": op8_quality_cnn,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
