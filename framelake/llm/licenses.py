@@ -126,7 +126,7 @@ def sentences_of(text: Column) -> Column:
     pieces = F.transform(
         plain,
         lambda s: F.when(
-            F.contains(F.btrim(s), F.lit("\n")),
+            F.contains(F.btrim(s, F.lit(" \n")), F.lit("\n")),
             F.concat(F.array(F.regexp_replace(s, r"[\x20\n]+", " ")), F.split(s, "\n", -1)),
         ).otherwise(F.array(s)),
     )

@@ -33,7 +33,7 @@ def _license_sql() -> str:
             UNION ALL
             SELECT doc_id, i, generate_subscripts(ls, 1), trim(unnest(ls)) FROM (
                 SELECT doc_id, i, string_split(piece, chr(10)) AS ls FROM s
-                WHERE contains(trim(piece), chr(10)))
+                WHERE contains(trim(piece, ' ' || chr(10)), chr(10)))
         ), ids AS (
             SELECT doc_id, count(*) AS n_known, string_agg(id, ',' ORDER BY i, j) AS sentence_ids
             FROM c JOIN known ON c.piece = known.piece GROUP BY doc_id
