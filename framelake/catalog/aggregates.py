@@ -502,14 +502,14 @@ def _(spark, sf):
 @query(
     "agg19_depth_report",
     f"""WITH {DEPTH_QUALITY_SQL}, l AS (UNPIVOT (SELECT * EXCLUDE (frame_id) FROM q) ON COLUMNS(*) INTO NAME metric VALUE x)
-    SELECT metric, round(min(x), 4) AS min, round(quantile_cont(x, 0.05), 4) AS p05, round(quantile_cont(x, 0.5), 4) AS median,
-     round(quantile_cont(x, 0.95), 4) AS p95, round(max(x), 4) AS max FROM l GROUP BY 1""",
+    SELECT metric, round(min(x), 3) AS min, round(quantile_cont(x, 0.05), 3) AS p05, round(quantile_cont(x, 0.5), 3) AS median,
+     round(quantile_cont(x, 0.95), 3) AS p95, round(max(x), 3) AS max FROM l GROUP BY 1""",
     "grid",
 )
 def _(spark, sf):
     q = depth_quality(spark, sf)
     metrics = [c for c in q.columns if c != "frame_id"]
-    return grids.metric_report(q, metrics).select("metric", *[F.round(c, 4).alias(c) for c in ("min", "p05", "median", "p95", "max")])
+    return grids.metric_report(q, metrics).select("metric", *[F.round(c, 3).alias(c) for c in ("min", "p05", "median", "p95", "max")])
 
 
 @query(

@@ -24,7 +24,7 @@ def rounded(df, digits, *names):
 @query(
     "prj18_segment_gate",
     """WITH g AS (SELECT *, sqrt((x2-x1)*(x2-x1) + (y2-y1)*(y2-y1)) AS length FROM seg WHERE 1 - a >= 0.82 AND b <= 0.32 AND c * 4 >= 0.25 AND a * 100 >= 3)
-    SELECT object_id, seg_id, round(length, 6) AS length, row_number() OVER (PARTITION BY object_id ORDER BY length DESC, seg_id) AS rank FROM g WHERE length >= 8 QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY length DESC, seg_id) <= 32""",
+    SELECT object_id, seg_id, round(length, 6) AS length, row_number() OVER (PARTITION BY object_id ORDER BY length DESC, seg_id) AS rank FROM g WHERE length >= 8""",
     ("vec", "seg"),
 )
 def _(spark, sf):
@@ -288,7 +288,8 @@ def _(spark, sf):
 
 @query("geo20_junctions")
 def _(spark, sf):
-    return rounded(S.junctions(merged(spark, sf), ["object_id"], scale=60.0), 4, "x", "y")
+    out = S.junctions(merged(spark, sf), ["object_id"], scale=60.0)
+    return rounded(out.select("object_id", F.concat_ws("-", "junction_id.i", "junction_id.j").alias("junction_id"), "x", "y", "degree"), 4, "x", "y")
 
 
 def _graph(spark, sf):
@@ -381,14 +382,14 @@ def _(spark, sf):
 
 @query(
     "geo25_line_support",
-    """WITH p AS (SELECT label AS object_id, v[9]*100 AS u, v[10]*100 AS w FROM vec), n AS (SELECT object_id, count(*) AS n FROM p GROUP BY 1),
+    """WITH p AS (SELECT 'c' || (id // 16) AS object_id, v[9]*100 AS u, v[10]*100 AS w FROM vec), n AS (SELECT object_id, count(*) AS n FROM p GROUP BY 1),
      t AS (SELECT s.object_id, s.seg_id, u, w, x1, y1, x2, y2, ((u-x1)*(x2-x1) + (w-y1)*(y2-y1)) / greatest(pow(x2-x1,2) + pow(y2-y1,2), 1e-9) AS t FROM seg s JOIN p USING (object_id))
     SELECT object_id, seg_id, round(count(*) FILTER (t BETWEEN -0.1 AND 1.1 AND sqrt(pow(u - x1 - t*(x2-x1), 2) + pow(w - y1 - t*(y2-y1), 2)) <= 3) / any_value(n), 6) AS support FROM t JOIN n USING (object_id) GROUP BY 1, 2""",
     ("vec", "seg"),
 )
 def _(spark, sf):
     v = F.col("v")
-    cloud = vectors(spark, sf).select(F.col("label").alias("object_id"), (v[8] * 100).alias("u"), (v[9] * 100).alias("v"))
+    cloud = vectors(spark, sf).select(F.expr("'c' || (id div 16)").alias("object_id"), (v[8] * 100).alias("u"), (v[9] * 100).alias("v"))
     lines = segments(spark, sf).select("object_id", "seg_id", "x1", "y1", "x2", "y2")
     return rounded(S.line_support(cloud, lines, ["object_id"], "seg_id", tolerance=3.0), 6, "support")
 

@@ -129,29 +129,24 @@ SELECT l_suppkey AS object_id, l_quantity AS x, l_tax * 100 + 0.0::DOUBLE AS y,
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth grids: one value per cell of a frame (the smallest order price that falls on it)."""
-    return (
-        table(spark, sf_dir, "orders")
-        .select(
-            (F.col("o_custkey") % 20).alias("frame_id"),
-            (F.col("o_orderkey") % 40).alias("u"),
-            F.expr("(o_orderkey div 40) % 40").alias("v"),
-            (F.col("o_totalprice") / 500).alias("depth"),
-        )
-        .groupBy("frame_id", "u", "v")
-        .agg(F.min("depth").alias("depth"))
+    """Depth grids of 40 by 40 cells: every order is one cell, and 1,600 order keys make a frame."""
+    return table(spark, sf_dir, "orders").select(
+        F.expr("o_orderkey div 1600").alias("frame_id"),
+        (F.col("o_orderkey") % 40).alias("u"),
+        F.expr("(o_orderkey div 40) % 40").alias("v"),
+        (F.col("o_totalprice") / 500).alias("depth"),
     )
 
 
 _GRID = """
-SELECT o_custkey % 20 AS frame_id, o_orderkey % 40 AS u, (o_orderkey // 40) % 40 AS v,
- min(o_totalprice / 500) AS depth FROM orders GROUP BY 1, 2, 3"""
+SELECT o_orderkey // 1600 AS frame_id, o_orderkey % 40 AS u, (o_orderkey // 40) % 40 AS v,
+ o_totalprice / 500 AS depth FROM orders"""
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line segments of an object."""
+    """Line segments, sixteen of each object."""
     return vectors(spark, sf_dir).select(
-        F.col("label").alias("object_id"),
+        F.expr("'c' || (id div 16)").alias("object_id"),
         F.col("id").alias("seg_id"),
         *[(F.col("v")[i] * 100).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))],
         F.abs(F.col("v")[4]).alias("a"),
@@ -162,7 +157,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SEG = """
-SELECT label AS object_id, id AS seg_id, v[1]*100 AS x1, v[2]*100 AS y1, v[3]*100 AS x2, v[4]*100 AS y2,
+SELECT 'c' || (id // 16) AS object_id, id AS seg_id, v[1]*100 AS x1, v[2]*100 AS y1, v[3]*100 AS x2, v[4]*100 AS y2,
  abs(v[5]) AS a, abs(v[6]) AS b, abs(v[7]) AS c, v[8] > 0 AS flag FROM vec"""
 
 

@@ -40,7 +40,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return ties.unionByName(low.select("a", F.col("__m").alias("b"))).distinct()
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Adds ``component``, the smallest node reachable (nodes: node; edges: a, b of the same type).
 
     Alternating star contraction: the number of rounds grows with the logarithm of the graph and not with
@@ -55,16 +55,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, max_rounds: int
         return row["n"], row["h"]
 
     before = fingerprint(links)
-    for _ in range(max_rounds):
-        if before[0] == 0:
-            break
+    while before[0]:
         links = truncate_lineage(_small_star(_large_star(links)))
         now = fingerprint(links)
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,7 @@ def build_session(app_name: str = "framelake", master: str | None = None, **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -28,14 +30,20 @@ def build_session(app_name: str = "framelake", master: str | None = None, **conf
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach; a local one is made only where none is configured."""
-    configured = spark.conf.get(_CHECKPOINT_CONF, None)
+    """Folder every executor can reach: that of `spark.checkpoint.dir`.
+
+    Only where all work happens in one process (master `local[...]`) a temporary folder takes its place; on a
+    cluster a missing setting is an error, as executors could not read what others write to their own disks.
+    """
     context = spark.sparkContext
+    configured = spark.conf.get(_CHECKPOINT_CONF, None)
     if configured:
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(configured)
         return configured.rstrip("/")
     if context.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError(f"set {_CHECKPOINT_CONF} to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="framelake-"))
     return context.getCheckpointDir().rstrip("/")
 
