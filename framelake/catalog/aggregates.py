@@ -703,7 +703,11 @@ def _(spark, sf):
 
 @query(
     "agg29_frozen_population_hash",
-    "SELECT sha256(CAST(to_json(list_sort(list(CAST(doc_id AS VARCHAR)))) AS VARCHAR)) AS population_hash FROM documents",
+    """WITH ids AS (SELECT CAST(doc_id AS VARCHAR) AS id FROM documents),
+     l6 AS (SELECT sha256(id)[1:6] AS leaf, sha256(CAST(to_json(list_sort(list(id))) AS VARCHAR)) AS h FROM ids GROUP BY 1),
+     l4 AS (SELECT leaf[1:4] AS p, sha256(CAST(to_json(list_sort(list({'leaf': leaf, 'h': h}))) AS VARCHAR)) AS h FROM l6 GROUP BY 1),
+     l2 AS (SELECT p[1:2] AS q, sha256(CAST(to_json(list_sort(list({'leaf': p, 'h': h}))) AS VARCHAR)) AS h FROM l4 GROUP BY 1)
+    SELECT sha256(CAST(to_json(list_sort(list({'leaf': q, 'h': h}))) AS VARCHAR)) AS population_hash FROM l2""",
 )
 def _(spark, sf):
     return A.population_hash(table(spark, sf, "documents"), "doc_id")

@@ -354,11 +354,11 @@ def _(spark, sf):
     base = vectors(spark, sf).select(
         F.col("label").alias("object_id"), F.col("id").alias("node"), *[(v[i] * 20).alias(n) for i, n in enumerate("xyz")],
     )
-    shifted = base.withColumns({"node": F.col("node") + 10_000_000, "x": F.col("x") + 1.0, "sources": F.array(F.lit("TWO_VIEW_LINE_PLANES"))})
+    shifted = base.withColumns({"node": -F.col("node") - 1, "x": F.col("x") + 1.0, "sources": F.array(F.lit("TWO_VIEW_LINE_PLANES"))})
     nodes = base.withColumn("sources", F.array(F.lit("PRIMARY_DEPTH_GRAPH")))
     link = F.lead("node").over(Window.partitionBy("object_id", F.floor(F.col("x") / 4)).orderBy("node"))
     edges = nodes.select("object_id", F.col("node").alias("a"), link.alias("b"), "sources").filter("b is not null")
-    new_edges = edges.select("object_id", (F.col("a") + 10_000_000).alias("a"), (F.col("b") + 10_000_000).alias("b"), F.array(F.lit("TWO_VIEW_LINE_PLANES")).alias("sources"))
+    new_edges = edges.select("object_id", (-F.col("a") - 1).alias("a"), (-F.col("b") - 1).alias("b"), F.array(F.lit("TWO_VIEW_LINE_PLANES")).alias("sources"))
     out, _ = graphs.augment_graph(nodes, shifted, edges, new_edges, ["object_id"])
     return rounded(out, 4, "x", "y", "z").withColumn("sources", F.array_join("sources", ","))
 

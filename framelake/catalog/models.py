@@ -74,7 +74,7 @@ def _(spark, sf):
 
 @query("ml4_class_distances_blocked", f"WITH {KNN_SQL} SELECT qid, label, round(distance, 6) AS distance FROM cd", "vec")
 def _(spark, sf):
-    return rounded(knn(spark, sf, broadcast_bytes=0, block_rows=1000), 6, "distance")
+    return rounded(knn(spark, sf, block_rows=1000), 6, "distance")
 
 
 ACCEPT_SQL = f"""{KNN_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, label) AS k FROM cd), b AS (SELECT a.qid, a.truth, a.label, a.distance, (n.distance - a.distance) / greatest(n.distance, 1e-6) AS margin FROM r a JOIN r n ON a.qid = n.qid AND a.k = 1 AND n.k = 2),

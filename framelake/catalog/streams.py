@@ -28,14 +28,24 @@ def device_events(spark, sf):
 LIMITS = T.InterlockLimits(discard=1, settle_ms=0.0, stable=1, max_motion=4.0, timeout_ms=1e9)
 
 
-@query("str1_pair_stream")
+@query(
+    "str1_pair_stream",
+    """WITH p AS (SELECT user_id AS session_id, event_id AS primary_id, epoch_us(ts) AS t FROM events WHERE event_type = 'click'),
+     s AS (SELECT user_id AS session_id, event_id AS id, epoch_us(ts) AS t FROM events WHERE event_type = 'view'),
+     j AS (SELECT p.session_id, primary_id, s.id, abs(s.t - p.t) AS gap, s.t AS side_t
+           FROM p LEFT JOIN s ON p.session_id = s.session_id AND abs(s.t - p.t) <= 21600000000)
+    SELECT session_id, primary_id, first(id ORDER BY gap, side_t, id) AS side_id, min(gap) / 1000.0 AS pair_delta_ms,
+     count(id) > 0 AS synchronized FROM j GROUP BY 1, 2""",
+)
 def _(spark, sf):
-    def side(kind):
-        e = event_stream(spark, sf).filter(F.col("event_type") == kind)
-        return e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("frame_id"), "ts")
-
-    out = pairing.pair_stream(side("click"), side("view"), tolerance="6 hours", delay="12 hours")
-    return run_to_table(out, "pair-stream")
+    def frames_of(events, kind):
+        return events.filter(F.col("event_type") == kind).select(F.col("user_id").alias("session_id"), F.col("event_id").alias("frame_id"), "ts")
+
+    limits = {"tolerance": "6 hours", "delay": "12 hours"}
+    live = [frames_of(event_stream(spark, sf), kind) for kind in ("click", "view")]
+    emitted = run_to_table(pairing.pair_stream(*live, **limits), "pair-stream")
+    stored = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return pairing.with_open_primaries(emitted, *[frames_of(stored, kind) for kind in ("click", "view")], **limits)
 
 
 @query("str2_latest_only", "SELECT user_id AS device_id, max(epoch_us(ts)) * 1000 AS ns FROM events GROUP BY 1")

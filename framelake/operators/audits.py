@@ -172,28 +172,21 @@ def failure_denominator(population: DataFrame, outcomes: DataFrame, key: str) ->
     )
 
 
-def population_hash(df: DataFrame, id_column: str, *, leaf_rows: int = 65536) -> DataFrame:
-    """Hash of the sorted id list, as one row.
+def population_hash(df: DataFrame, id_column: str, *, digits: int = 6) -> DataFrame:
+    """Hash tree over the ids, as one row; the same tree at every size.
 
-    Up to ``leaf_rows`` ids it is the SHA-256 of the JSON list. A larger population is cut by a prefix of
-    the ids' hashes into leaves of about that many ids, each hashed the same way; the result is the hash
-    of the list of leaf hashes in prefix order (again cut if long), so no task holds all ids.
+    A leaf holds the ids whose SHA-256 begins with the same ``digits`` hex digits and is the SHA-256 of the JSON
+    list of its sorted ids. Two digits at a time are then dropped: the node of a shorter prefix is the SHA-256
+    of the JSON list of its (prefix, hash) entries in order. So no task holds more than a leaf or 256 entries.
     """
+
+    def hashed(frame: DataFrame, key: Column, value: Column) -> DataFrame:
+        return frame.groupBy(key.alias("leaf")).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(value))), 256).alias("h"))
+
     ids = df.select(F.col(id_column).cast("string").alias("id"))
-    rows = ids.count()
-    digits = 0
-    while rows > leaf_rows * 16**digits:
-        digits += 1
-    ids = ids.withColumn("leaf", F.substring(F.sha2("id", 256), 1, digits) if digits else F.lit(""))
-
-    def hashed(frame: DataFrame, keys: list[Column], value: Column) -> DataFrame:
-        return frame.groupBy(*keys).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(value))), 256).alias("h"))
-
-    level = hashed(ids, [F.col("leaf")], F.col("id"))
-    while digits > 0:
-        digits = max(0, digits - 4)
-        entry = F.struct(F.col("leaf").alias("leaf"), F.col("h").alias("h"))
-        level = hashed(level, [F.substring("leaf", 1, digits).alias("leaf") if digits else F.lit("").alias("leaf")], entry)
+    level = hashed(ids, F.substring(F.sha2("id", 256), 1, digits), F.col("id"))
+    for left in range(digits - 2, -1, -2):
+        level = hashed(level, F.substring("leaf", 1, left) if left else F.lit(""), F.struct("leaf", "h"))
     return level.select(F.col("h").alias("population_hash"))
 
 

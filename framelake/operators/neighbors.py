@@ -13,7 +13,6 @@ from framelake.functions.numeric import truth
 from framelake.plans.quantiles import histogram_cell, quantiles
 from framelake.plans.scan import ordinal, top_n_per_key
 
-BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 20_000
 
 
@@ -83,18 +82,16 @@ def _distances(queries: np.ndarray, scales: np.ndarray | None, exemplars: np.nda
 
 def nearest_per_class(
     queries: DataFrame, exemplars: DataFrame, *, k: int = 3, metric: str = "l1", exclude: str | None = None,
-    groups: tuple[Sequence[int], Sequence[float]] | None = None, broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
+    groups: tuple[Sequence[int], Sequence[float]] | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The k nearest exemplars of each class for every query: qid, label, distances (ascending).
 
     queries: qid, v, optional scale (the query's own standardisation) and tag; exemplars: v, label and tag.
-    ``exclude='tag'`` skips exemplars with the query's tag (its own id, or its batch). Exemplars are counted
-    first: a set within ``broadcast_bytes`` is sent to every task once, a larger one is met block by block
-    and the nearest of the blocks are merged. Either way all exemplars are compared.
+    ``exclude='tag'`` skips exemplars with the query's tag (its own id, or its batch). Blocks of queries meet
+    blocks of exemplars, both of ``block_rows`` rows, and the nearest of the blocks are merged, so all exemplars
+    are compared and none passes through the driver.
     """
     scaled, tagged = "scale" in queries.columns, exclude is not None
-    size = exemplars.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    rows, dims = size["n"], size["d"] or 0
     fixed = None if groups is None else (np.asarray(groups[0]), np.asarray(groups[1], float))
     query_type = queries.schema["qid"].dataType.simpleString()
     schema = f"qid {query_type}, label string, distances array<double>"
@@ -114,24 +111,14 @@ def nearest_per_class(
         return pd.concat(parts, ignore_index=True)
 
     columns = ["v", "label", *(["tag"] if tagged else [])]
-    if rows * max(dims, 1) * 8 <= broadcast_bytes:
-        local = exemplars.select(*columns).toPandas()
-        model = queries.sparkSession.sparkContext.broadcast(
-            (np.stack(local["v"].to_numpy()), local["label"].to_numpy(), local["tag"].to_numpy() if tagged else None)
-            if len(local) else (np.empty((0, 0)), np.empty(0), None)
-        )
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield score(pdf, *model.value)
-
-        return queries.mapInPandas(run, schema)
+    rows = exemplars.count()
     blocks = max(1, -(-rows // block_rows))
     parts = max(1, -(-queries.count() // block_rows))
-    left = queries.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("bigint")).withColumn(
+    # New column names on both sides, as queries and exemplars may come from one table.
+    left = queries.select(*[F.col(c).alias(c) for c in queries.columns]).withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("bigint")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
-    right = exemplars.select(*columns).withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")).withColumn(
+    right = exemplars.select(*[F.col(c).alias(c) for c in columns]).withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")).withColumn(
         "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
     )
 
@@ -225,16 +212,13 @@ def leave_out_scales(df: DataFrame, *, by: str, floor: float = 1e-4, weights: Se
 
 
 def leave_out_eval(
-    df: DataFrame, *, by: str, k: int = 3, metric: str = "l1", weights: Sequence[Sequence[float]] | None = None, max_rows: int = 200_000
+    df: DataFrame, *, by: str, k: int = 3, metric: str = "l1", weights: Sequence[Sequence[float]] | None = None
 ) -> DataFrame:
     """Predicts every row from the rows with another ``by`` value: id, weighting, truth, label, distance.
 
-    by='id' is leave-one-out, by='batch' leaves capture batches out. The work is quadratic, so a table above
-    ``max_rows`` is refused; it is never sampled.
+    by='id' is leave-one-out, by='batch' leaves capture batches out. The work is quadratic by its definition; it
+    runs block by block at any size and is never sampled.
     """
-    rows = df.count()
-    if rows > max_rows:
-        raise ValueError(f"{rows} rows exceed the limit of {max_rows} for a quadratic evaluation")
     exemplars = df.select("v", "label", F.col(by).alias("tag"))
     out = None
     for number, weighting in enumerate(weights or [None]):

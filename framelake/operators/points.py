@@ -15,7 +15,7 @@ from framelake.functions.numeric import clip, ratio, truth
 from framelake.operators.grids import valid_depth
 from framelake.plans.boxes import with_cells
 from framelake.plans.quantiles import quantiles
-from framelake.plans.scan import ordinal, top_n_per_key
+from framelake.plans.scan import hash_bucket, ordinal
 
 AXES = ("x", "y", "z")
 _COV = [(i, j) for i in range(3) for j in range(i, 3)]
@@ -104,17 +104,33 @@ def fit_plane(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def fit_plane_ransac(df: DataFrame, keys: Sequence[str], item: str, *, threshold: float = 1.5, iterations: int = 80, seed: int = 0) -> DataFrame:
     """Plane through the largest set of inliers of sampled triples, refitted on them.
 
-    The triples are the first points of each key in seeded hash order, three at a time, which replaces a
-    random generator. All points of a key are tested against its triples; without a set of three inliers
-    the plain fit is used.
+    Each of the ``iterations`` trials of a key draws three different points, by the trial's own seeded hash, from
+    the key's points in hash order, so small groups have as many trials as large ones. All points of a key
+    are tested against its triples; without a set of three inliers the plain fit is used.
     """
     keys = list(keys)
-    marked = df.withColumn("__h", split_rank_hash(seed, F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), F.col(item)))
-    first = top_n_per_key(marked.select(*keys, item, "__h", *AXES), keys, [F.asc("__h"), F.asc(item)], 3 * iterations)
-    slot = (F.col("rank") - 1) % 3
-    triples = first.withColumn("trial", F.expr("(rank - 1) div 3")).groupBy(*keys, "trial").agg(
-        *[F.max(F.when(slot == s, F.struct(*AXES))).alias(f"p{s}") for s in range(3)]
-    ).filter("p2 is not null")
+    name = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    marked = df.withColumn("__h", split_rank_hash(seed, name, F.col(item))).withColumn("__b", hash_bucket(F.col("__h")))
+    placed = ordinal(marked, keys, "__b", ["__h", item], "__o").select(*keys, (F.col("__o") - 1).alias("__o"), *AXES)
+    n = F.col("__n")
+
+    def draw(j: int, size: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), F.col("trial"), F.lit(j), name), size)
+
+    one, two = F.col("__r0"), F.col("__r1")
+    low, high = F.least(one, two), F.greatest(one, two)
+    third = F.col("__r2") + (F.col("__r2") >= low).cast("bigint")
+    drawn = (
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(n >= 3)
+        .withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+        .withColumns({"__r0": draw(0, n), "__s": draw(1, n - 1), "__r2": draw(2, n - 2)})
+        .withColumn("__r1", F.pmod(one + 1 + F.col("__s"), n))
+        .withColumn("__t", third + (third >= high).cast("bigint"))
+        .select(*keys, "trial", F.posexplode(F.array("__r0", "__r1", "__t")).alias("slot", "__o"))
+    )
+    triples = drawn.join(placed, [*keys, "__o"]).groupBy(*keys, "trial").agg(
+        *[F.max(F.when(F.col("slot") == s, F.struct(*AXES))).alias(f"p{s}") for s in range(3)]
+    )
     a = [F.col(f"p1.{c}") - F.col(f"p0.{c}") for c in AXES]
     b = [F.col(f"p2.{c}") - F.col(f"p0.{c}") for c in AXES]
     normal = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]

@@ -32,6 +32,17 @@ def pair_stream(primary: DataFrame, side: DataFrame, *, tolerance: str = "50 mil
     )
 
 
+def with_open_primaries(emitted: DataFrame, primary: DataFrame, side: DataFrame, **options) -> DataFrame:
+    """The pairs of a replay that has ended: those emitted, and the primaries that still waited for the watermark.
+
+    primary and side are the replayed frames as tables; every primary comes out exactly once.
+    """
+    open_primaries = primary.join(
+        emitted.select("session_id", F.col("primary_id").alias("frame_id")), ["session_id", "frame_id"], "left_anti"
+    )
+    return emitted.unionByName(pair_stream(open_primaries, side, **options))
+
+
 def live_health(events: DataFrame, *, width: str = "1 day", slide: str | None = None, delay: str = "250 milliseconds") -> DataFrame:
     """Frames, failures and latency of each device and time window (ts, device_id, latency_ms, ok)."""
     span = F.window("ts", width, slide) if slide else F.window("ts", width)
