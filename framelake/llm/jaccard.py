@@ -10,16 +10,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.llm.scratch import kept
 from framelake.llm.text import LOWER, SPACE, Texts, grams, mix, row_edges, slices, span_hashes, text_or_empty, texts, words
 from framelake.operators.graphs import connected_components
-from framelake.session import scratch_path
 
 #: Links need 100 * intersection >= 90 * union; prefix lengths and costs below are derived from it.
 SHINGLE = 3
 #: Cells of the frequency sketch that orders tokens (rare first); its size is fixed, its errors only cost time.
-CELL_BITS, BLOCKS = 20, 64
+CELL_BITS, BLOCKS = 21, 64
 #: Token orders: a pair must share prefix tokens under all of them.
 SEEDS = (0x0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
+FURTHER = tuple(f"prefix{i}" for i in range(1, len(SEEDS)))
 #: Groups up to this size are compared pair by pair; larger ones are split by what their members differ in.
 SMALL = 48
 
@@ -55,7 +56,7 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
 
 
 def frequency_classes(docs: DataFrame) -> np.ndarray:
-    """For each cell of tokens, how many doublings above twice the mean cell it was counted (0: rare)."""
+    """For each cell of tokens, in steps of a half, how far its count stands above the mean cell (0: rare)."""
     width = (1 << CELL_BITS) // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,13 +65,13 @@ def frequency_classes(docs: DataFrame) -> np.ndarray:
             cells = [_cells(s) for s in shingle_sets(texts(part.column("text")))]
             total += np.bincount(np.concatenate(cells), minlength=1 << CELL_BITS)
         lane = TaskContext.get().partitionId() % 32
-        yield _blocks(lane, range(BLOCKS), total.reshape(BLOCKS, width))
+        yield _blocks(lane, range(BLOCKS), total.astype(np.int32).reshape(BLOCKS, width))
 
     def add(table: pa.Table) -> pa.Table:
         bodies = table.column("counts").to_pylist()
         total = np.zeros(width, np.int64)
         for body in bodies:
-            total += np.frombuffer(body, np.int64)
+            total += np.frombuffer(body, np.int64 if len(body) == 8 * width else np.int32)
         first = table.slice(0, 1)
         return pa.Table.from_batches([_blocks(first.column("lane")[0].as_py(), [first.column("block")[0].as_py()], total[None])])
 
@@ -81,7 +82,8 @@ def frequency_classes(docs: DataFrame) -> np.ndarray:
     if not got.num_rows:
         return np.zeros(1 << CELL_BITS, np.uint8)
     total = np.frombuffer(b"".join(got.column("counts").to_pylist()), np.int64)
-    return np.maximum(0, np.floor(np.log2(np.maximum(total, 1) / max(2 * total.mean(), 1)))).astype(np.uint8)
+    ratio = np.maximum(total, 1) / max(total.mean(), 1)
+    return np.maximum(0, np.floor(np.log(ratio) / np.log(1.5))).astype(np.uint8)
 
 
 def _blocks(lane: int, numbers, counts: np.ndarray) -> pa.RecordBatch:
@@ -102,51 +104,50 @@ def prefix(tokens: np.ndarray, classes: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _described(docs: DataFrame, classes) -> DataFrame:
-    """doc_id, n, f1, f2 and the prefixes of each row."""
+    """doc_id, n, f1, f2, the prefix under the first order and, in four bytes a token, those under the others."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = shingle_sets(texts(part.column("text")))
             prints = [fingerprint(s) for s in sets]
-            chosen = [[prefix(s, classes.value, seed).view(np.int64) for s in sets] for seed in SEEDS]
+            first = [prefix(s, classes.value, SEEDS[0]).view(np.int64) for s in sets]
+            further = [_lists([_short(prefix(s, classes.value, seed)) for s in sets], np.int32) for seed in SEEDS[1:]]
             yield pa.record_batch(
                 [
                     part.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([f[0] for f in prints], pa.int64()),
                     pa.array([f[1] for f in prints], pa.int64()),
-                    *(_lists(c) for c in chosen),
+                    _lists(first),
+                    *further,
                 ],
-                names=["doc_id", "n", "f1", "f2", *(f"prefix{i}" for i in range(len(SEEDS)))],
+                names=["doc_id", "n", "f1", "f2", "prefix", *FURTHER],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prefixes = ", ".join(f"prefix{i} array<long>" for i in range(len(SEEDS)))
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    return rows.mapInArrow(describe, f"doc_id {kind}, n long, f1 long, f2 long, {prefixes}")
+    return rows.mapInArrow(describe, f"doc_id {kind}, n long, f1 long, f2 long, prefix array<long>, " + ", ".join(f"{p} array<int>" for p in FURTHER))
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    values = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
+def _short(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again, so that later steps never compute it anew."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _lists(arrays: list[np.ndarray], kind: type = np.int64) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    values = np.concatenate(arrays) if arrays else np.zeros(0, kind)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
 
 
 def _long_enough(a: str, b: str):
     return 10 * F.least(a, b) >= 9 * F.greatest(a, b)
 
 
-def _split_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """One level of splitting for rows (g, u, label, p, rem, add): a set is a centre of p tokens of its
-    group without `rem` and with `add`. Returns pairs to verify, proven links, rows of the next level, and the
-    rows' own table.
+def _split_groups(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """One level of splitting for rows (g, u, label, n, parent) and the sets of their parents' members.
+
+    A set (g, u, p, rem, add) is a centre of p tokens of its group without `rem` and with `add`. Returns pairs to
+    verify, proven links, and the rows and sets of the next level (None after the last).
 
     Small groups give all pairs of different labels. In a large group the centre moves to the tokens that most
     members have. With cost c = 10 |rem| + 9 |add|, two members with s common differences are linked exactly when
@@ -154,23 +155,28 @@ def _split_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Dat
     common difference, and these need no pairs among themselves. Each other member, the open ones, can only be
     linked to members with which it shares s >= 1 differences; prefixes of the differences, by that bound,
     make the groups of the next level. A difference is in half the members at most, so groups halve each time.
+    Only large groups take sets along.
     """
     c = F.col
     sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l1"), F.max("label").alias("l2"))
-    sized = _kept(rows.join(sizes.where(c("l1") != c("l2")).select("g", "size"), "g"), "jaccard-groups")
+    sized = kept(rows.join(sizes.where(c("l1") != c("l2")).select("g", "size"), "g"), "jaccard-groups")
     small = sized.where(c("size") <= SMALL).select("g", "u", "label", "n")
     other = small.select("g", c("u").alias("v"), c("label").alias("label2"), c("n").alias("m"))
     pairs = small.join(other, "g").where((c("u") < c("v")) & (c("label") != c("label2")) & _long_enough("n", "m")).select("u", "v")
-
+    pairs = kept(pairs.distinct(), "jaccard-pairs")
     large = sized.where(c("size") > SMALL)
+    if large.isEmpty():
+        return pairs, pairs.limit(0), None, None
+    large = kept(large.join(sets.withColumnRenamed("g", "parent"), ["parent", "u"]), "jaccard-large")
     marks = F.concat(
         F.transform("rem", lambda t: F.struct(t.alias("t"), F.lit(-1).alias("way"))),
         F.transform("add", lambda t: F.struct(t.alias("t"), F.lit(1).alias("way"))),
     )
     common = (
-        large.select("g", "size", F.explode(marks).alias("m"))
+        large.select("g", F.explode(marks).alias("m"))
         .groupBy("g", "m.t", "m.way")
-        .agg(F.count(F.lit(1)).alias("k"), F.first("size").alias("size"))
+        .agg(F.count(F.lit(1)).alias("k"))
+        .join(sizes.select("g", "size"), "g")
         .where(2 * c("k") > c("size"))
         .groupBy("g")
         .agg(
@@ -180,7 +186,7 @@ def _split_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Dat
     )
     none = F.array().cast("array<long>")
     moved = (
-        large.join(common, "g", "left")
+        large.join(kept(common, "jaccard-common"), "g", "left")
         .withColumns({"lost": F.coalesce("lost", none), "won": F.coalesce("won", none)})
         .select(
             "g", "u", "label", "n",
@@ -190,13 +196,12 @@ def _split_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Dat
         )
         .withColumn("cost", 10 * F.size("rem") + 9 * F.size("add"))
     )
-    moved = _kept(moved, "jaccard-moved")
+    moved = kept(moved, "jaccard-moved")
     best = moved.groupBy("g").agg(F.min(F.struct("cost", "u", "label")).alias("b")).select(
         "g", c("b.cost").alias("least"), c("b.u").alias("centre"), c("b.label").alias("centre_label")
     )
     met = moved.join(best, "g").withColumn("open", (c("u") != c("centre")) & (c("cost") + c("least") > c("p")))
-    met = _kept(met, "jaccard-met")
-    links = met.where(~c("open") & (c("u") != c("centre"))).select("u", c("centre").alias("v"))
+    links = kept(met.where(~c("open") & (c("u") != c("centre"))).select("u", c("centre").alias("v")), "jaccard-proven")
     opened = met.where("open").groupBy("g").agg(F.min("cost").alias("least_open"))
     meeting = met.join(opened, "g").withColumn(
         "needed", F.greatest(F.lit(1), F.ceil((c("cost") + F.when(c("open"), c("least")).otherwise(c("least_open")) - c("p")) / 19))
@@ -205,28 +210,24 @@ def _split_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Dat
         F.concat(F.transform("rem", lambda t: F.xxhash64(t, F.lit(-1))), F.transform("add", lambda t: F.xxhash64(t, F.lit(1))))
     )
     length = (F.size("rem") + F.size("add") - c("needed") + 1).cast("int")
-    following = (
-        meeting.withColumn("__cut", F.when(length > 0, F.slice(marked, 1, F.greatest(length, F.lit(1)))))
-        .select(
-            F.explode("__cut").alias("mark"), "g", "u", "n", "p", "rem", "add",
-            F.when(c("open"), c("label")).otherwise(c("centre_label")).alias("label"),
-        )
-        .select(F.xxhash64("g", "mark").alias("g"), "u", "label", "n", "p", "rem", "add")
-    )
-    return pairs, links, following, sized
+    following = meeting.select(
+        F.explode(F.when(length > 0, F.slice(marked, 1, F.greatest(length, F.lit(1))))).alias("mark"),
+        c("g").alias("parent"), "u", "n",
+        F.when(c("open"), c("label")).otherwise(c("centre_label")).alias("label"),
+    ).withColumn("g", F.xxhash64("parent", "mark"))
+    return pairs, links, following.drop("mark"), moved.select("g", "u", "p", "rem", "add")
 
 
-def _links_in_large_groups(families: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+def _links_in_large_groups(families: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs to verify and proven links of families (g, u, toks)."""
     none = F.array().cast("array<long>")
-    rows = families.select("g", "u", F.col("u").alias("label"), F.size("toks").alias("n"), F.lit(0).alias("p"), none.alias("rem"), F.col("toks").alias("add"))
-    all_pairs, all_links = None, None
-    while True:
-        pairs, links, rows, sized = _split_groups(rows)
-        if sized.isEmpty():
-            return all_pairs, all_links
-        all_pairs = pairs if all_pairs is None else all_pairs.unionByName(pairs)
-        all_links = links if all_links is None else all_links.unionByName(links)
+    sets = families.select("g", "u", F.lit(0).alias("p"), none.alias("rem"), F.col("toks").alias("add"))
+    rows = families.select("g", "u", F.col("u").alias("label"), F.size("toks").alias("n"), F.col("g").alias("parent"))
+    pairs, links, rows, sets = _split_groups(rows, sets)
+    while rows is not None:
+        more, proven, rows, sets = _split_groups(rows, sets)
+        pairs, links = pairs.unionByName(more), links.unionByName(proven)
+    return pairs, links
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -243,45 +244,47 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     c = F.col
     docs = docs.select("doc_id", "text")
     classes = spark.sparkContext.broadcast(frequency_classes(docs))
-    described = _kept(_described(docs, classes), "jaccard-documents")
-    prefixes = [f"prefix{i}" for i in range(len(SEEDS))]
-    sets = _kept(
+    described = kept(_described(docs, classes), "jaccard-documents")
+    sets = kept(
         described.where("n > 0").groupBy("f1", "f2", "n").agg(
-            F.min("doc_id").alias("first_id"), *(F.first(p).alias(p) for p in prefixes)
+            F.min("doc_id").alias("first_id"), F.first("prefix").alias("prefix")
         ).withColumnRenamed("f1", "u"),
         "jaccard-classes",
     )
-    postings = sets.select("u", "n", F.explode("prefix0").alias("t"))
-    sizes = _kept(postings.groupBy("t").agg(F.count(F.lit(1)).alias("size"), F.min("u").alias("lowest")).where("size > 1"), "jaccard-sizes")
-    held = _kept(postings.join(sizes, "t"), "jaccard-postings")
-    warm = held.where(c("size") <= SMALL).select("t", "u", "n")
-    near = warm.join(warm.select("t", c("u").alias("v"), c("n").alias("m")), "t")
-    near = near.where((c("u") < c("v")) & _long_enough("n", "m")).select("u", "v").distinct()
-    others = prefixes[1:]
-    left = sets.select("u", *(c(p).alias(f"u_{p}") for p in others))
-    right = sets.select(c("u").alias("v"), *(c(p).alias(f"v_{p}") for p in others))
-    candidates = near.join(left, "u").join(right, "v")
-    for p in others:
-        candidates = candidates.where(F.arrays_overlap(f"u_{p}", f"v_{p}"))
-    candidates = _kept(candidates.select("u", "v"), "jaccard-candidates")
+    # One shuffle by token serves the counts and the groups.
+    postings = sets.select("u", "n", F.posexplode("prefix").alias("i", "t")).repartition("t")
+    sizes = postings.groupBy("t").agg(F.count(F.lit(1)).alias("size"), F.min("u").alias("lowest")).where("size > 1")
+    held = kept(postings.join(sizes, "t"), "jaccard-postings")
+    warm = held.where(c("size") <= SMALL).select("t", "u", "n", "i")
+    near = warm.join(warm.select("t", c("u").alias("v"), c("n").alias("m"), c("i").alias("j")), "t")
+    # A linked pair's first common token leaves enough tokens behind it on both sides.
+    enough = 19 * F.least(c("n") - c("i"), c("m") - c("j")) >= 9 * (c("n") + c("m"))
+    near = kept(near.where((c("u") < c("v")) & _long_enough("n", "m") & enough).select("u", "v").distinct(), "jaccard-near")
+    ends = near.select("u").union(near.select("v")).distinct()
+    others = described.join(ends, c("f1") == c("u")).groupBy("u").agg(*(F.first(p).alias(p) for p in FURTHER))
+    others = kept(others, "jaccard-prefixes")
+    candidates = near.join(others, "u").join(others.select(c("u").alias("v"), *(c(p).alias(f"v_{p}") for p in FURTHER)), "v")
+    for p in FURTHER:
+        candidates = candidates.where(F.arrays_overlap(p, f"v_{p}"))
+    candidates = kept(candidates.select("u", "v"), "jaccard-candidates")
 
     hot = held.where(c("size") > SMALL)
     hot_nodes = hot.select(c("u").alias("node")).distinct()
-    family_of = _kept(connected_components(hot_nodes, hot.select(c("u").alias("a"), c("lowest").alias("b"))), "jaccard-families")
+    family_of = kept(connected_components(hot_nodes, hot.select(c("u").alias("a"), c("lowest").alias("b"))), "jaccard-families")
     needed = candidates.select("u").union(candidates.select("v")).union(family_of.select("node")).distinct()
-    tokens = _kept(_tokens_of(docs, sets.select("u", "first_id").join(needed, "u")), "jaccard-tokens")
-    families = family_of.select(c("node").alias("u"), c("component").alias("g")).join(tokens, "u")
+    needed = kept(sets.select("u", "first_id").join(needed, "u"), "jaccard-needed")
+    tokens = kept(_tokens_of(docs, needed), "jaccard-tokens")
+    families = family_of.select(c("node").alias("u"), c("component").alias("g")).join(tokens.select("u", "toks"), "u")
     more, proven = _links_in_large_groups(families)
-    if more is not None:
-        candidates = candidates.union(more).distinct()
+    candidates = candidates.union(more).distinct()
     verified = (
-        candidates.join(tokens, "u")
+        candidates.join(tokens.select("u", "toks"), "u")
         .join(tokens.select(c("u").alias("v"), c("toks").alias("other")), "v")
         .withColumn("both", F.size(F.array_intersect("toks", "other")))
         .where(10 * c("both") >= 9 * (F.size("toks") + F.size("other") - c("both")))
         .select("u", "v")
     )
-    links = _kept(verified if proven is None else verified.union(proven).distinct(), "jaccard-links")
+    links = kept(verified.union(proven).distinct(), "jaccard-links")
     ends = links.select(c("u").alias("node")).union(links.select(c("v").alias("node"))).distinct()
     component = connected_components(ends, links.select(c("u").alias("a"), c("v").alias("b")))
     named = sets.select("u", "f2", "first_id").join(component.withColumnRenamed("node", "u"), "u", "left")
