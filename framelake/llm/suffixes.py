@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.llm.scratch import kept
 from framelake.llm.text import LOWER, SPACE, Texts, Words, mix, row_edges, slices, span_hashes, text_or_empty, texts, words
-from framelake.session import scratch_path
 
 #: A repeated passage has this many words at least.
 LENGTH = 50
@@ -81,22 +81,32 @@ def _suffixes(part: pa.RecordBatch) -> pa.RecordBatch:
     after = np.where(after < edge[row + 1][:, None], after, len(short) - 1)
     before = position[:, None] - 1 - steps
     before = np.where(before >= edge[row][:, None], before, len(short) - 1)
+    # In periodic text the same suffix comes again every few words: such a run is one row.
+    context = mix(_running(short[after])[:, -1] + mix(_running(short[before])[:, -1] + mix(value + (first - position).astype(np.uint64))))
+    context = mix(context + mix((last - position).astype(np.uint64) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    order = np.lexsort((position, context))
+    apart = (context[order][1:] != context[order][:-1]) | (np.diff(position[order]) > REACH)
+    begin = np.flatnonzero(np.append(True, apart)) if len(order) else order
+    until = position[order][np.append(begin[1:], len(order)) - 1] if len(order) else position
+    keep = order[begin]
+    position, value, row, first, last, share = position[keep], value[keep], row[keep], first[keep], last[keep], share[keep]
     doc = part.column("doc_id")
-    number = doc.to_numpy()[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (position - edge[row]).astype(np.uint64)
-    salt = mix(number) % np.maximum(share, 1).astype(np.uint64)
     base = edge[row]
+    number = doc.to_numpy()[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (position - base).astype(np.uint64)
+    salt = mix(number) % np.maximum(share, 1).astype(np.uint64)
     return pa.record_batch(
         [
             pa.array(value.view(np.int64)),
             pa.array(salt.astype(np.int64)),
             doc.take(pa.array(row)),
             pa.array((position - base).astype(np.int64)),
+            pa.array((until - base).astype(np.int64)),
             pa.array((position - last).astype(np.int64)),
             pa.array((position - first).astype(np.int64)),
-            pa.array([r.tobytes() for r in short[after]], pa.binary()),
-            pa.array([r.tobytes() for r in short[before]], pa.binary()),
+            pa.array([r.tobytes() for r in short[after[keep]]], pa.binary()),
+            pa.array([r.tobytes() for r in short[before[keep]]], pa.binary()),
         ],
-        names=["h", "salt", "doc_id", "position", "least", "most", "after", "before"],
+        names=["h", "salt", "doc_id", "position", "until", "least", "most", "after", "before"],
     )
 
 
@@ -118,7 +128,7 @@ def repeats_of(table: pa.Table) -> pa.RecordBatch:
     after = np.frombuffer(b"".join(table.column("after").to_pylist()), _WORD).reshape(-1, REACH)
     before = np.frombuffer(b"".join(table.column("before").to_pylist()), _WORD).reshape(-1, REACH)
     doc = table.column("doc_id").to_numpy()
-    position, least, most = (table.column(c).to_numpy() for c in ("position", "least", "most"))
+    position, until, least, most = (table.column(c).to_numpy() for c in ("position", "until", "least", "most"))
     shared = np.where(group[1:] == group[:-1], _common(after[1:], after[:-1]), -1)
     right = np.maximum(np.append(shared, -1), np.append(-1, shared))
     use = np.flatnonzero((right >= 0) & (right + np.minimum(most, REACH) >= REACH))
@@ -138,7 +148,7 @@ def repeats_of(table: pa.Table) -> pa.RecordBatch:
         lowest, highest = np.repeat(docs[first], size), np.repeat(docs[first + size - 1], size)
         repeated[ok[order], o] = lowest != highest
         removable[ok[order], o] = docs != lowest
-    out = [_stretches(flags, use, position, doc, kind) for flags, kind in ((repeated, False), (removable, True))]
+    out = [_stretches(flags, use, position, until, doc, kind) for flags, kind in ((repeated, False), (removable, True))]
     return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], names=["doc_id", "first", "last", "removable"])
 
 
@@ -150,14 +160,13 @@ def _running(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _stretches(flags: np.ndarray, use: np.ndarray, position: np.ndarray, doc: np.ndarray, kind: bool):
+def _stretches(flags: np.ndarray, use: np.ndarray, position: np.ndarray, until: np.ndarray, doc: np.ndarray, kind: bool):
     edge = np.zeros((len(flags), flags.shape[1] + 2), np.int8)
     edge[:, 1:-1] = flags
     step = np.diff(edge, axis=1)
     who, begin = np.nonzero(step == 1)
     _, end = np.nonzero(step == -1)
-    at = position[use[who]]
-    return doc[use[who]], at - (end - 1), at - begin + LENGTH, np.full(len(who), kind)
+    return doc[use[who]], position[use[who]] - (end - 1), until[use[who]] - begin + LENGTH, np.full(len(who), kind)
 
 
 def _merged(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
@@ -184,7 +193,6 @@ def repeated_passages(docs: DataFrame, *, share: int = SHARE) -> DataFrame:
     Rows without an id, and null, empty and short texts have no spans; rows with equal ids are one document.
     An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     c = F.col
     rows = docs.where(c("doc_id").isNotNull()).select(c("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
@@ -195,20 +203,16 @@ def repeated_passages(docs: DataFrame, *, share: int = SHARE) -> DataFrame:
             both = np.unique(np.stack([word.row[position], value.view(np.int64)], 1), axis=0) if len(position) else np.zeros((0, 2), np.int64)
             yield pa.record_batch([part.column("doc_id").take(pa.array(both[:, 0])), pa.array(both[:, 1])], names=["doc_id", "h"])
 
-    path = scratch_path(spark, "suffix-grams")
-    rows.mapInArrow(select, "doc_id long, h long").write.parquet(path)
-    chosen = spark.read.schema("doc_id long, h long").parquet(path)
+    chosen = kept(rows.mapInArrow(select, "doc_id long, h long"), "suffix-grams")
     groups = chosen.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    path = scratch_path(spark, "suffix-groups")
-    groups.where(c("a") != c("b")).select("h", F.ceil(c("k") / share).alias("shares")).write.parquet(path)
-    groups = spark.read.schema("h long, shares long").parquet(path)
+    groups = kept(groups.where(c("a") != c("b")).select("h", F.ceil(c("k") / share).alias("shares")), "suffix-groups")
     wanted = chosen.join(groups, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "shares")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             yield _suffixes(part)
 
-    schema = "h long, salt long, doc_id long, position long, least long, most long, after binary, before binary"
+    schema = "h long, salt long, doc_id long, position long, until long, least long, most long, after binary, before binary"
     suffixes = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut, schema)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,9 +281,9 @@ def without_spans(docs: DataFrame, spans: DataFrame, name: str = "removable_span
                         left.append(body[at : word.start[edge[r] + s["first"]] - low])
                         at = word.end[edge[r] + s["last"] - 1] - low
                     bodies[r] = b"".join([*left, body[at:]]).decode("utf-8")
-            columns = [pa.array(bodies, pa.string()) if c == "text" else part.column(c) for c in kept]
-            yield pa.record_batch(columns, names=kept)
+            columns = [pa.array(bodies, pa.string()) if c == "text" else part.column(c) for c in names]
+            yield pa.record_batch(columns, names=names)
 
-    kept = docs.columns
+    names = docs.columns
     joined = docs.join(spans.select(F.col("doc_id").alias("__id"), F.col(name).alias("__spans")), F.col("doc_id") == F.col("__id"), "left")
     return joined.drop("__id").mapInArrow(apply, docs.schema)
