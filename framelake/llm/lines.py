@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.llm.scratch import kept, new_path, remove
 from framelake.llm.text import ascii_lower, text_or_empty
-from framelake.session import scratch_path
 
 KEY = ["k1", "k2"]
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -42,7 +42,7 @@ class LineRuns:
         return runs.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.max("fresh").alias("fresh"))
 
     def _write(self, run: DataFrame) -> str:
-        path = scratch_path(self.spark, "line-run")
+        path = new_path(self.spark, "line-run")
         run.sortWithinPartitions(*KEY).write.parquet(path)
         return path
 
@@ -68,6 +68,7 @@ class LineRuns:
         self.levels[level].append(path)
         if len(self.levels[level]) >= self.fanout:
             merged = self._write(self._merged(self._read(self.levels[level])))
+            remove(self.spark, self.levels[level])
             self.levels[level] = []
             self._place(merged, level + 1)
 
@@ -98,13 +99,14 @@ def dedup_lines(
     found = docs.select(id_of.alias("doc_id"), F.explode(hashes).alias("h")).select(
         "doc_id", "h.*", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")
     )
-    path = scratch_path(spark, "line-keys")
+    path = new_path(spark, "line-keys")
     found.write.partitionBy("batch").parquet(path)
     occurrences = spark.read.schema("doc_id long, k1 long, k2 long, batch int").parquet(path)
     runs = LineRuns(spark, fanout)
     for b in range(batches):
         runs.add(occurrences.where(F.col("batch") == b))
-    repeated = runs.totals().where(F.col("n") >= min_docs).select(*KEY, "last")
+    # Written, so that the join below has two plain inputs and can split the rows of a hot line.
+    repeated = kept(runs.totals().where(F.col("n") >= min_docs).select(*KEY, "last"), "repeated-lines")
     losing = (
         occurrences.join(repeated, KEY)
         .where(~F.col("doc_id").eqNullSafe(F.col("last")))
@@ -112,13 +114,13 @@ def dedup_lines(
         .agg(F.collect_set(F.struct(*KEY)).alias("lost_keys"))
     )
     joined = docs.drop("n_lines", "n_dropped").join(losing, id_of.eqNullSafe(F.col("losing_id")), "left")
-    kept = F.when(F.col("lost_keys").isNull(), lines).otherwise(
+    left = F.when(F.col("lost_keys").isNull(), lines).otherwise(
         F.filter(
             lines,
             lambda line: (F.length(line) < min_chars) | ~F.array_contains(F.col("lost_keys"), _key_hash(line)),
         )
     )
-    cut = joined.withColumn("kept_lines", kept)
+    cut = joined.withColumn("kept_lines", left)
     return cut.select(
         *(F.array_join("kept_lines", "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")),
         F.size(lines).cast("long").alias("n_lines"),
