@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 CYCLE = 1000
 BLOCK_DOCS = 32
 #: Rows ranked in one window; only the number of windows depends on it, no rank does.
-RANKED_ROWS = 200_000
+RANKED_ROWS = 4_000
 
 
 class Cycle(NamedTuple):
