@@ -3,17 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm import decontaminate, jaccard, lines, mixing, quality
 from framelake.llm.sample import remainder
-from framelake.session import scratch_path
+from framelake.llm.scratch import kept, noted, remove
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Intermediate tables of the stage that was called last.
+_earlier: list[str] = []
 
+
+def _stage(work: Stage) -> Stage:
+    """A stage's result is written before the next stage is called; then its intermediate tables go."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _earlier)
+        _earlier.clear()
+        with noted() as paths:
+            out = work(spark, docs, sf_dir)
+        _earlier.extend(paths)
+        return out
+
+    return run_stage
+
+
+@_stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network calls good; it learns from the labelled documents outside the held-out fold."""
     learn = F.coalesce(remainder(F.col("doc_id"), 3) != 1, F.lit(False))
@@ -22,22 +42,26 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return scored.where(F.col("__score") >= 0.5).select(*_names(docs))
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that many have; n_chars is that of the text left."""
     return _recounted(lines.dedup_lines(docs), docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-equal texts, the one with the smallest id."""
     return jaccard.nearest_kept(docs, jaccard.jaccard_components(docs)).select(*_names(docs))
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their benchmark passages; those that mostly consist of them go."""
     found = decontaminate.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _recounted(found.where(~F.col("over_coverage")).withColumn("text", F.col("clean_text")), docs)
 
 
+@_stage
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the mixed order of their sources."""
     return mixing.in_mixed_order(mixing.mix_sources(docs))
@@ -57,11 +81,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    behind: list[str] = []
     for _, stage in STAGES:
-        path = scratch_path(spark, "corpus-stage")
         done = stage(spark, docs, sf_dir)
-        done.write.parquet(path)
-        docs = spark.read.schema(done.schema).parquet(path)
+        with noted() as paths:
+            docs = kept(done, "corpus-stage")
+        remove(spark, behind)
+        behind = paths
     return docs
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelake.llm.scratch import kept
 from framelake.llm.text import LOWER, NON_ALNUM, grams, row_counts, row_edges, slices, span_hashes, text_or_empty, texts, words
-from framelake.session import scratch_path
 
 #: Words of test items in one automaton; more items are met in several passes.
 ITEM_WORDS = 200_000
@@ -194,11 +194,11 @@ def overlaps(
     Equal rows stay separate; columns with the new names are replaced; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    kept = docs.drop(*ADDED)
+    plain = docs.drop(*ADDED)
     indexes = _indexes(items.where(F.col("item_id").isNotNull()), window, item_words)
     one = len(indexes) == 1
-    schema = T.StructType([*kept.schema.fields, *T._parse_datatype_string(_RESULT if one else _STATE).fields])
-    seen = kept if one else kept.withColumns({"hit_bits": F.lit(None).cast("binary"), "hit_items": F.array().cast("array<string>")})
+    schema = T.StructType([*plain.schema.fields, *T._parse_datatype_string(_RESULT if one else _STATE).fields])
+    seen = plain if one else plain.withColumns({"hit_bits": F.lit(None).cast("binary"), "hit_items": F.array().cast("array<string>")})
     for index in indexes:
         shared = spark.sparkContext.broadcast(index)
 
@@ -209,12 +209,10 @@ def overlaps(
 
         seen = seen.mapInArrow(scan, schema)
         if not one:
-            path = scratch_path(spark, "item-share")
-            seen.write.parquet(path)
-            seen = spark.read.schema(schema).parquet(path)
+            seen = kept(seen, "item-share")
     if one:
         return seen
-    final = T.StructType([*kept.schema.fields, *T._parse_datatype_string(_RESULT).fields])
+    final = T.StructType([*plain.schema.fields, *T._parse_datatype_string(_RESULT).fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -246,10 +244,10 @@ def _hits(part: pa.RecordBatch, index: ItemIndex | None) -> tuple[np.ndarray, li
 def _noted(part: pa.RecordBatch, hit: np.ndarray, met: list[set[str]]) -> pa.RecordBatch:
     _, row = _hashed(texts(part.column("text")))
     edge = row_edges(row, part.num_rows)
-    kept = [c for c in part.schema.names if c not in ("hit_bits", "hit_items")]
+    plain = [c for c in part.schema.names if c not in ("hit_bits", "hit_items")]
     bits = [hit[a:b].tobytes() if hit[a:b].any() else None for a, b in zip(edge, edge[1:])]
     added = [pa.array(bits, pa.binary()), pa.array([sorted(m) for m in met], pa.list_(pa.string()))]
-    return pa.record_batch([*(part.column(c) for c in kept), *added], names=[*kept, "hit_bits", "hit_items"])
+    return pa.record_batch([*(part.column(c) for c in plain), *added], names=[*plain, "hit_bits", "hit_items"])
 
 
 def _cut(part: pa.RecordBatch, hit: np.ndarray, met: list[set[str]], max_coverage: float) -> pa.RecordBatch:
@@ -271,7 +269,7 @@ def _cut(part: pa.RecordBatch, hit: np.ndarray, met: list[set[str]], max_coverag
             left.append(body[at : word.start[a + x] - source.starts[r]])
             at = word.end[a + y - 1] - source.starts[r]
         bodies[r] = b"".join([*left, body[at:]]).decode("utf-8")
-    kept = [c for c in part.schema.names if c not in ("hit_bits", "hit_items")]
+    plain = [c for c in part.schema.names if c not in ("hit_bits", "hit_items")]
     added = [
         pa.array(n_words, pa.int64()),
         pa.array(n_hit, pa.int64()),
@@ -279,4 +277,4 @@ def _cut(part: pa.RecordBatch, hit: np.ndarray, met: list[set[str]], max_coverag
         pa.array(bodies, pa.string()),
         pa.array(n_hit > max_coverage * n_words, pa.bool_()),
     ]
-    return pa.record_batch([*(part.column(c) for c in kept), *added], names=[*kept, *ADDED])
+    return pa.record_batch([*(part.column(c) for c in plain), *added], names=[*plain, *ADDED])

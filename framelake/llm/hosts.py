@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.llm.scratch import kept
 from framelake.llm.text import SPACE, grams, mix, row_counts, slices, span_hashes, text_or_empty, texts, words
-from framelake.session import scratch_path
 
 _FEED = np.arange(256) == 10
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -116,13 +116,10 @@ def judge_documents(docs: DataFrame, host: Column | None = None) -> DataFrame:
                 names=["doc_id", "host", *COUNTS],
             )
 
-    spark = docs.sparkSession
     rows = docs.select("doc_id", host.cast("string").alias("host"), text_or_empty().alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, host string, " + ", ".join(f"{k} long" for k in COUNTS)
-    path = scratch_path(spark, "quality-counts")
-    rows.mapInArrow(count, schema).write.parquet(path)
-    counted = spark.read.schema(schema).parquet(path)
+    counted = kept(rows.mapInArrow(count, schema), "quality-counts")
     names = rules()
     judged = counted.withColumns({f"fails_{r}": c for r, c in names.items()})
     verdicts = host_verdicts(judged).select(F.col("host").alias("its_host"), *(f"bad_{r}" for r in names))
