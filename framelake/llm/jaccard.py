@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.llm.scratch import kept
@@ -16,11 +16,13 @@ from framelake.operators.graphs import connected_components
 
 #: Links need 100 * intersection >= 90 * union; prefix lengths and costs below are derived from it.
 SHINGLE = 3
-#: Cells of the frequency sketch that orders tokens (rare first); its size is fixed, its errors only cost time.
-CELL_BITS, BLOCKS = 21, 64
-#: Token orders: a pair must share prefix tokens under all of them.
-SEEDS = (0x0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
-FURTHER = tuple(f"prefix{i}" for i in range(1, len(SEEDS)))
+#: One in so many tokens is counted over all documents; these tokens come first in the first order, rare ones ahead.
+SLICE = 5
+#: Ratio of the sizes at a band's ends; linked sets differ by 10 / 9 at most, so they share a band.
+BAND = 1.12
+#: Further token orders, by seeded hash: a pair must share prefix tokens under all orders.
+SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+FURTHER = tuple(f"prefix{i}" for i in range(len(SEEDS)))
 #: Groups up to this size are compared pair by pair; larger ones are split by what their members differ in.
 SMALL = 48
 
@@ -51,82 +53,89 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return int(np.uint64(a).astype(np.int64)), int(np.uint64(b).astype(np.int64))
 
 
-def _cells(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-
-
-def frequency_classes(docs: DataFrame) -> np.ndarray:
-    """For each cell of tokens, in steps of a half, how far its count stands above the mean cell (0: rare)."""
-    width = (1 << CELL_BITS) // BLOCKS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, np.int64)
-        for part in slices(batches):
-            cells = [_cells(s) for s in shingle_sets(texts(part.column("text")))]
-            total += np.bincount(np.concatenate(cells), minlength=1 << CELL_BITS)
-        lane = TaskContext.get().partitionId() % 32
-        yield _blocks(lane, range(BLOCKS), total.astype(np.int32).reshape(BLOCKS, width))
-
-    def add(table: pa.Table) -> pa.Table:
-        bodies = table.column("counts").to_pylist()
-        total = np.zeros(width, np.int64)
-        for body in bodies:
-            total += np.frombuffer(body, np.int64 if len(body) == 8 * width else np.int32)
-        first = table.slice(0, 1)
-        return pa.Table.from_batches([_blocks(first.column("lane")[0].as_py(), [first.column("block")[0].as_py()], total[None])])
-
-    schema = "lane int, block int, counts binary"
-    sums = docs.select(text_or_empty().alias("text")).mapInArrow(count, schema)
-    sums = sums.groupBy("lane", "block").applyInArrow(add, schema)
-    got = sums.groupBy("block").applyInArrow(add, schema).toArrow().sort_by("block")
-    if not got.num_rows:
-        return np.zeros(1 << CELL_BITS, np.uint8)
-    total = np.frombuffer(b"".join(got.column("counts").to_pylist()), np.int64)
-    ratio = np.maximum(total, 1) / max(total.mean(), 1)
-    return np.maximum(0, np.floor(np.log(ratio) / np.log(1.5))).astype(np.uint8)
-
-
-def _blocks(lane: int, numbers, counts: np.ndarray) -> pa.RecordBatch:
-    numbers = list(numbers)
-    return pa.record_batch(
-        [pa.array([lane] * len(numbers), pa.int32()), pa.array(numbers, pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())],
-        names=["lane", "block", "counts"],
-    )
+def prefix(tokens: np.ndarray, seed: int) -> np.ndarray:
+    """The first floor(n / 10) + 1 tokens by a seeded hash."""
+    n = len(tokens)
+    return tokens[np.argsort(mix(tokens ^ np.uint64(seed)))[: n // 10 + 1]] if n else tokens
 
 
-def prefix(tokens: np.ndarray, classes: np.ndarray, seed: int) -> np.ndarray:
-    """The first floor(n / 10) + 1 tokens, rare ones first, ties by a seeded hash."""
-    n = len(tokens)
-    if not n:
-        return tokens
-    place = (classes[_cells(tokens)].astype(np.uint64) << np.uint64(56)) | (mix(tokens ^ np.uint64(seed)) >> np.uint64(8))
-    return tokens[np.argsort(place)[: n // 10 + 1]]
+def counted_tokens(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Tokens that can stand in the prefix of the first order: those of the slice, whose place (-1) depends on
+    their counts, and as many others, by their value, as fill the prefix behind them, with their places."""
+    inside = tokens % np.uint64(SLICE) == 0
+    first, rest = tokens[inside], tokens[~inside]
+    m, length = len(first), (len(tokens) // 10 + 1 if len(tokens) else 0)
+    rest = rest[: max(0, length - m)]
+    places = np.concatenate([np.full(m, -1, np.int32), m + np.arange(len(rest), dtype=np.int32)])
+    return np.concatenate([first, rest]), places.astype(np.int32), m
 
 
-def _described(docs: DataFrame, classes) -> DataFrame:
-    """doc_id, n, f1, f2, the prefix under the first order and, in four bytes a token, those under the others."""
+def _described(docs: DataFrame) -> DataFrame:
+    """doc_id, n, f1, f2, m (tokens of the slice) and, in four bytes a token, the prefixes of the further orders."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = shingle_sets(texts(part.column("text")))
             prints = [fingerprint(s) for s in sets]
-            first = [prefix(s, classes.value, SEEDS[0]).view(np.int64) for s in sets]
-            further = [_lists([_short(prefix(s, classes.value, seed)) for s in sets], np.int32) for seed in SEEDS[1:]]
+            further = [_lists([_short(prefix(s, seed)) for s in sets], np.int32) for seed in SEEDS]
             yield pa.record_batch(
                 [
                     part.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([f[0] for f in prints], pa.int64()),
                     pa.array([f[1] for f in prints], pa.int64()),
-                    _lists(first),
+                    pa.array([int((s % np.uint64(SLICE) == 0).sum()) for s in sets], pa.int64()),
                     *further,
                 ],
-                names=["doc_id", "n", "f1", "f2", "prefix", *FURTHER],
+                names=["doc_id", "n", "f1", "f2", "m", *FURTHER],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    return rows.mapInArrow(describe, f"doc_id {kind}, n long, f1 long, f2 long, prefix array<long>, " + ", ".join(f"{p} array<int>" for p in FURTHER))
+    return rows.mapInArrow(describe, f"doc_id {kind}, n long, f1 long, f2 long, m long, " + ", ".join(f"{p} array<int>" for p in FURTHER))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """(t, u, place) of the tokens of each text that can stand in its prefix."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = [s for s in shingle_sets(texts(part.column("text"))) if len(s)]
+            found = [counted_tokens(s) for s in sets]
+            owner = np.repeat(np.array([fingerprint(s)[0] for s in sets], np.int64), [len(f[0]) for f in found])
+            tokens = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
+            places = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int32)
+            yield pa.record_batch([pa.array(tokens.view(np.int64)), pa.array(owner), pa.array(places)], names=["t", "u", "place"])
+
+    return docs.select(text_or_empty().alias("text")).mapInArrow(emit, "t long, u long, place int")
+
+
+def _postings(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(t, band, u, n, i, size): the prefix tokens of each class that another class of a band has in its own, with place i.
+
+    The first order puts the tokens of the slice first, by the number of classes that have them, and then the
+    others by value. Tokens of one class only take places but make no group, so they need not come back.
+    """
+    c = F.col
+    # One shuffle by token serves the counts and the rows.
+    rows = _counted(docs).repartition("t").groupBy("t", "u").agg(F.first("place").alias("place"))
+    shared = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("u").alias("a"), F.max("u").alias("b")).where(c("a") != c("b"))
+    shared = kept(rows.join(shared.select("t", "df"), "t"), "jaccard-shared")
+    of_class = Window.partitionBy("u")
+    in_slice = c("place") < 0
+    ranked = shared.withColumns(
+        {
+            "k": F.count_if(in_slice).over(of_class),
+            "r": F.row_number().over(of_class.orderBy(~in_slice, "df", "t")) - 1,
+        }
+    ).join(sets.select("u", "n", "m"), "u")
+    placed = ranked.withColumn("i", F.when(in_slice, c("m") - c("k") + c("r")).otherwise(c("place")).cast("long"))
+    chosen = kept(placed.where(c("i") <= F.floor(c("n") / 10)).select("t", "u", "n", "i"), "jaccard-prefix")
+    # Linked sets are of nearly one size, so each class stands in two bands and meets only those of its bands.
+    band = F.floor(F.log("n") / math.log(BAND))
+    banded = chosen.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("t", F.xxhash64("t", "band"))
+    sizes = banded.groupBy("t").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return kept(banded.join(sizes, "t"), "jaccard-postings")
 
 
 def _short(tokens: np.ndarray) -> np.ndarray:
@@ -240,21 +249,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     count as none. Null, empty and word-free texts have no shingle and are linked with nothing; equal rows
     stay separate and share a component; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     c = F.col
     docs = docs.select("doc_id", "text")
-    classes = spark.sparkContext.broadcast(frequency_classes(docs))
-    described = kept(_described(docs, classes), "jaccard-documents")
+    described = kept(_described(docs), "jaccard-documents")
     sets = kept(
-        described.where("n > 0").groupBy("f1", "f2", "n").agg(
-            F.min("doc_id").alias("first_id"), F.first("prefix").alias("prefix")
-        ).withColumnRenamed("f1", "u"),
+        described.where("n > 0").groupBy("f1", "f2", "n", "m").agg(F.min("doc_id").alias("first_id")).withColumnRenamed("f1", "u"),
         "jaccard-classes",
     )
-    # One shuffle by token serves the counts and the groups.
-    postings = sets.select("u", "n", F.posexplode("prefix").alias("i", "t")).repartition("t")
-    sizes = postings.groupBy("t").agg(F.count(F.lit(1)).alias("size"), F.min("u").alias("lowest")).where("size > 1")
-    held = kept(postings.join(sizes, "t"), "jaccard-postings")
+    held = _postings(docs, sets)
     warm = held.where(c("size") <= SMALL).select("t", "u", "n", "i")
     near = warm.join(warm.select("t", c("u").alias("v"), c("n").alias("m"), c("i").alias("j")), "t")
     # A linked pair's first common token leaves enough tokens behind it on both sides.
@@ -268,13 +270,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         candidates = candidates.where(F.arrays_overlap(p, f"v_{p}"))
     candidates = kept(candidates.select("u", "v"), "jaccard-candidates")
 
-    hot = held.where(c("size") > SMALL)
-    hot_nodes = hot.select(c("u").alias("node")).distinct()
-    family_of = kept(connected_components(hot_nodes, hot.select(c("u").alias("a"), c("lowest").alias("b"))), "jaccard-families")
-    needed = candidates.select("u").union(candidates.select("v")).union(family_of.select("node")).distinct()
+    # A family holds the members of large groups of one band, as far as they hang together.
+    hot = held.where(c("size") > SMALL).withColumn("node", F.xxhash64("u", "band"))
+    hot = kept(hot.join(hot.groupBy("t").agg(F.min("node").alias("lowest")), "t").select("node", "u", "lowest").distinct(), "jaccard-hot")
+    members = hot.select("node", "u").distinct()
+    family_of = kept(connected_components(members, hot.select(c("node").alias("a"), c("lowest").alias("b"))), "jaccard-families")
+    needed = candidates.select("u").union(candidates.select("v")).union(family_of.select("u")).distinct()
     needed = kept(sets.select("u", "first_id").join(needed, "u"), "jaccard-needed")
     tokens = kept(_tokens_of(docs, needed), "jaccard-tokens")
-    families = family_of.select(c("node").alias("u"), c("component").alias("g")).join(tokens.select("u", "toks"), "u")
+    families = family_of.select("u", c("component").alias("g")).join(tokens.select("u", "toks"), "u")
     more, proven = _links_in_large_groups(families)
     candidates = candidates.union(more).distinct()
     verified = (
