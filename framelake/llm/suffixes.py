@@ -17,9 +17,11 @@ LENGTH = 50
 #: Words of the hash that selects positions; every window of LENGTH words has its smallest hash selected.
 GRAM = 8
 REACH = LENGTH - GRAM
-#: Suffixes with one gram that are compared together at most; larger groups are split into shares.
-SHARE = 100_000
+#: Documents with one gram whose suffixes are sorted together at most; of larger groups each window is counted by
+#: its hash. The result is the same for any value.
+SHARE = 10_000
 _WORD = np.dtype(">u2")
+SPAN = "doc_id long, first long, last long, removable boolean"
 
 
 def minimisers(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +61,11 @@ def _hashed(array: pa.Array) -> tuple[Texts, Words, np.ndarray]:
 
 
 def _suffixes(part: pa.RecordBatch) -> pa.RecordBatch:
-    """The wanted suffixes of each text: 42 words before (nearest first) and after the gram, two bytes a word."""
+    """The wanted suffixes of each text: 42 words before (nearest first) and after the gram, two bytes a word.
+
+    A suffix of a hot gram comes as one row for each of its windows: `h` is then the hash of the whole window, `least`
+    and `most` are the number of its words before the gram, and `after` and `before` are null.
+    """
     _, word, hashes = _hashed(part.column("text"))
     position, value, first, last = minimisers(hashes, word.row)
     edge = row_edges(word.row, part.num_rows)
@@ -68,13 +74,13 @@ def _suffixes(part: pa.RecordBatch) -> pa.RecordBatch:
     owner = np.repeat(np.arange(part.num_rows), np.diff(wanted.offsets.to_numpy()))
     asked = wanted.flatten()
     names = asked.field("h").to_numpy().view(np.uint64)
-    shares = asked.field("shares").to_numpy()
+    heat = asked.field("hot").to_numpy(zero_copy_only=False)
     ids = np.unique(mix(names + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
     mine = mix(value + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     at = np.minimum(np.searchsorted(ids[0], mine), max(len(ids[0]) - 1, 0))
     chosen = np.flatnonzero(ids[0][at] == mine) if len(ids[0]) else np.zeros(0, np.int64)
     position, value, row, first, last = position[chosen], value[chosen], row[chosen], first[chosen], last[chosen]
-    share = shares[ids[1][at[chosen]]]
+    hot = heat[ids[1][at[chosen]]]
     short = np.concatenate([(hashes & np.uint64(0xFFFF)).astype(_WORD), np.zeros(1, _WORD)])
     steps = np.arange(REACH)
     after = position[:, None] + GRAM + steps
@@ -89,24 +95,31 @@ def _suffixes(part: pa.RecordBatch) -> pa.RecordBatch:
     begin = np.flatnonzero(np.append(True, apart)) if len(order) else order
     until = position[order][np.append(begin[1:], len(order)) - 1] if len(order) else position
     keep = order[begin]
-    position, value, row, first, last, share = position[keep], value[keep], row[keep], first[keep], last[keep], share[keep]
+    position, value, row, first, last, hot = position[keep], value[keep], row[keep], first[keep], last[keep], hot[keep]
     doc = part.column("doc_id")
     base = edge[row]
-    number = doc.to_numpy()[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (position - base).astype(np.uint64)
-    salt = mix(number) % np.maximum(share, 1).astype(np.uint64)
+    after, before = short[after[keep]], short[before[keep]]
+    least, most = position - last, position - first
+    cold, hot = np.flatnonzero(~hot), np.flatnonzero(hot)
+    each = most[hot] - least[hot] + 1
+    o = np.repeat(least[hot], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    of = np.repeat(np.arange(len(hot)), each)
+    ahead, back = _running(after[hot])[of, REACH - o], _running(before[hot])[of, o]
+    window = mix(ahead + mix(back + mix(value[hot][of] + o.astype(np.uint64) + np.uint64(1))))
+    who = np.concatenate([cold, hot[of]])
+    none = [None] * len(of)
     return pa.record_batch(
         [
-            pa.array(value.view(np.int64)),
-            pa.array(salt.astype(np.int64)),
-            doc.take(pa.array(row)),
-            pa.array((position - base).astype(np.int64)),
-            pa.array((until - base).astype(np.int64)),
-            pa.array((position - last).astype(np.int64)),
-            pa.array((position - first).astype(np.int64)),
-            pa.array([r.tobytes() for r in short[after[keep]]], pa.binary()),
-            pa.array([r.tobytes() for r in short[before[keep]]], pa.binary()),
+            pa.array(np.concatenate([value[cold], window]).view(np.int64)),
+            doc.take(pa.array(row[who])),
+            pa.array((position - base)[who].astype(np.int64)),
+            pa.array((until - base)[who].astype(np.int64)),
+            pa.array(np.concatenate([least[cold], o]).astype(np.int64)),
+            pa.array(np.concatenate([most[cold], o]).astype(np.int64)),
+            pa.array([r.tobytes() for r in after[cold]] + none, pa.binary()),
+            pa.array([r.tobytes() for r in before[cold]] + none, pa.binary()),
         ],
-        names=["h", "salt", "doc_id", "position", "until", "least", "most", "after", "before"],
+        names=["h", "doc_id", "position", "until", "least", "most", "after", "before"],
     )
 
 
@@ -117,14 +130,14 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def repeats_of(table: pa.Table) -> pa.RecordBatch:
-    """Stretches of repeated windows among suffixes sorted by (h, salt, after).
+    """Stretches of repeated windows among suffixes sorted by (h, after).
 
     A suffix and its two neighbours tell how far it goes on in common with any other; those that could not reach
     LENGTH words even with all words before them go. For the others each window that they stand in is the
     gram, `o` words before and the rest after: windows of two documents with equal words are repeated.
     """
-    h, salt = table.column("h").to_numpy(), table.column("salt").to_numpy()
-    group = np.cumsum(np.append(False, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])))
+    h = table.column("h").to_numpy()
+    group = np.cumsum(np.append(False, h[1:] != h[:-1]))
     after = np.frombuffer(b"".join(table.column("after").to_pylist()), _WORD).reshape(-1, REACH)
     before = np.frombuffer(b"".join(table.column("before").to_pylist()), _WORD).reshape(-1, REACH)
     doc = table.column("doc_id").to_numpy()
@@ -148,8 +161,7 @@ def repeats_of(table: pa.Table) -> pa.RecordBatch:
         lowest, highest = np.repeat(docs[first], size), np.repeat(docs[first + size - 1], size)
         repeated[ok[order], o] = lowest != highest
         removable[ok[order], o] = docs != lowest
-    out = [_stretches(flags, use, position, until, doc, kind) for flags, kind in ((repeated, False), (removable, True))]
-    return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], names=["doc_id", "first", "last", "removable"])
+    return _spans(repeated, removable, use, position, until, doc)
 
 
 def _running(rows: np.ndarray) -> np.ndarray:
@@ -160,6 +172,36 @@ def _running(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def _spans(repeated: np.ndarray, removable: np.ndarray, use: np.ndarray, position: np.ndarray, until: np.ndarray, doc: np.ndarray):
+    out = [_stretches(flags, use, position, until, doc, kind) for flags, kind in ((repeated, False), (removable, True))]
+    return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], names=["doc_id", "first", "last", "removable"])
+
+
+def _hot_spans(windows: DataFrame) -> DataFrame:
+    """doc_id, first, last, removable of the repeated ones among rows of single windows (h is the window's hash).
+
+    The smallest and largest holder of each window are found by partial aggregates, so a window that all documents
+    have is a row a task there; the bits of a suffix's windows then come together in one row.
+    """
+    c = F.col
+    holders = windows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    holders = kept(holders.where(c("a") != c("b")).select("h", "a"), "suffix-windows")
+    bit = F.expr("shiftleft(1L, cast(least as int))")
+    flags = (
+        windows.join(holders, "h")
+        .groupBy("doc_id", "position", "until")
+        .agg(F.bit_or(bit).alias("repeated"), F.bit_or(F.when(c("doc_id") != c("a"), bit).otherwise(F.lit(0).cast("long"))).alias("removable"))
+    )
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            doc, position, until, *bits = (part.column(n).to_numpy() for n in ("doc_id", "position", "until", "repeated", "removable"))
+            repeated, removable = ((b[:, None] >> np.arange(REACH + 1) & 1).astype(bool) for b in bits)
+            yield _spans(repeated, removable, np.arange(len(doc)), position, until, doc)
+
+    return flags.mapInArrow(spread, SPAN)
+
+
 def _stretches(flags: np.ndarray, use: np.ndarray, position: np.ndarray, until: np.ndarray, doc: np.ndarray, kind: bool):
     edge = np.zeros((len(flags), flags.shape[1] + 2), np.int8)
     edge[:, 1:-1] = flags
@@ -187,8 +229,8 @@ def repeated_passages(docs: DataFrame, *, share: int = SHARE) -> DataFrame:
     suffixes are sorted by what follows, compared with their neighbours and extended to both sides up to the
     window. Spans are [first word, behind the last word) and cover all words in windows of LENGTH words that
     occur in two documents; removable_spans leave out what the document with the smallest id holds.
-    A group of more than `share` suffixes with one gram is dealt into shares at random and compared within
-    them, so a window that only a few of such a group's members have can be missed. Words are compared by two
+    Where more than `share` documents select one gram, each window of its suffixes is grouped by the hash of all its
+    words instead, with the smallest and largest holder; the result is the same. Words are compared by two
     bytes of their hashes beside the 64-bit gram: a differing word counts as equal once in 65,536 times.
     Rows without an id, and null, empty and short texts have no spans; rows with equal ids are one document.
     An empty table gives an empty result.
@@ -205,15 +247,21 @@ def repeated_passages(docs: DataFrame, *, share: int = SHARE) -> DataFrame:
 
     chosen = kept(rows.mapInArrow(select, "doc_id long, h long"), "suffix-grams")
     groups = chosen.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    groups = kept(groups.where(c("a") != c("b")).select("h", F.ceil(c("k") / share).alias("shares")), "suffix-groups")
-    wanted = chosen.join(groups, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "shares")).alias("wanted"))
+    groups = kept(groups.where(c("a") != c("b")).select("h", (c("k") > share).alias("hot")), "suffix-groups")
+    wanted = chosen.join(groups, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "hot")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             yield _suffixes(part)
 
-    schema = "h long, salt long, doc_id long, position long, until long, least long, most long, after binary, before binary"
+    schema = "h long, doc_id long, position long, until long, least long, most long, after binary, before binary"
     suffixes = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut, schema)
+    hot = None
+    if not groups.where("hot").isEmpty():
+        # Written once, as both ways read it.
+        suffixes = kept(suffixes, "suffix-rows")
+        hot = _hot_spans(suffixes.where(c("after").isNull()).drop("after", "before"))
+        suffixes = suffixes.where(c("after").isNotNull())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -227,8 +275,8 @@ def repeated_passages(docs: DataFrame, *, share: int = SHARE) -> DataFrame:
                 continue
             # All but the last group, which may go on in the next batch.
             table = pa.Table.from_batches(waiting)
-            h, salt = table.column("h").to_numpy(), table.column("salt").to_numpy()
-            other = np.flatnonzero((h != h[-1]) | (salt != salt[-1]))
+            h = table.column("h").to_numpy()
+            other = np.flatnonzero(h != h[-1])
             whole = int(other[-1]) + 1 if len(other) else 0
             if whole:
                 yield repeats_of(table.slice(0, whole))
@@ -237,11 +285,9 @@ def repeated_passages(docs: DataFrame, *, share: int = SHARE) -> DataFrame:
         if size:
             yield repeats_of(pa.Table.from_batches(waiting))
 
-    found = (
-        suffixes.repartition("h", "salt")
-        .sortWithinPartitions("h", "salt", "after")
-        .mapInArrow(compare, "doc_id long, first long, last long, removable boolean")
-    )
+    found = suffixes.repartition("h").sortWithinPartitions("h", "after").mapInArrow(compare, SPAN)
+    if hot is not None:
+        found = found.unionByName(hot)
     spans = found.groupBy("doc_id").agg(
         F.collect_set(F.when(~c("removable"), F.struct("first", "last"))).alias("spans"),
         F.collect_set(F.when(c("removable"), F.struct("first", "last"))).alias("removable_spans"),

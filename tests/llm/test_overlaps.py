@@ -138,6 +138,24 @@ def test_passages_brute_force(make_docs):
     assert {r.doc_id for r in shares} <= {r.doc_id for r in found}
 
 
+@pytest.mark.parametrize("share", [1, 5, 20])
+def test_passages_of_hot_grams(make_docs, share):
+    """One gram that all documents have, in a passage of all, in passages of two documents each, and in periodic text."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(70)]
+    rows = []
+    for i in range(60):
+        pair = [f"q{i // 2}w{k}" for k in range(40)]
+        own = [f"o{i}w{rng.randrange(90)}" for _ in range(30)]
+        body = [*own, *pair, *common[20:40], *pair, *own[::-1]] + (common if i % 3 else []) + (["same", "again"] * 40 if i % 7 == 0 else [])
+        rows.append((i, " ".join(body)))
+    expected = brute_passages(rows)
+    assert len(expected) == len(rows)
+    for s in (share, suffixes.SHARE):
+        found = suffixes.repeated_passages(make_docs(rows), share=s).collect()
+        assert {r.doc_id: (r.n_repeated, r.n_removable) for r in found} == expected
+
+
 def test_passages_odd_tables(odd_docs, make_docs):
     assert suffixes.repeated_passages(odd_docs).count() == 0
     assert suffixes.repeated_passages(make_docs([])).count() == 0
