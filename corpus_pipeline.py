@@ -50,8 +50,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-equal texts, the one with the smallest id."""
-    return jaccard.nearest_kept(docs, jaccard.jaccard_components(docs)).select(*_names(docs))
+    """One document of each component of near-equal texts (five words, 0.8), the one with the smallest id."""
+    found = jaccard.jaccard_components(docs, shingle=5, threshold=(4, 5))
+    return jaccard.nearest_kept(docs, found).select(*_names(docs))
 
 
 @_stage

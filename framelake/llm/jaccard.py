@@ -14,12 +14,12 @@ from framelake.llm.scratch import kept
 from framelake.llm.text import LOWER, SPACE, Texts, grams, mix, row_edges, slices, span_hashes, text_or_empty, texts, words
 from framelake.operators.graphs import connected_components
 
-#: Links need 100 * intersection >= 90 * union; prefix lengths and costs below are derived from it.
-SHINGLE = 3
+#: Words of a shingle and the least similarity a / b of a link, b * intersection >= a * union, unless given.
+SHINGLE, THRESHOLD = 3, (9, 10)
 #: One in so many tokens is counted over all documents; these tokens come first in the first order, rare ones ahead.
 SLICE = 5
-#: Ratio of the sizes at a band's ends; linked sets differ by 10 / 9 at most, so they share a band.
-BAND = 1.12
+#: A band's ends have sizes of this ratio times b / a; linked sets differ by b / a at most, so they share a band.
+BAND = 1.008
 #: Further token orders, by seeded hash: a pair must share prefix tokens under all orders.
 SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 FURTHER = tuple(f"prefix{i}" for i in range(len(SEEDS)))
@@ -53,31 +53,36 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return int(np.uint64(a).astype(np.int64)), int(np.uint64(b).astype(np.int64))
 
 
-def prefix(tokens: np.ndarray, seed: int) -> np.ndarray:
-    """The first floor(n / 10) + 1 tokens by a seeded hash."""
-    n = len(tokens)
-    return tokens[np.argsort(mix(tokens ^ np.uint64(seed)))[: n // 10 + 1]] if n else tokens
+def prefix_length(n: int, threshold: tuple[int, int]) -> int:
+    """So many first tokens of a set, in any order, have one in common with each set it is linked to."""
+    a, b = threshold
+    return n * (b - a) // b + 1 if n else 0
 
 
-def counted_tokens(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def prefix(tokens: np.ndarray, seed: int, threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
+    """The first `prefix_length` tokens by a seeded hash."""
+    return tokens[np.argsort(mix(tokens ^ np.uint64(seed)))[: prefix_length(len(tokens), threshold)]]
+
+
+def counted_tokens(tokens: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> tuple[np.ndarray, np.ndarray, int]:
     """Tokens that can stand in the prefix of the first order: those of the slice, whose place (-1) depends on
     their counts, and as many others, by their value, as fill the prefix behind them, with their places."""
     inside = tokens % np.uint64(SLICE) == 0
     first, rest = tokens[inside], tokens[~inside]
-    m, length = len(first), (len(tokens) // 10 + 1 if len(tokens) else 0)
+    m, length = len(first), prefix_length(len(tokens), threshold)
     rest = rest[: max(0, length - m)]
     places = np.concatenate([np.full(m, -1, np.int32), m + np.arange(len(rest), dtype=np.int32)])
     return np.concatenate([first, rest]), places.astype(np.int32), m
 
 
-def _described(docs: DataFrame) -> DataFrame:
+def _described(docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
     """doc_id, n, f1, f2, m (tokens of the slice) and, in four bytes a token, the prefixes of the further orders."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            sets = shingle_sets(texts(part.column("text")))
+            sets = shingle_sets(texts(part.column("text")), shingle)
             prints = [fingerprint(s) for s in sets]
-            further = [_lists([_short(prefix(s, seed)) for s in sets], np.int32) for seed in SEEDS]
+            further = [_lists([_short(prefix(s, seed, threshold)) for s in sets], np.int32) for seed in SEEDS]
             yield pa.record_batch(
                 [
                     part.column("doc_id"),
@@ -95,13 +100,13 @@ def _described(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(describe, f"doc_id {kind}, n long, f1 long, f2 long, m long, " + ", ".join(f"{p} array<int>" for p in FURTHER))
 
 
-def _counted(docs: DataFrame) -> DataFrame:
+def _counted(docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
     """(t, u, place) of the tokens of each text that can stand in its prefix."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            sets = [s for s in shingle_sets(texts(part.column("text"))) if len(s)]
-            found = [counted_tokens(s) for s in sets]
+            sets = [s for s in shingle_sets(texts(part.column("text")), shingle) if len(s)]
+            found = [counted_tokens(s, threshold) for s in sets]
             owner = np.repeat(np.array([fingerprint(s)[0] for s in sets], np.int64), [len(f[0]) for f in found])
             tokens = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
             places = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int32)
@@ -110,15 +115,16 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.select(text_or_empty().alias("text")).mapInArrow(emit, "t long, u long, place int")
 
 
-def _postings(docs: DataFrame, sets: DataFrame) -> DataFrame:
+def _postings(docs: DataFrame, sets: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
     """(t, band, u, n, i, size): the prefix tokens of each class that another class of a band has in its own, with place i.
 
     The first order puts the tokens of the slice first, by the number of classes that have them, and then the
     others by value. Tokens of one class only take places but make no group, so they need not come back.
     """
     c = F.col
+    a, b = threshold
     # One shuffle by token serves the counts and the rows.
-    rows = _counted(docs).repartition("t").groupBy("t", "u").agg(F.first("place").alias("place"))
+    rows = _counted(docs, shingle, threshold).repartition("t").groupBy("t", "u").agg(F.first("place").alias("place"))
     shared = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("u").alias("a"), F.max("u").alias("b")).where(c("a") != c("b"))
     shared = kept(rows.join(shared.select("t", "df"), "t"), "jaccard-shared")
     of_class = Window.partitionBy("u")
@@ -130,9 +136,9 @@ def _postings(docs: DataFrame, sets: DataFrame) -> DataFrame:
         }
     ).join(sets.select("u", "n", "m"), "u")
     placed = ranked.withColumn("i", F.when(in_slice, c("m") - c("k") + c("r")).otherwise(c("place")).cast("long"))
-    chosen = kept(placed.where(c("i") <= F.floor(c("n") / 10)).select("t", "u", "n", "i"), "jaccard-prefix")
+    chosen = kept(placed.where(c("i") <= F.floor(c("n") * (b - a) / b)).select("t", "u", "n", "i"), "jaccard-prefix")
     # Linked sets are of nearly one size, so each class stands in two bands and meets only those of its bands.
-    band = F.floor(F.log("n") / math.log(BAND))
+    band = F.floor(F.log("n") / math.log(BAND * b / a))
     banded = chosen.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("t", F.xxhash64("t", "band"))
     sizes = banded.groupBy("t").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return kept(banded.join(sizes, "t"), "jaccard-postings")
@@ -148,30 +154,32 @@ def _lists(arrays: list[np.ndarray], kind: type = np.int64) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
 
 
-def _long_enough(a: str, b: str):
-    return 10 * F.least(a, b) >= 9 * F.greatest(a, b)
+def _long_enough(n: str, m: str, threshold: tuple[int, int]):
+    a, b = threshold
+    return b * F.least(n, m) >= a * F.greatest(n, m)
 
 
-def _split_groups(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+def _split_groups(rows: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
     """One level of splitting for rows (g, u, label, n, parent) and the sets of their parents' members.
 
     A set (g, u, p, rem, add) is a centre of p tokens of its group without `rem` and with `add`. Returns pairs to
     verify, proven links, and the rows and sets of the next level (None after the last).
 
     Small groups give all pairs of different labels. In a large group the centre moves to the tokens that most
-    members have. With cost c = 10 |rem| + 9 |add|, two members with s common differences are linked exactly when
-    c1 + c2 <= p + 19 s. So the member with the least cost is linked to all whose cost allows it without any
+    members have. With cost c = b |rem| + a |add|, two members with s common differences are linked exactly when
+    c1 + c2 <= (b - a) p + (a + b) s. So the member with the least cost is linked to all whose cost allows it without any
     common difference, and these need no pairs among themselves. Each other member, the open ones, can only be
     linked to members with which it shares s >= 1 differences; prefixes of the differences, by that bound,
     make the groups of the next level. A difference is in half the members at most, so groups halve each time.
     Only large groups take sets along.
     """
     c = F.col
+    a, b = threshold
     sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l1"), F.max("label").alias("l2"))
     sized = kept(rows.join(sizes.where(c("l1") != c("l2")).select("g", "size"), "g"), "jaccard-groups")
     small = sized.where(c("size") <= SMALL).select("g", "u", "label", "n")
     other = small.select("g", c("u").alias("v"), c("label").alias("label2"), c("n").alias("m"))
-    pairs = small.join(other, "g").where((c("u") < c("v")) & (c("label") != c("label2")) & _long_enough("n", "m")).select("u", "v")
+    pairs = small.join(other, "g").where((c("u") < c("v")) & (c("label") != c("label2")) & _long_enough("n", "m", threshold)).select("u", "v")
     pairs = kept(pairs.distinct(), "jaccard-pairs")
     large = sized.where(c("size") > SMALL)
     if large.isEmpty():
@@ -203,17 +211,17 @@ def _split_groups(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFram
             F.concat(F.array_except("rem", "lost"), F.array_except("won", "add")).alias("rem"),
             F.concat(F.array_except("add", "won"), F.array_except("lost", "rem")).alias("add"),
         )
-        .withColumn("cost", 10 * F.size("rem") + 9 * F.size("add"))
+        .withColumn("cost", b * F.size("rem") + a * F.size("add"))
     )
     moved = kept(moved, "jaccard-moved")
     best = moved.groupBy("g").agg(F.min(F.struct("cost", "u", "label")).alias("b")).select(
         "g", c("b.cost").alias("least"), c("b.u").alias("centre"), c("b.label").alias("centre_label")
     )
-    met = moved.join(best, "g").withColumn("open", (c("u") != c("centre")) & (c("cost") + c("least") > c("p")))
+    met = moved.join(best, "g").withColumn("open", (c("u") != c("centre")) & (c("cost") + c("least") > (b - a) * c("p")))
     links = kept(met.where(~c("open") & (c("u") != c("centre"))).select("u", c("centre").alias("v")), "jaccard-proven")
     opened = met.where("open").groupBy("g").agg(F.min("cost").alias("least_open"))
     meeting = met.join(opened, "g").withColumn(
-        "needed", F.greatest(F.lit(1), F.ceil((c("cost") + F.when(c("open"), c("least")).otherwise(c("least_open")) - c("p")) / 19))
+        "needed", F.greatest(F.lit(1), F.ceil((c("cost") + F.when(c("open"), c("least")).otherwise(c("least_open")) - (b - a) * c("p")) / (a + b)))
     )
     marked = F.array_sort(
         F.concat(F.transform("rem", lambda t: F.xxhash64(t, F.lit(-1))), F.transform("add", lambda t: F.xxhash64(t, F.lit(1))))
@@ -227,21 +235,22 @@ def _split_groups(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFram
     return pairs, links, following.drop("mark"), moved.select("g", "u", "p", "rem", "add")
 
 
-def _links_in_large_groups(families: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _links_in_large_groups(families: DataFrame, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """Pairs to verify and proven links of families (g, u, toks)."""
     none = F.array().cast("array<long>")
     sets = families.select("g", "u", F.lit(0).alias("p"), none.alias("rem"), F.col("toks").alias("add"))
     rows = families.select("g", "u", F.col("u").alias("label"), F.size("toks").alias("n"), F.col("g").alias("parent"))
-    pairs, links, rows, sets = _split_groups(rows, sets)
+    pairs, links, rows, sets = _split_groups(rows, sets, threshold)
     while rows is not None:
-        more, proven, rows, sets = _split_groups(rows, sets)
+        more, proven, rows, sets = _split_groups(rows, sets, threshold)
         pairs, links = pairs.unionByName(more), links.unionByName(proven)
     return pairs, links
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of `docs` at 100 * |A & B| >= 90 * |A | B|.
+def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of `docs` at b * |A & B| >= a * |A | B|, (a, b) the threshold.
 
+    A and B are sets of `shingle` words in a row.
     Texts with equal sets form a class. Classes that share a prefix token under the first order in a small group,
     and prefix tokens under all other orders, become candidates and are verified on whole sets. Larger groups
     are joined to families and split by what their members differ in (`_split_groups`), without all pairs; every
@@ -250,18 +259,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     stay separate and share a component; an empty table gives an empty result.
     """
     c = F.col
+    a, b = threshold
+    if not 0 < a < b:
+        raise ValueError("threshold is a / b with 0 < a < b")
     docs = docs.select("doc_id", "text")
-    described = kept(_described(docs), "jaccard-documents")
+    described = kept(_described(docs, shingle, threshold), "jaccard-documents")
     sets = kept(
         described.where("n > 0").groupBy("f1", "f2", "n", "m").agg(F.min("doc_id").alias("first_id")).withColumnRenamed("f1", "u"),
         "jaccard-classes",
     )
-    held = _postings(docs, sets)
+    held = _postings(docs, sets, shingle, threshold)
     warm = held.where(c("size") <= SMALL).select("t", "u", "n", "i")
     near = warm.join(warm.select("t", c("u").alias("v"), c("n").alias("m"), c("i").alias("j")), "t")
     # A linked pair's first common token leaves enough tokens behind it on both sides.
-    enough = 19 * F.least(c("n") - c("i"), c("m") - c("j")) >= 9 * (c("n") + c("m"))
-    near = kept(near.where((c("u") < c("v")) & _long_enough("n", "m") & enough).select("u", "v").distinct(), "jaccard-near")
+    enough = (a + b) * F.least(c("n") - c("i"), c("m") - c("j")) >= a * (c("n") + c("m"))
+    near = kept(near.where((c("u") < c("v")) & _long_enough("n", "m", threshold) & enough).select("u", "v").distinct(), "jaccard-near")
     ends = near.select("u").union(near.select("v")).distinct()
     others = described.join(ends, c("f1") == c("u")).groupBy("u").agg(*(F.first(p).alias(p) for p in FURTHER))
     others = kept(others, "jaccard-prefixes")
@@ -277,15 +289,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     family_of = kept(connected_components(members, hot.select(c("node").alias("a"), c("lowest").alias("b"))), "jaccard-families")
     needed = candidates.select("u").union(candidates.select("v")).union(family_of.select("u")).distinct()
     needed = kept(sets.select("u", "first_id").join(needed, "u"), "jaccard-needed")
-    tokens = kept(_tokens_of(docs, needed), "jaccard-tokens")
+    tokens = kept(_tokens_of(docs, needed, shingle), "jaccard-tokens")
     families = family_of.select("u", c("component").alias("g")).join(tokens.select("u", "toks"), "u")
-    more, proven = _links_in_large_groups(families)
+    more, proven = _links_in_large_groups(families, threshold)
     candidates = candidates.union(more).distinct()
     verified = (
         candidates.join(tokens.select("u", "toks"), "u")
         .join(tokens.select(c("u").alias("v"), c("toks").alias("other")), "v")
         .withColumn("both", F.size(F.array_intersect("toks", "other")))
-        .where(10 * c("both") >= 9 * (F.size("toks") + F.size("other") - c("both")))
+        .where(b * c("both") >= a * (F.size("toks") + F.size("other") - c("both")))
         .select("u", "v")
     )
     links = kept(verified.union(proven).distinct(), "jaccard-links")
@@ -306,12 +318,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
 
 
-def _tokens_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _tokens_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """u and the sorted tokens of one text of each wanted class (u, first_id)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            sets = shingle_sets(texts(part.column("text")))
+            sets = shingle_sets(texts(part.column("text")), shingle)
             asked = part.column("u").to_pylist()
             same = [i for i, s in enumerate(sets) if fingerprint(s)[0] == asked[i]]
             yield pa.record_batch(

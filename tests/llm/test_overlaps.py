@@ -89,6 +89,46 @@ def test_components_of_large_families(make_docs, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
+def brute_components_at(rows, shingle, threshold):
+    """The same for any rule, as (doc_id, n_shingles, component_id)."""
+    a, b = threshold
+    split = [plain_words(t) for _, t in rows]
+    sets = [{tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set() for w in split]
+    label = list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if both and b * both >= a * len(sets[x] | sets[y]):
+                label = [label[y] if v == label[x] else v for v in label]
+    least = defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        least[label[k]].append(i)
+    return Counter((i, len(sets[k]), min((x for x in least[label[k]] if x is not None), default=None)) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("small", [2])
+@pytest.mark.parametrize("shingle,threshold", [(5, (4, 5)), (2, (3, 5))])
+def test_components_of_other_rules(make_docs, monkeypatch, small, shingle, threshold):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    rows = near_copies(5, 3, 25, 70, 5) + near_copies(6, 2, 10, 12, 1)
+    rows = [(k, t) for k, (_, t) in enumerate(rows)] + [(900, "a b c d"), (901, "A b  c d"), (902, "a"), (903, None), (None, "a b c d e f")]
+    got = jaccard.jaccard_components(make_docs(rows), shingle=shingle, threshold=threshold).collect()
+    expected = brute_components_at(rows, shingle, threshold)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected != brute_components(rows)
+
+
+def test_pipeline_links_at_five_words_and_four_fifths(make_docs, spark):
+    """Two changed words leave 50 of 62 shingles of five words, but only 54 of 62 of three words."""
+    base = [f"w{i}" for i in range(60)]
+    near = [f"x{i}" if i in (0, 30) else w for i, w in enumerate(base)]
+    apart = [f"x{i}" if i in (10, 30, 50) else w for i, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(apart))]
+    assert len({c for _, _, c in brute_components(rows)}) == 3
+    expected = {i for i, _, c in brute_components_at(rows, 5, (4, 5)) if i == c}
+    assert expected == {1, 3}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, make_docs(rows), "").collect()} == expected
+
+
 def test_components_odd_tables(odd_docs, make_docs):
     assert jaccard.jaccard_components(odd_docs.withColumnRenamed("lang", "n_shingles")).count() == 8
     assert jaccard.jaccard_components(make_docs([])).count() == 0
