@@ -4,16 +4,23 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from fractions import Fraction
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Weights are whole shares of a cycle of about this many slots.
+#: A source without a weight gets one part in so many of the given weights' sum.
 CYCLE = 1000
 BLOCK_DOCS = 32
 #: Rows ranked in one window; only the number of windows depends on it, no rank does.
 RANKED_ROWS = 4_000
+#: Slots that one task assigns from a carried state, or twenty times the number of sources where that is more.
+INTERVAL = 20_000
+#: A table of slots up to this many rows is broadcast.
+SENT_SLOTS = 500_000
 
 
 class Cycle(NamedTuple):
@@ -23,69 +30,108 @@ class Cycle(NamedTuple):
     blocks: list[tuple[int, int, int, int, int]]
 
 
-def shares(weights: list[float], cycle: int = CYCLE) -> list[int]:
-    """Whole shares of a cycle, at least one each."""
-    total = sum(weights)
-    return [max(1, round(cycle * w / total)) for w in weights]
+class State(NamedTuple):
+    """Where a schedule stands: next slot, phase and its first slot, blocks of each source before it and in it."""
 
+    slot: int
+    phase: int
+    begun: int
+    before: list[int]
+    taken: list[int]
+
+
+def whole_weights(weights: list[float], least: int = CYCLE) -> list[int]:
+    """The weights as whole numbers in the same proportions, exactly; a source without one gets 1 / least of the sum."""
+    exact = [Fraction(str(w)) for w in weights]
+    total = sum(exact)
+    exact = [w or total / least for w in exact] if total else [Fraction(1)] * len(exact)
+    scale = math.lcm(*(w.denominator for w in exact))
+    return [int(w * scale) for w in exact]
 
-def edf_cycle(share: dict[int, int]) -> Cycle:
-    """Earliest deadline first over one cycle, in which source i has share[i] blocks.
 
-    Block k of a source with weight w = share / length is released at floor((k - 1) / w) and due at
-    ceil(k / w). The weights sum to one, so every block meets its deadline and each source is less than one
-    block away from w * t at any slot t.
+class Schedule:
+    """Earliest deadline first over blocks of sources, `sizes[i]` of source i, with weights in whole numbers.
+
+    In a phase the same sources have blocks left; the next begins, without debts, when one has none. Block k of a
+    source with weight w among those (which sum to one) is released at floor((k - 1) / w) and due at ceil(k / w),
+    in exact whole numbers. So every block meets its deadline and each source is less than one block away from
+    w * t at any slot t of the phase. A schedule goes on from any `state` of an equal one.
     """
-    length = sum(share.values())
-    waiting: dict[int, list[int]] = {}
-    for i in share:
-        waiting.setdefault(0, []).append(i)
-    at, ready, blocks = dict.fromkeys(share, 1), [], []
-    for slot in range(length):
-        for i in waiting.pop(slot, ()):
-            heapq.heappush(ready, (-(-at[i] * length // share[i]), i))
-        deadline, i = heapq.heappop(ready)
-        k = at[i]
-        blocks.append((i, k, (k - 1) * length // share[i], deadline, slot))
-        at[i] = k + 1
-        if k < share[i]:
-            waiting.setdefault(max(slot + 1, k * length // share[i]), []).append(i)
-    return Cycle(length, blocks)
-
-
-class Phase(NamedTuple):
-    """A stretch in which the same sources have blocks left; it ends when the first of them has none."""
-
-    first_slot: int
-    first_block: dict[int, int]
-    blocks: dict[int, int]
-    cycle: Cycle
-
-
-def plan(counts: list[int], share: list[int]) -> list[Phase]:
-    """Phases for sources with `counts` blocks; each phase begins without debts and loses a source at least."""
-    done = [0] * len(counts)
-    left = {i for i, n in enumerate(counts) if n}
-    phases, slot = [], 0
-    while left:
-        cycle = edf_cycle({i: share[i] for i in sorted(left)})
-        whole = min((counts[i] - done[i]) // share[i] for i in left)
-        rest = {i: counts[i] - done[i] - whole * share[i] for i in left}
-        taken, used, gone = dict.fromkeys(left, 0), 0, {i for i in left if not rest[i]}
-        if not gone:
-            for i, *_ in cycle.blocks:
-                taken[i] += 1
-                used += 1
-                if taken[i] == rest[i]:
-                    gone = {i}
-                    break
-        blocks = {i: whole * share[i] + taken[i] for i in left}
-        phases.append(Phase(slot, {i: done[i] for i in left}, blocks, cycle))
-        slot += whole * cycle.length + used
+
+    def __init__(self, sizes: list[int], weights: list[int], state: State | None = None):
+        self.sizes, self.weights = sizes, weights
+        self.slot, self.phase, self.begun, before, taken = state or State(0, 0, 0, [0] * len(sizes), [0] * len(sizes))
+        self.before, self.taken = list(before), list(taken)
+        self._enter()
+
+    @property
+    def state(self) -> State:
+        return State(self.slot, self.phase, self.begun, list(self.before), list(self.taken))
+
+    def _enter(self) -> None:
+        left = [i for i, n in enumerate(self.sizes) if self.before[i] < n]
+        self.total = sum(self.weights[i] for i in left)
+        self.ready: list[tuple[int, int, int]] = []
+        self.waiting: list[tuple[int, int, int]] = []
         for i in left:
-            done[i] += blocks[i]
-        left -= gone
-    return phases
+            self._queue(i)
+
+    def _queue(self, i: int) -> None:
+        k, w = self.taken[i], self.weights[i]
+        heapq.heappush(self.waiting, (k * self.total // w, -(-(k + 1) * self.total // w), i))
+
+    def run(self, steps: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(source, block from 0, phase, release, deadline, slot) of the next slots."""
+        for _ in range(steps):
+            while self.waiting and self.waiting[0][0] <= self.slot - self.begun:
+                release, deadline, i = heapq.heappop(self.waiting)
+                heapq.heappush(self.ready, (deadline, i, release))
+            deadline, i, release = heapq.heappop(self.ready)
+            yield i, self.before[i] + self.taken[i], self.phase, self.begun + release, self.begun + deadline, self.slot
+            self.slot += 1
+            self.taken[i] += 1
+            if self.before[i] + self.taken[i] < self.sizes[i]:
+                self._queue(i)
+            else:
+                self.before = [a + b for a, b in zip(self.before, self.taken)]
+                self.taken, self.phase, self.begun = [0] * len(self.sizes), self.phase + 1, self.slot
+                self._enter()
+
+
+def edf_cycle(share: dict[int, int]) -> Cycle:
+    """Earliest deadline first over one cycle, in which source i has share[i] blocks."""
+    names, length = list(share), sum(share.values())
+    blocks = Schedule([n + 1 for n in share.values()], list(share.values())).run(length)
+    return Cycle(length, [(names[i], k + 1, release, deadline, slot) for i, k, _, release, deadline, slot in blocks])
+
+
+def _slots(spark, names: list[str | None], sizes: list[int], weights: list[int]) -> DataFrame:
+    """s, block, mix_phase, mix_release, mix_deadline and mix_slot of all blocks.
+
+    The driver runs through the schedule once and keeps only its state at the beginning of each interval; tasks
+    assign the slots of their intervals from there.
+    """
+    total, step = sum(sizes), max(INTERVAL, 20 * len(sizes))
+    schedule, states = Schedule(sizes, weights), []
+    while schedule.slot < total:
+        states.append(schedule.state)
+        for _ in schedule.run(min(step, total - schedule.slot)):
+            pass
+    shared = spark.sparkContext.broadcast((names, sizes, weights))
+    kind = "slot long, phase int, begun long, before array<long>, taken array<long>"
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, counts, each = shared.value
+        for part in batches:
+            for row in part.to_pylist():
+                at = Schedule(counts, each, State(**row))
+                found = list(zip(*at.run(min(step, sum(counts) - at.slot))))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                columns = [pa.array([of[i] for i in found[0]], pa.string()), *(pa.array(v, k) for v, k in zip(found[1:], kinds))]
+                yield pa.record_batch(columns, names=["s", "block", "mix_phase", "mix_release", "mix_deadline", "mix_slot"])
+
+    rows = spark.createDataFrame([tuple(s) for s in states], kind).repartition(max(1, len(states)))
+    return rows.mapInArrow(assign, "s string, block long, mix_phase int, mix_release long, mix_deadline long, mix_slot long")
 
 
 def _ranked(docs: DataFrame, key: Column) -> DataFrame:
@@ -113,14 +159,14 @@ def mix_sources(
 ) -> DataFrame:
     """`docs` with mix_phase, mix_block, mix_release, mix_deadline, mix_slot and mix_order.
 
-    `weights` are target weights by source (none or 0 given: the least share); without them a source weighs
-    its document count to `power`. A source's documents, in hash order of their ids, fill blocks of
-    `block_docs`; the blocks of all sources get slots by earliest deadline first, a cycle's table being
-    repeated. No document is left out: when a source has no more, a new phase goes on with the others. In a
-    phase every source is less than one block away from its target at each slot. Sorting by (mix_slot,
-    mix_order) gives the mixed order. Only counts a source and the cycle's tables, (sources + cycle) rows for
-    each phase, go over the driver. A null source is one of its own; equal ids keep an order of their own;
-    columns with the new names are replaced; an empty table gives an empty result.
+    `weights` are target weights by source, taken as written (none or 0 given: one part in `cycle` of their sum);
+    without them a source weighs its document count to `power`. A source's documents, in hash order of their
+    ids, fill blocks of `block_docs`; the blocks of all sources get slots by earliest deadline first. No document
+    is left out: when a source has no more, a new phase goes on with the others. In a phase every source is less
+    than one block away from its unrounded target at each slot. Sorting by (mix_slot, mix_order) gives the mixed
+    order. Only counts a source go to the driver, which walks through the blocks and sends out the schedule's
+    state at each interval. A null source is one of its own; equal ids keep an order of their own; columns with
+    the new names are replaced; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     source = F.col("source") if source is None else source
@@ -130,34 +176,19 @@ def mix_sources(
     named = sorted(((r.s, r.n) for r in counted), key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [-(-n // block_docs) for _, n in named]
     wanted = [float((weights or {}).get(s) or 0.0) if weights else n**power for s, n in named]
-    if named and not sum(wanted):
-        wanted = [1.0] * len(named)
-    phases = plan(sizes, shares(wanted, cycle)) if named else []
-    spans = [
-        (named[i][0], p, ph.first_block[i], ph.first_block[i] + ph.blocks[i], ph.first_slot, ph.cycle.length,
-         sum(1 for b in ph.cycle.blocks if b[0] == i))
-        for p, ph in enumerate(phases) for i in ph.blocks if ph.blocks[i]
-    ]
-    slots = [(named[i][0], p, k, r, d, slot) for p, ph in enumerate(phases) for i, k, r, d, slot in ph.cycle.blocks]
-    span_table = F.broadcast(spark.createDataFrame(
-        spans, "s string, mix_phase int, from_block long, to_block long, first_slot long, length long, share long"))
-    slot_table = F.broadcast(spark.createDataFrame(
-        slots, "s2 string, p2 int, k long, release long, deadline long, slot long"))
+    slots = _slots(spark, [s for s, _ in named], sizes, whole_weights(wanted, cycle) if named else [])
+    if sum(sizes) <= SENT_SLOTS:
+        slots = F.broadcast(slots)
     ranked = _ranked(kept, key).withColumn("mix_block", F.floor(F.col("__rank") / block_docs).cast("long"))
     c = F.col
-    in_span = key.eqNullSafe(c("s")) & (c("mix_block") >= c("from_block")) & (c("mix_block") < c("to_block"))
-    placed = ranked.join(span_table, in_span)
-    nth = c("mix_block") - c("from_block")
-    placed = placed.withColumns({"cycle": F.floor(nth / c("share")), "kth": nth % c("share") + 1})
-    placed = placed.join(slot_table, c("s").eqNullSafe(c("s2")) & (c("mix_phase") == c("p2")) & (c("kth") == c("k")))
-    base = c("first_slot") + c("cycle") * c("length")
+    placed = ranked.join(slots, key.eqNullSafe(c("s")) & (c("mix_block") == c("block")))
     return placed.select(
         *(F.col(f"`{n}`") for n in kept.columns),
         "mix_phase",
         "mix_block",
-        (base + c("release")).alias("mix_release"),
-        (base + c("deadline")).alias("mix_deadline"),
-        (base + c("slot")).alias("mix_slot"),
+        "mix_release",
+        "mix_deadline",
+        "mix_slot",
         (c("__rank") % block_docs).cast("int").alias("mix_order"),
     )
 

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import public_tokenizers
 import pytest
@@ -181,6 +182,38 @@ def test_mixing_places_every_document_once(make_docs):
             assert all(abs(got[x] - n * share[x] / total) < 1 for x in share)
 
 
+@pytest.mark.parametrize("weights", [[0.13958] + [0.0452864] * 19, [0.9] + [0.00004] * 2500, [1 / 3, 0.5**0.5, 2e-7]])
+def test_schedule_keeps_unrounded_weights(weights):
+    """Also from a carried state, and with weights far below a thousandth."""
+    whole = mixing.whole_weights(weights)
+    assert all(a * whole[0] == b for a, b in zip([Fraction(str(w)) / Fraction(str(weights[0])) for w in weights], whole))
+    sizes, total, n = [10**9] * len(weights), sum(whole), 30_000
+    schedule, got, blocks = mixing.Schedule(sizes, whole), Counter(), []
+    for part in (n // 3, n - n // 3):
+        schedule = mixing.Schedule(sizes, whole, schedule.state)
+        blocks += list(schedule.run(part))
+    assert blocks == list(mixing.Schedule(sizes, whole).run(n))
+    for t, (i, k, _, release, deadline, slot) in enumerate(blocks, 1):
+        assert slot == t - 1 and release <= slot < deadline and k == got[i]
+        got[i] += 1
+        assert abs(got[i] * total - whole[i] * t) < total
+        if t % 1000 == 0:
+            assert all(abs(got[j] * total - whole[j] * t) < total for j in range(len(whole)))
+
+
+def test_mixing_keeps_unrounded_weights(make_docs, monkeypatch):
+    """A share of a rounded to thousandths is over a block off after 3,000 slots; slots of many intervals fit together."""
+    monkeypatch.setattr(mixing, "INTERVAL", 500)
+    weights = {"a": 0.1405, "b": 0.8595}
+    rows = [(i, "t", "a" if i < 900 else "b") for i in range(6000)]
+    found = mixing.mix_sources(make_docs(rows), weights, block_docs=1).where("mix_phase = 0").orderBy("mix_slot").collect()
+    assert [r.mix_slot for r in found] == list(range(len(found))) and len(found) > 3000
+    got = Counter()
+    for t, r in enumerate(found, 1):
+        got[r.source] += 1
+        assert all(abs(got[s] - w * t) < 1 for s, w in weights.items())
+
+
 def test_mixing_odd_tables(odd_docs, make_docs):
     assert mixing.mix_sources(odd_docs.withColumnRenamed("lang", "mix_slot")).count() == 8
     assert mixing.mix_sources(make_docs([])).count() == 0
