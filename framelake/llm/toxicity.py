@@ -238,7 +238,10 @@ def _terms_of(body: str) -> set[tuple[str, bool]]:
 
 
 def learn_terms(sample: DataFrame) -> list[Term]:
-    """Words and stems that mark the toxic class in a sample of (text, y), at most TERMS of them."""
+    """Words and stems that mark the toxic class in a sample of (text, y), at most TERMS of them.
+
+    Words that begin with a kept stem stand beside it for their misspelt forms; they take no place of the TERMS.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -269,17 +272,21 @@ def learn_terms(sample: DataFrame) -> list[Term]:
     )
     kept: list[Term] = []
     count_of: dict[str, int] = {}
+    beside: list[Term] = []
     for r in best.limit(20 * TERMS).toLocalIterator():
-        # A longer form of a kept stem says nothing new, nor does a stem that only a kept word has.
+        term = Term(r.term, r.stem, float(r.weight))
+        # A longer form of a kept stem adds its misspelt forms, and nothing where no edit is allowed.
         if any(t.stem and r.term.startswith(t.text) for t in kept):
+            if term.edits:
+                beside.append(term)
             continue
+        # A stem that only a kept word has says nothing new.
         if r.stem and any(not t.stem and t.text.startswith(r.term) and r.bad <= 1.1 * count_of[t.text] for t in kept):
             continue
-        kept.append(Term(r.term, r.stem, float(r.weight)))
-        count_of[r.term] = r.bad
-        if len(kept) == TERMS:
-            break
-    return kept
+        if len(kept) < TERMS:
+            kept.append(term)
+            count_of[r.term] = r.bad
+    return kept + beside
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, *, per_class: int = PER_CLASS) -> Model:

@@ -80,6 +80,19 @@ def test_toxicity_on_held_out_rows(toxic_tables):
     assert all(r.score > 0.5 for r in misspelt)
 
 
+def test_inflected_terms_are_met_misspelt(spark):
+    """The stem of three forms outranks them; misspelt first letters need the words themselves."""
+    forms = ["stupid", "stupidly", "stupids"]
+    rows = [(f"line {i} is {forms[i % 3]} again", 1) for i in range(30)] + [(f"line {i} is fine again", 0) for i in range(30)]
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, y int"))
+    assert any(t.stem and "stupid".startswith(t.text) for t in terms)
+    automaton = toxicity.LexiconAutomaton(terms)
+    for word in ("sutpid", "tsupid", "xtupid", "tupidly", "sutpids"):
+        found, edits = automaton.match(word)
+        assert found >= 0 and edits == 1, word
+    assert automaton.match("stupidest")[1] == 0 and automaton.match("fine")[0] == -1
+
+
 def test_toxicity_odd_tables(odd_docs, make_docs, spark, toxic_tables):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     empty = toxicity.fit(odd_docs, none, "toxic", F.lit(True))
