@@ -7,11 +7,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import decontaminate, hosts, jaccard, licenses, lines, mixing, quality, suffixes, tokens, toxicity
+from framelake.llm import decontaminate, fim, hosts, jaccard, licenses, lines, mixing, packing, quality, suffixes, tokens, toxicity
 from framelake.llm.sample import remainder
 from framelake.llm.sql import ORACLES  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
+PACKING_TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +87,23 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op11_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens; one row for each piece of a document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack_documents(docs, public_tokenizers.path(PACKING_TOKENIZER), window=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's sample and of the text rebuilt from it."""
+    samples = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return samples.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -97,5 +115,7 @@ QUERIES = {
     "op8_quality_cnn": op8_quality_cnn,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_retrieval_packing": op11_retrieval_packing,
+    "op12_fill_in_middle": op12_fill_in_middle,
     "pipeline": corpus_pipeline.run,
 }

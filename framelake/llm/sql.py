@@ -162,4 +162,29 @@ ORACLES = {
         LEFT JOIN (SELECT id, max(n) AS n FROM tokens WHERE kind = 'd' GROUP BY id) t ON d.doc_id::VARCHAR = t.id
         LEFT JOIN hit ON d.doc_id::VARCHAR = hit.id LEFT JOIN items ON d.doc_id::VARCHAR = items.id
     """,
+    "op12_fill_in_middle": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+                   sha256('1:' || doc_id) AS h
+            FROM documents
+        ), k AS (
+            SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(units) + 1) AS k1,
+                   CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(units) + 1) AS k2,
+                   CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS k3, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS k4
+            FROM d
+        ), p AS (
+            SELECT doc_id, n, body, array_to_string(units[1:least(k1, k2)], '') AS a,
+                   array_to_string(units[least(k1, k2) + 1:greatest(k1, k2)], '') AS b,
+                   array_to_string(units[greatest(k1, k2) + 1:], '') AS c,
+                   CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR k3 >= 90
+                        THEN 'plain' WHEN k4 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM k
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN concat('<P>', a, '<S>', c, '<M>', b)
+                      ELSE concat('<S>', c, '<P>', a, '<M>', b) END) AS output_sha256,
+               sha256(body) AS restored_sha256
+        FROM p
+    """,
 }

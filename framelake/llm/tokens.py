@@ -27,10 +27,10 @@ def token_counts(docs: DataFrame, tokenizer_json: str, *, limit: int = 2048, bat
     """
     with open(tokenizer_json, encoding="utf-8") as source:
         content = source.read()
-    _probe(_load(content))
+    _probe(load_tokenizer(content))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _load(content)
+        encoder = load_tokenizer(content)
         known: dict[str, int] = {"": 0}
         for part in slices(batches, most=batch_bytes):
             pieces = [(t or "").replace("\n", " ").split(" ") for t in part.column("text").to_pylist()]
@@ -53,7 +53,7 @@ def token_counts(docs: DataFrame, tokenizer_json: str, *, limit: int = 2048, bat
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-def _load(content: str):
+def load_tokenizer(content: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ["RAYON_NUM_THREADS"] = "1"
     from tokenizers import Tokenizer
