@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
@@ -18,8 +19,8 @@ from framelake.llm.tokens import load_tokenizer
 
 #: Tokens and documents of a shard, the part of the corpus that one inverted index covers.
 SHARD_TOKENS, SHARD_DOCS = 1 << 19, 4096
-#: Distinct pieces whose tokens a task remembers; then it forgets all and goes on.
-REMEMBERED = 300_000
+#: Pieces of a generation whose tokens a worker remembers.
+REMEMBERED = 400_000
 #: Saturation of term counts and weight of the document's length.
 K1, B = 1.2, 0.75
 
@@ -44,20 +45,51 @@ def pieces_of(text: str) -> list[str]:
 
 
 class Encoder:
-    """Token ids of whole texts, equal pieces encoded once."""
+    """Token ids of whole texts; pieces met before are not encoded again.
 
-    def __init__(self, content: str, kind: type) -> None:
-        self.tokenizer, self.kind, self.known = load_tokenizer(content), kind, {"": b""}
+    Two generations of pieces are remembered: when the younger one is full it becomes the older one, and what is
+    met again of that comes back. A worker process keeps its encoder for all its tasks.
+    """
+
+    def __init__(self, content: str, kind: type, remembered: int = REMEMBERED) -> None:
+        self.tokenizer, self.kind, self.remembered = load_tokenizer(content), kind, remembered
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         cut = [pieces_of(t) for t in texts]
-        new = list(set().union(*cut).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {"": b""}
-            new = list(set().union(*cut).difference(self.known))
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[piece] = np.array(found.ids, self.kind).tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, c)), self.kind) for c in cut]
+        self._learn(set().union(*cut))
+        found = [np.frombuffer(b"".join(map(self.known.__getitem__, c)), self.kind) for c in cut]
+        if len(self.known) > self.remembered:
+            self.older, self.known = self.known, {"": b""}
+        return found
+
+    def _learn(self, pieces: set[str]) -> None:
+        known, older = self.known, self.older
+        new = pieces.difference(known)
+        again = new.intersection(older)
+        known.update(zip(again, map(older.__getitem__, again)))
+        new -= again
+        # A mark behind a letter is encoded by itself, so the word before it may be known.
+        stems = {p: p[:-1] for p in new if p[-1] in ".,;:!?" and p[-2:-1].isalpha()}
+        if stems:
+            self._learn(set(stems.values()).union(p[-1] for p in stems))
+            new.difference_update(stems)
+        fresh = list(new)
+        for piece, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            known[piece] = array(self.kind().dtype.char, found.ids).tobytes()
+        for piece, stem in stems.items():
+            known[piece] = known[stem] + known[piece[-1]]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(content: str, kind: type) -> Encoder:
+    if content not in _encoders:
+        _encoders.clear()
+        _encoders[content] = Encoder(content, kind)
+    return _encoders[content]
 
 
 class ShardIndex:
@@ -177,7 +209,7 @@ def encoded(docs: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
     kind = id_type(size)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, places = Encoder(content, kind), _lexical_keys(size)
+        encoder, places = encoder_of(content, kind), _lexical_keys(size)
         for part in slices(batches):
             found = encoder([t or "" for t in part.column("text").to_pylist()])
             whole = [np.append(f, kind(end_id)) for f in found]

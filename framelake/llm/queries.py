@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import decontaminate, fim, hosts, jaccard, licenses, lines, mixing, packing, quality, suffixes, tokens, toxicity
+from framelake.llm import decontaminate, fim, hosts, jaccard, licenses, lines, mixing, packing, quality, suffixes, tokens, toxicity, trie
 from framelake.llm.sample import remainder
 from framelake.llm.sql import ORACLES  # noqa: F401
 
@@ -104,6 +104,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations."""
+    turns, ids = trie.share_openings(trie.numbered_turns(table(spark, sf_dir, "conversations")), every=20, upto=4)
+    found = trie.prefix_trie(turns, ids)
+    return found.nodes.join(trie.ends_digest(found.ends), ["conv_id", "depth"], "left").select(
+        *found.nodes.columns, F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256")
+    )
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -117,5 +126,6 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_retrieval_packing": op11_retrieval_packing,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_conversation_trie": op13_conversation_trie,
     "pipeline": corpus_pipeline.run,
 }

@@ -187,4 +187,46 @@ ORACLES = {
                sha256(body) AS restored_sha256
         FROM p
     """,
+    "op13_conversation_trie": """
+        WITH crc AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+                lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS t
+        ), t AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place, digest, words
+            FROM (SELECT conv_id, turn, md5(concat(length(coalesce(role, '')), ':', role, text)) AS digest,
+                         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+                  FROM conversations WHERE conv_id IS NOT NULL)
+        ), ids AS (
+            SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_prepend(4294967295,
+                list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h
+            FROM (SELECT DISTINCT conv_id FROM t), crc
+        ), turns AS (
+            SELECT i.conv_id, 0 AS own, t.place, digest, words FROM ids i JOIN t ON t.conv_id = i.base AND t.place <= i.h
+            UNION ALL
+            SELECT i.conv_id, 1, t.place, digest, words FROM ids i JOIN t ON t.conv_id = i.conv_id AND t.place > i.h
+        ), paths AS (
+            SELECT i.conv_id, coalesce(list(digest ORDER BY own, place) FILTER (WHERE digest IS NOT NULL), []) AS ds,
+                   coalesce(list(words ORDER BY own, place) FILTER (WHERE digest IS NOT NULL), []) AS ws
+            FROM ids i LEFT JOIN turns t ON t.conv_id = i.conv_id GROUP BY i.conv_id
+        ), steps AS (
+            SELECT conv_id, unnest(range(len(ds) + 1)) AS depth, ds, ws FROM paths
+        ), opened AS (
+            SELECT conv_id, depth, ds[1:depth] AS node, ds[1:depth - 1] AS above, coalesce(ws[depth], 0) AS words, depth = len(ds) AS ended FROM steps
+        ), nodes AS (
+            SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(above) AS above, count(*) AS n_convs,
+                   (count(*) - 1) * any_value(words) AS saved,
+                   sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE ended), '')) AS ends_sha256
+            FROM opened GROUP BY node
+        ), sized AS (
+            SELECT n.*, coalesce(k.n_children, 0) AS n_children
+            FROM nodes n LEFT JOIN (SELECT above, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY above) k ON k.above = n.node
+        ), sums AS (
+            SELECT o.node, count(*) FILTER (WHERE s.n_children = 0) AS n_leaves, sum(s.saved) AS saved_tokens
+            FROM sized s JOIN opened o ON o.conv_id = s.conv_id AND o.depth <= s.depth GROUP BY o.node
+        )
+        SELECT s.conv_id, s.depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children, n_leaves,
+               CAST(saved_tokens AS BIGINT) AS saved_tokens, s.ends_sha256
+        FROM sized s JOIN sums ON sums.node = s.node LEFT JOIN nodes p ON s.depth > 0 AND p.node = s.above
+    """,
 }
