@@ -162,3 +162,5 @@ def test_packing_odd_tables(odd_docs, make_docs):
     joined = packing.windows(pieces).collect()
     assert sum(r.n_tokens for r in joined) == sum(r.length for r in rows) == sum(len(r.ids) // 4 for r in joined)
     assert packing.pack_documents(make_docs([]), PATH).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack_documents(odd_docs, public_tokenizers.path("word_bpe_49k.json"))
