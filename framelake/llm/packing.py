@@ -65,6 +65,7 @@ class Encoder:
     def __init__(self, content: str, kind: type, remembered: int = REMEMBERED) -> None:
         self.tokenizer, self.kind, self.remembered = load_tokenizer(content), kind, remembered
         self.letters = byte_letters()
+        self.blank = chr(self.letters[0x20])
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
@@ -78,6 +79,8 @@ class Encoder:
 
     def spelt(self, piece: str) -> str:
         """The piece in the letters of the vocabulary, as the tokenizer hands it to its merges."""
+        if piece.isascii():
+            return piece.replace(" ", self.blank)
         return piece.encode().decode("latin-1").translate(self.letters)
 
     def _learn(self, pieces: set[str]) -> None:
@@ -120,9 +123,11 @@ class ShardIndex:
     def __init__(self, pieces: list[Piece], size: int) -> None:
         n = len(pieces)
         lengths = np.array([len(p.ids) for p in pieces], np.int64)
-        owner = np.repeat(np.arange(n, dtype=np.int64), lengths)
-        flat, count = np.unique(owner * size + np.concatenate([p.ids for p in pieces]), return_counts=True)
-        doc, self.term = flat // size, flat % size
+        # Four bytes where they suffice; they sort several times faster.
+        whole = np.uint32 if n * size < 1 << 32 else np.int64
+        owner = np.repeat(np.arange(n, dtype=whole) * whole(size), lengths)
+        flat, count = np.unique(owner + np.concatenate([p.ids for p in pieces]), return_counts=True)
+        doc, self.term = (x.astype(np.int64) for x in np.divmod(flat, whole(size)))
         df = np.bincount(self.term, minlength=size)
         idf = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
         long = K1 * (1 - B + B * lengths / max(lengths.mean(), 1.0))
