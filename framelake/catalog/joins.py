@@ -40,14 +40,19 @@ def _(spark, sf):
 
 @query(
     "join2_pair_one_to_one",
-    f"""WITH {PAIR_SQL}, w AS (SELECT session_id, primary_id FROM pairs WHERE side_id IS NOT NULL
-      QUALIFY row_number() OVER (PARTITION BY session_id, side_id ORDER BY d, ns, primary_id) = 1)
-    SELECT pairs.session_id, pairs.primary_id, CASE WHEN w.primary_id IS NOT NULL THEN side_id END AS side_id,
-     w.primary_id IS NOT NULL AND d <= 60000000 AS synchronized FROM pairs LEFT JOIN w USING (session_id, primary_id)""",
+    """WITH RECURSIVE p AS (SELECT session_id, frame_id, ns, row_number() OVER (PARTITION BY session_id ORDER BY ns, frame_id) AS k FROM frames WHERE kind = 'click'),
+     s AS (SELECT session_id, frame_id, ns, row_number() OVER (PARTITION BY session_id ORDER BY ns, frame_id) AS i FROM frames WHERE kind = 'view'),
+     walk AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS pick FROM p
+      UNION ALL SELECT w.session_id, w.k + 1, coalesce(first(s.i ORDER BY abs(s.ns - p.ns), s.i), w.used), first(s.i ORDER BY abs(s.ns - p.ns), s.i)
+       FROM walk w JOIN p ON p.session_id = w.session_id AND p.k = w.k + 1 LEFT JOIN s ON s.session_id = w.session_id AND s.i > w.used GROUP BY w.session_id, w.k, w.used)
+    SELECT p.session_id, p.frame_id AS primary_id, s.frame_id AS side_id, coalesce(abs(s.ns - p.ns) / 1e6 <= 60000000, false) AS synchronized
+    FROM p JOIN walk w ON w.session_id = p.session_id AND w.k = p.k LEFT JOIN s ON s.session_id = p.session_id AND s.i = w.pick""",
     "frames",
 )
 def _(spark, sf):
-    return pairing.one_to_one(pairs(spark, sf), ["session_id"]).select("session_id", "primary_id", "side_id", "synchronized")
+    f = frames(spark, sf)
+    found = pairing.pair_one_to_one(f.filter("kind = 'click'"), f.filter("kind = 'view'"), ["session_id"], tolerance_ms=60_000_000)
+    return found.select("session_id", "primary_id", "side_id", "synchronized")
 
 
 FILES_SQL = """fp AS (SELECT source AS folder, 'top/' || lang || '/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.png' AS path,

@@ -173,12 +173,24 @@ def _(spark, sf):
     return rounded(out, 6, "macro_recall", "coverage")
 
 
-@query("ml11_fit_thresholds_observed")
+@query(
+    "ml11_fit_thresholds_observed",
+    f"""WITH {ACCEPT_SQL}, o AS (SELECT truth, label = truth AS good, round(distance, 9) AS distance, round(margin, 9) AS margin FROM b),
+     t AS (SELECT greatest(max(margin), 0.4) AS top FROM o), w AS (SELECT o.* FROM o, t WHERE NOT good AND NOT (distance <= 0 AND margin >= top)),
+     d AS (SELECT DISTINCT distance AS d FROM o UNION SELECT 0), l AS (SELECT d.d, max(w.margin) AS above FROM d LEFT JOIN w ON w.distance <= d.d GROUP BY 1),
+     f AS (SELECT d, coalesce(above, -1) AS above FROM l, t WHERE coalesce(above, -1) < top),
+     k AS (SELECT f.d, truth, count(*) AS n, count(*) FILTER (distance <= f.d AND margin > above) AS a, count(*) FILTER (distance <= f.d AND margin > above AND good) AS c,
+       min(margin) FILTER (distance <= f.d AND margin > above) AS least FROM o CROSS JOIN f GROUP BY 1, 2),
+     s AS (SELECT d, CAST(sum(a) - sum(c) AS BIGINT) AS wrong_accepts, avg(c / n) AS macro_recall, sum(a) / sum(n) AS coverage, min(least) AS least FROM k GROUP BY 1)
+    SELECT d AS distance_threshold, coalesce(least, top) AS margin_threshold, wrong_accepts, round(macro_recall, 6) AS macro_recall, round(coverage, 6) AS coverage FROM s, t
+    ORDER BY s.wrong_accepts, round(s.macro_recall, 9) DESC, round(s.coverage, 9) DESC, d LIMIT 1""",
+    "vec",
+)
 def _(spark, sf):
     observed = accepted(spark, sf).join(vectors(spark, sf).select(F.col("id").alias("qid"), F.col("label").alias("truth")), "qid").select(
-        "truth", F.col("label").alias("prediction"), "distance", "margin"
+        "truth", F.col("label").alias("prediction"), F.round("distance", 9).alias("distance"), F.round("margin", 9).alias("margin")
     )
-    return C.fit_thresholds(observed)
+    return rounded(C.fit_thresholds(observed), 6, "macro_recall", "coverage")
 
 
 POLICY_RULES = [{"method": m, "side_weight": w} for m in ("probability_sum", "log_product") for w in (0.15, 0.30, 0.45)]

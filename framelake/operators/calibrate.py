@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import scores as S
-from framelake.plans.quantiles import quantiles
+from framelake.plans.scan import running
+from framelake.session import truncate_lineage
 
 
 def geometric_grid(low: float, high: float, steps: int) -> list[float]:
@@ -89,19 +90,80 @@ def pick(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return df.agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("b")).select("b.*")
 
 
-def distance_grid(df: DataFrame, *, observed_limit: int = 200) -> list[float]:
-    """0, twenty quantiles and, where they are few, all observed distances."""
-    wanted = {f"q{i}": 0.05 + 0.95 * i / 19 for i in range(20)}
-    marks = quantiles(df, [], F.col("distance"), wanted).first()
-    seen = [r[0] for r in df.filter("distance is not null").select("distance").distinct().limit(observed_limit + 1).collect()]
-    return sorted({0.0, *[marks[n] for n in wanted], *(seen if len(seen) <= observed_limit else [])})
+def _cuts(values: DataFrame, column: str, parts: int = 200) -> Column:
+    """A bucket that grows with the column: how many of up to ``parts`` approximate quantiles lie at or below it."""
+    marks = values.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10_000).alias("m")).first()["m"]
+    return _index(F.col(column), sorted(set(marks or [])), False)
+
+
+def fit_observed_thresholds(df: DataFrame, *, grid_top: float = 0.4) -> DataFrame:
+    """The best limits among all observed distances and margins, zero and margins up to ``grid_top``.
+
+    A larger distance limit or a smaller margin limit accepts more, of right and of wrong rows. So with the fewest wrong rows
+    that any limits accept, each distance d has one best margin: just above the margins of the other wrong rows up to d.
+    A right row is then accepted from its own distance on and until the first of those wrong rows whose margin is not
+    below its own. Its end comes from a scan by falling margin, the recalls from one by rising distance over +1 and -1
+    at both ends, and the chosen limits are counted again on all rows. Both scans are bucketed, over one row a value.
+    A null or infinite distance is never accepted; a null margin is zero.
+    """
+    c = F.col
+    endless = F.lit(float("inf"))
+    rows = truncate_lineage(df.select(
+        "truth", F.coalesce(c("prediction") == c("truth"), F.lit(False)).alias("right"),
+        F.coalesce(F.nullif(c("distance"), F.lit(float("nan"))), endless).alias("distance"), F.coalesce("margin", F.lit(0.0)).alias("margin"),
+    ))
+    sizes = rows.groupBy("truth").agg(F.count(F.lit(1)).alias("rows"))
+    whole = sizes.agg(F.sum("rows").alias("all"), F.count(F.lit(1)).alias("classes"))
+    # One row each: no margin limit is higher, and no wrong row above all limits lies nearer.
+    top = rows.agg(F.greatest(F.max("margin"), F.lit(float(grid_top)), F.lit(0.0)).alias("top"))
+    met = rows.join(F.broadcast(top), how="cross").withColumn("always", ~c("right") & (c("distance") <= 0) & (c("margin") >= c("top")))
+    wall = met.agg(F.coalesce(F.min(F.when(~c("right") & ~c("always") & (c("margin") >= c("top")), c("distance"))), endless).alias("wall"))
+    by_margin = met.where(~c("always")).groupBy("margin").agg(F.max(F.when(~c("right"), -c("distance"))).alias("near"))
+    by_margin = by_margin.select("margin", "near", (-c("margin")).alias("falling"))
+    until = running(by_margin.withColumn("part", -_cuts(by_margin, "margin")), [], "part", ["falling"], {"ends": ("max", c("near"))})
+    until = until.select("margin", F.coalesce(-c("ends"), endless).alias("until"))
+    weight = (F.lit(1).cast("decimal(38,20)") / (c("rows") * c("classes")).cast("decimal(20,0)")).cast("decimal(38,20)")
+    spans = (
+        rows.where(c("right") & (c("distance") < endless)).groupBy("truth", "distance", "margin").agg(F.count(F.lit(1)).alias("n"))
+        .join(until, "margin").where(c("distance") < c("until"))
+        .join(sizes, "truth").join(F.broadcast(whole), how="cross")
+        .select("distance", "until", "n", (c("n") * weight).alias("share"))
+    )
+    moves = spans.select("distance", "n", "share").unionByName(
+        spans.where(c("until") < endless).select(c("until").alias("distance"), (-c("n")).alias("n"), (-c("share")).alias("share"))
+    )
+    moves = moves.unionByName(rows.where("distance < double('inf')").select("distance").distinct().union(rows.sparkSession.range(1).select(F.lit(0.0))).select(
+        "distance", F.lit(0).cast("long").alias("n"), F.lit(0).cast("decimal(38,20)").alias("share")
+    ))
+    steps = moves.groupBy("distance").agg(F.sum("n").alias("n"), F.sum("share").cast("decimal(38,20)").alias("share"))
+    summed = running(steps.withColumn("part", _cuts(steps, "distance")), [], "part", ["distance"], {"accepted": ("sum", c("n")), "recall": ("sum", c("share"))})
+    best = pick(
+        summed.join(F.broadcast(wall), how="cross").where(c("distance") < c("wall")),
+        [-F.round(c("recall"), 9), -c("accepted"), c("distance")],
+    ).select(c("distance").alias("distance_threshold"))
+    chosen = met.join(F.broadcast(best), how="cross").withColumn("within", c("distance") <= c("distance_threshold"))
+    above = chosen.agg(F.max(F.when(~c("right") & ~c("always") & c("within"), c("margin"))).alias("above"))
+    judged = chosen.join(F.broadcast(above), how="cross").withColumn("taken", c("within") & F.coalesce(c("margin") > c("above"), F.lit(True)))
+    of_class = judged.groupBy("truth").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("taken").alias("n"), F.count_if(c("taken") & c("right")).alias("c"),
+        F.min(F.when(c("taken"), c("margin"))).alias("least"), F.first("top").alias("top"), F.first("distance_threshold").alias("distance_threshold"),
+    )
+    return of_class.agg(
+        F.first("distance_threshold").alias("distance_threshold"), F.coalesce(F.min("least"), F.first("top")).alias("margin_threshold"),
+        (F.sum("n") - F.sum("c")).alias("wrong_accepts"), F.avg(c("c") / c("rows")).alias("macro_recall"), (F.sum("n") / F.sum("rows")).alias("coverage"),
+    ).where("distance_threshold IS NOT NULL")
 
 
 def fit_thresholds(df: DataFrame, *, distances: Sequence[float] | None = None, margins: Sequence[float] | None = None) -> DataFrame:
-    """Best distance and margin limit: no wrong accept, then fewest, recall, coverage, small distance, large margin."""
-    rises = list(distances) if distances is not None else distance_grid(df)
-    falls = list(margins) if margins is not None else sorted({0.0, *[0.02 + 0.38 * i / 19 for i in range(20)]})
-    found = threshold_candidates(df, rises, falls, rising="distance", falling="margin")
+    """Best distance and margin limit: no wrong accept, then fewest, recall, coverage, small distance, large margin.
+
+    Without grids all observed values are tried.
+    """
+    if distances is None and margins is None:
+        return fit_observed_thresholds(df)
+    if distances is None or margins is None:
+        raise ValueError("give both grids or none")
+    found = threshold_candidates(df, list(distances), list(margins), rising="distance", falling="margin")
     best = pick(found, _rank(F.col("rising_limit"), -F.col("falling_limit")))
     return best.withColumnsRenamed({"rising_limit": "distance_threshold", "falling_limit": "margin_threshold"})
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.plans.scan import ordinal
+from framelake.plans.scan import ordinal, running
 
 
 def pair_frames(
@@ -64,25 +64,34 @@ def pair_frames(
     )
 
 
-def one_to_one(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keeps each side frame only for the primary frame nearest to it; the others lose their side.
+def pair_one_to_one(
+    primary: DataFrame, side: DataFrame, keys: Sequence[str], *, tolerance_ms: float = 50.0, bucket_ns: int = 3_600_000_000_000
+) -> DataFrame:
+    """Primary frames in order of time, each with the nearest side frame that lies behind the one used last.
 
-    The nearest side frame never moves backward with primary time, so neither does what is kept.
+    Side frames up to the used one are gone, so no side frame serves twice and none goes backward. If the nearest
+    one is gone, the first one left is nearest, as all that are left are later. So with the k-th primary frame's
+    nearest side frame at place n(k), the used place is the larger of n(k) and the last used one plus 1, which is
+    k plus the running maximum of n - k: two bucketed scans, no walk through a session. A place past the last side
+    frame is none. Equal times go in order of frame_id on both sides.
     """
     keys = list(keys)
-    winners = (
-        pairs.filter("side_id is not null")
-        .groupBy(*keys, "side_id")
-        .agg(F.min(F.struct("pair_delta_ms", "primary_ns", "primary_id")).alias("w"))
-        .select(*keys, F.col("w.primary_id").alias("primary_id"), F.lit(True).alias("__keep"))
+    c = F.col
+    bucket = lambda ns: F.expr(f"{ns} div {int(bucket_ns)}")
+    placed = ordinal(side.select(*keys, "ns", "frame_id").withColumn("__b", bucket("ns")), keys, "__b", ["ns", "frame_id"], "__place")
+    first = F.min("__place").over(Window.partitionBy(*keys, "ns"))
+    marked = placed.select(*keys, "ns", F.struct(first.alias("__place"), "frame_id").alias("frame_id"))
+    nearest = pair_frames(primary, marked, keys, bucket_ns=bucket_ns).select(
+        *keys, "primary_id", "primary_ns", c("side_id.__place").alias("__nearest"), bucket("primary_ns").alias("__b")
     )
-    kept = F.coalesce(F.col("__keep"), F.lit(False))
-    return pairs.join(winners, [*keys, "primary_id"], "left").select(
-        *keys, "primary_id", "primary_ns",
-        F.when(kept, F.col("side_id")).alias("side_id"),
-        F.when(kept, F.col("side_ns")).alias("side_ns"),
-        F.when(kept, F.col("pair_delta_ms")).alias("pair_delta_ms"),
-        (kept & F.col("synchronized")).alias("synchronized"),
+    order = ["primary_ns", "primary_id"]
+    counted = ordinal(nearest, keys, "__b", order, "__k")
+    used = running(counted, keys, "__b", order, {"__ahead": ("max", c("__nearest") - c("__k"))}).withColumn("__place", c("__k") + c("__ahead"))
+    free = placed.select(*keys, "__place", c("frame_id").alias("side_id"), c("ns").alias("side_ns"))
+    delta = F.abs(c("side_ns") - c("primary_ns")) / 1e6
+    return used.join(free, [*keys, "__place"], "left").select(
+        *keys, "primary_id", "primary_ns", "side_id", "side_ns", delta.alias("pair_delta_ms"),
+        F.coalesce(delta <= tolerance_ms, F.lit(False)).alias("synchronized"),
     )
 
 

@@ -91,7 +91,7 @@ def test_pair_frames_nearest_and_one_to_one(spark):
     assert (got[1]["pair_delta_ms"], got[1]["synchronized"]) == (12.0, True)
     assert (got[2]["side_id"], got[2]["synchronized"]) == (7, False)
     assert got[3]["side_id"] is None and got[3]["synchronized"] is False
-    kept = {r["primary_id"]: r["side_id"] for r in pairing.one_to_one(pairing.pair_frames(primary, side, ["k"]), ["k"]).collect()}
+    kept = {r["primary_id"]: r["side_id"] for r in pairing.pair_one_to_one(primary, side, ["k"], bucket_ns=second).collect()}
     assert kept == {1: 7, 2: None, 3: None}
 
 
