@@ -71,6 +71,19 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Cells of the thumbnail that stands for a frame's picture.
+THUMB_CELLS = 16
+
+
+def thumbnail(value: Column) -> Column:
+    """Sixteen grey levels made of a value: cells move apart and meet again as the value grows."""
+    return F.transform(F.sequence(F.lit(0), F.lit(THUMB_CELLS - 1)), lambda i: F.floor(value * (1 + i % 4)).cast("bigint") % 64)
+
+
+def thumb_sql(value: str) -> str:
+    return f"[CAST(floor(({value}) * (1 + i % 4)) AS BIGINT) % 64 for i in range({THUMB_CELLS})]"
+
+
 _FRAMES = """
 SELECT user_id AS session_id, event_id AS frame_id, event_type AS kind, ts,
  epoch_us(ts) * 1000 AS ns, value, epoch_us(ts) // 3600000000 AS hour

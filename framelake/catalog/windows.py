@@ -8,7 +8,7 @@ from framelake.catalog.aggregates import DEPTH_QUALITY_SQL, LANGS, depth_quality
 from framelake.catalog.base import query
 from framelake.catalog.joins import HALF_SQL, RUN_SQL, halves, runs
 from framelake.catalog.projections import SAFETY_SQL, STATUS_SQL, safety, status_of
-from framelake.catalog.views import captures, detections, frames, scores, segments, table, vectors
+from framelake.catalog.views import THUMB_CELLS, captures, detections, frames, scores, segments, table, thumb_sql, thumbnail, vectors
 from framelake.functions import labels
 from framelake.functions import scores as score_fn
 from framelake.operators import poses, sets
@@ -245,15 +245,17 @@ def _(spark, sf):
 
 @query(
     "win14_quality_streak",
-    """WITH l AS (SELECT session_id, frame_id, row_number() OVER w AS pos, abs(value - lag(value) OVER w) AS motion FROM frames WINDOW w AS (PARTITION BY session_id ORDER BY ns, frame_id)),
-     s AS (SELECT *, pos - max(CASE WHEN NOT coalesce(motion <= 25, false) THEN pos END) OVER (PARTITION BY session_id ORDER BY pos) AS stable_frames FROM l)
+    f"""WITH th AS (SELECT *, {thumb_sql("value")} AS pic FROM frames), la AS (SELECT *, lag(pic) OVER w AS prev, row_number() OVER w AS pos FROM th WINDOW w AS (PARTITION BY session_id ORDER BY ns, frame_id)),
+     l AS (SELECT *, list_sum([abs(pic[i + 1] - prev[i + 1]) for i in range({THUMB_CELLS})]) / {THUMB_CELLS}.0 AS motion FROM la),
+     s AS (SELECT *, pos - max(CASE WHEN NOT coalesce(motion <= 17.5, false) THEN pos END) OVER (PARTITION BY session_id ORDER BY pos) AS stable_frames FROM l)
     SELECT frame_id, round(motion, 6) AS motion, stable_frames, stable_frames >= 3 AS ready FROM s""",
     "frames",
 )
 def _(spark, sf):
-    return Q.quality_streak(
-        frames(spark, sf), ["session_id"], "hour", ["ns", "frame_id"], "value", max_motion=25.0
-    ).select("frame_id", F.round("motion", 6).alias("motion"), "stable_frames", "ready")
+    pictured = frames(spark, sf).withColumn("picture", thumbnail(F.col("value")))
+    return Q.quality_streak(pictured, ["session_id"], "hour", ["ns", "frame_id"], "picture", max_motion=17.5).select(
+        "frame_id", F.round("motion", 6).alias("motion"), "stable_frames", "ready"
+    )
 
 
 @query(

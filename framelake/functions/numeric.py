@@ -77,3 +77,9 @@ def time_delta_ms(first_ns: Column, second_ns: Column) -> Column:
 def frame_sync_ms(frame_ns: Column, colour_ns: Column, depth_ns: Column) -> Column:
     """Colour-to-depth delay; a missing device stamp falls back to the frame's."""
     return time_delta_ms(F.coalesce(colour_ns, frame_ns), F.coalesce(depth_ns, frame_ns))
+
+
+def thumbnail_motion(picture: Column, last: Column) -> Column:
+    """Mean absolute difference of two thumbnails, cell by cell; null without a last one or where sizes differ."""
+    gaps = F.zip_with(picture, last, lambda a, b: F.abs(a - b).cast("double"))
+    return F.when(F.size(picture) == F.size(last), F.aggregate(gaps, F.lit(0.0), lambda t, g: t + g) / F.greatest(F.size(picture), F.lit(1)))

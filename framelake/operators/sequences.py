@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.functions.numeric import clip
+from framelake.functions.numeric import clip, thumbnail_motion
 from framelake.plans.scan import ordinal, running
 
 
@@ -87,11 +87,15 @@ def temporal_stability(
 
 
 def quality_streak(
-    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], measure: str, *, required: int = 3, max_motion: float = 2.5
+    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], picture: str, *, required: int = 3, max_motion: float = 2.5
 ) -> DataFrame:
-    """Motion against the previous frame, consecutive calm frames and readiness; the first frame has none."""
-    state = F.struct(F.col(measure).alias("m"))
-    motion = F.abs(F.col(measure) - F.col("prev.m"))
+    """Motion against the previous frame, consecutive calm frames and readiness; the first frame has no motion.
+
+    ``picture`` is an array column, the frame's thumbnail; motion is the mean absolute difference of its cells, so a frame
+    of equal mean whose content has moved is not calm.
+    """
+    state = F.struct(F.col(picture).alias("m"))
+    motion = thumbnail_motion(F.col(picture), F.col("prev.m"))
     counted = runs(df, keys, bucket, order, state, motion <= max_motion)
     return counted.withColumn("motion", motion).withColumn("stable_frames", F.col("run_length") - 1).withColumn(
         "ready", F.col("stable_frames") >= required

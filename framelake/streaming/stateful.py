@@ -1,14 +1,20 @@
-"""Stateful rules per device or session: interlock, stability, quality, capture, motion stretches.
+"""Rules per device or session over events in order of time: interlock, stability, quality, capture, motion stretches.
 
-Each operator keeps a few numbers per key. Rows of a key are taken in event order within a micro-batch;
-the size of a micro-batch bounds what a task holds.
+A rule is a step from (what is held, one event) to (what is held, rows to emit). `ordered` applies it to a stream: events wait
+in the state of their key, sorted, until the watermark says that nothing earlier can come; a timer at the
+first waiting event wakes the key. So the rows do not depend on how the input is cut into files or micro-batches, as
+long as events are late by `delay` at most; later ones are dropped by Spark. `replay` runs a finished stream to its
+end and then takes the events that still wait from the state.
 """
 
 from __future__ import annotations
 
+import pickle
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -16,10 +22,90 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from framelake.session import scratch_path
+from framelake.streaming.common import manifest_sink
+
 READY, MOVING, SETTLING = "READY", "MOVING", "SETTLING"
 # Status of the interlock and the reason it reports.
 REASONS = {"OK": "ready", "BUSY_MOVING": "tool_moving", "SETTLING": "settling", "MOTION_UNSTABLE": "motion_unstable", "CAMERA_ERROR": "camera_error"}
 
+Emit = Callable[..., None]
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Columns of an event behind ns and seq, what a new key holds, the step, and the columns of an emitted row behind device_id."""
+
+    columns: tuple[str, ...]
+    fresh: Any
+    step: Callable[[Any, tuple, Emit], Any]
+    out: str
+
+
+def _walk(rule: Rule, key: Any, held: Any, events: Iterable[tuple]) -> tuple[Any, pd.DataFrame]:
+    rows: list[tuple] = []
+    for event in events:
+        held = rule.step(held, event, lambda *values: rows.append((key, *values)))
+    names = ["device_id", *(part.split()[0] for part in rule.out.split(", "))]
+    return held, pd.DataFrame(rows, columns=names)
+
+
+def _in_order(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState, rule: Rule) -> Iterator[pd.DataFrame]:
+    held, waiting = pickle.loads(state.get[0]) if state.exists else (rule.fresh, [])
+    for batch in batches:
+        waiting += zip(*(batch[n].tolist() for n in ("ns", "seq", *rule.columns)))
+    waiting.sort(key=lambda e: e[:2])
+    passed = state.getCurrentWatermarkMs()
+    n = bisect_right(waiting, passed * 1_000_000, key=lambda e: e[0])
+    held, rows = _walk(rule, key[0], held, waiting[:n])
+    state.update((pickle.dumps((held, waiting[n:])),))
+    if len(waiting) > n:
+        state.setTimeoutTimestamp(max(passed + 1, waiting[n][0] // 1_000_000))
+    yield rows
+
+
+def ordered(events: DataFrame, rule: Rule, *, delay: str = "1 hour") -> DataFrame:
+    """Rows of the rule over a stream with device_id, ns, seq and the rule's columns; equal times go in order of seq."""
+    kind = events.schema["device_id"].dataType.simpleString()
+    timed = events.select("device_id", "ns", "seq", *rule.columns, F.timestamp_micros(F.expr("ns div 1000")).alias("__at"))
+    return timed.withWatermark("__at", delay).groupBy("device_id").applyInPandasWithState(
+        partial(_in_order, rule=rule), f"device_id {kind}, {rule.out}", "held binary", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def still_waiting(state: DataFrame, rule: Rule, kind: str) -> DataFrame:
+    """Rows of the events that wait in the state of an ended stream, as read from its checkpoint."""
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, blob in zip(batch["device_id"].tolist(), batch["held"]):
+                yield _walk(rule, key, *pickle.loads(blob))[1]
+
+    kept = state.select(F.col("key.*"), F.col("value.groupState.held").alias("held")).toDF("device_id", "held")
+    return kept.mapInPandas(finish, f"device_id {kind}, {rule.out}")
+
+
+def replay(events: DataFrame, rule: Rule, name: str, *, delay: str = "1 hour") -> DataFrame:
+    """All rows of a stream that has an end: those it has emitted and those of the events left waiting."""
+    spark, path = events.sparkSession, scratch_path(events.sparkSession, name)
+    stream = ordered(events, rule, delay=delay)
+    manifest_sink(stream, f"{path}/table", f"{path}/checkpoint", form="parquet").awaitTermination()
+    state = spark.read.format("statestore").load(f"{path}/checkpoint")
+    left = still_waiting(state, rule, events.schema["device_id"].dataType.simpleString())
+    return spark.read.schema(stream.schema).parquet(f"{path}/table").unionByName(left)
+
+
+def _known(value: Any) -> Any:
+    """None for what pandas gives for a null."""
+    return None if value is None or (isinstance(value, float) and value != value) else value
+
+
+def motion(picture: Any, last: Any) -> float:
+    """Mean absolute difference of two thumbnails, cell by cell; without a last one or of another size it is infinite."""
+    if last is None or len(picture) != len(last):
+        return float("inf")
+    return float(np.mean(np.abs(np.asarray(picture, float) - np.asarray(last, float)))) if len(picture) else 0.0
+
 
 @dataclass(frozen=True)
 class InterlockLimits:
@@ -30,177 +116,145 @@ class InterlockLimits:
     timeout_ms: float = 2000.0
 
 
-# One camera: state, stop time, frames discarded, calm frames, last picture (None before a baseline), timed out.
-_FRESH = (READY, 0, 0, 0, None, False)
-_CAMERA = "{p}state string, {p}stop bigint, {p}seen int, {p}calm int, {p}last double, {p}late boolean"
-_TRACK = "track_class string, track_x double, track_y double, track_count int"
-
-
-def _command(camera: tuple, kind: str, ns: int) -> tuple:
-    if kind == "start":
-        return (MOVING, 0, 0, 0, None, False)
-    if kind == "stop" and camera[0] == MOVING:
-        return (SETTLING, ns, 0, 0, None, False)
-    return camera
-
-
-def _observe(camera: tuple, picture: float, ns: int, limits: InterlockLimits) -> tuple:
-    """A frame while settling: time-out first, then discarding, the minimum wait, a baseline, calm frames."""
-    state, stop, seen, calm, last, late = camera
-    if state != SETTLING:
-        return camera
-    waited = (ns - stop) / 1e6
-    if waited > limits.timeout_ms:
-        return (state, stop, seen, calm, last, True)
-    if seen < limits.discard:
-        return (state, stop, seen + 1, calm, None, late)
-    if waited < limits.settle_ms or last is None:
-        return (state, stop, seen, calm, picture, late)
-    calm = calm + 1 if abs(picture - last) <= limits.max_motion else 0
-    if calm >= limits.stable:
-        return (READY, stop, seen, calm, picture, False)
-    return (state, stop, seen, calm, picture, late)
-
-
-def _joined_status(cameras: list[tuple]) -> tuple[str, str]:
-    states = [c[0] for c in cameras]
+@dataclass(frozen=True)
+class Camera:
+    """Run state, stop time, frames discarded, calm frames, last picture (None before a baseline), timed out."""
+
+    state: str = READY
+    stop: int = 0
+    seen: int = 0
+    calm: int = 0
+    last: Any = None
+    late: bool = False
+
+    def command(self, kind: str, ns: int) -> Camera:
+        if kind == "start":
+            return Camera(MOVING)
+        return Camera(SETTLING, ns) if kind == "stop" and self.state == MOVING else self
+
+    def observe(self, picture: Any, ns: int, limits: InterlockLimits) -> Camera:
+        """A frame counts while settling only: for the time-out, as discarded, as baseline, or as calm or not."""
+        if self.state != SETTLING or picture is None:
+            return self
+        waited, rest = (ns - self.stop) / 1e6, (self.state, self.stop)
+        if waited > limits.timeout_ms:
+            return Camera(*rest, self.seen, self.calm, self.last, True)
+        if self.seen < limits.discard:
+            return Camera(*rest, self.seen + 1, self.calm, None, self.late)
+        if waited < limits.settle_ms or self.last is None:
+            return Camera(*rest, self.seen, self.calm, picture, self.late)
+        calm = self.calm + 1 if motion(picture, self.last) <= limits.max_motion else 0
+        done = calm >= limits.stable
+        return Camera(READY if done else SETTLING, self.stop, self.seen, calm, picture, self.late and not done)
+
+
+def _joined_status(cameras: list[Camera]) -> tuple[str, str]:
+    states = [c.state for c in cameras]
     if MOVING in states:
         return MOVING, "BUSY_MOVING"
     if SETTLING in states:
-        return SETTLING, "MOTION_UNSTABLE" if any(c[0] == SETTLING and c[5] for c in cameras) else "SETTLING"
+        return SETTLING, "MOTION_UNSTABLE" if any(c.state == SETTLING and c.late for c in cameras) else "SETTLING"
     return READY, "OK"
 
 
-def _plain(value):
-    return None if value is None or value != value else value
-
-
-def _events(batches: Iterable[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(batches), ignore_index=True).sort_values(["ns", "seq"], kind="stable")
+def interlock_rule(limits: InterlockLimits = InterlockLimits()) -> Rule:
+    """State of one or two cameras after every event.
 
+    Events: kind (start, stop, frame, error), primary and side (thumbnails of a frame as arrays; a null side is a missing
+    camera and is ignored until it is back, a null primary shows nothing).
+    """
 
-def _interlock(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState, limits: InterlockLimits) -> Iterator[pd.DataFrame]:
-    held = state.get if state.exists else (*_FRESH, *_FRESH, True)
-    primary, side, paired = tuple(held[:6]), tuple(held[6:12]), held[12]
-    primary, side = (primary[:4] + (_plain(primary[4]), primary[5])), (side[:4] + (_plain(side[4]), side[5]))
-    out = []
-    events = _events(batches)
-    for ns, seq, kind, first, second in zip(events["ns"], events["seq"], events["kind"], events["primary"], events["side"]):
+    def step(held: tuple, event: tuple, emit: Emit) -> tuple:
+        primary, side, paired = held
+        ns, seq, kind, first, second = event
         if kind in ("start", "stop"):
-            primary, side = _command(primary, kind, ns), _command(side, kind, ns)
+            primary, side = primary.command(kind, ns), side.command(kind, ns)
         elif kind == "frame":
-            primary = _observe(primary, float(first), ns, limits)
-            paired = _plain(second) is not None
-            if paired:
-                side = _observe(side, float(second), ns, limits)
+            primary = primary.observe(_known(first), ns, limits)
+            paired = _known(second) is not None
+            side = side.observe(_known(second), ns, limits)
         run, status = _joined_status([primary, side] if paired else [primary])
         if kind == "error":
             status = "CAMERA_ERROR"
-        out.append((key[0], ns, seq, kind, run, status, REASONS[status], run == READY and kind != "error"))
-    state.update((*primary, *side, paired))
-    yield pd.DataFrame(out, columns=["device_id", "ns", "seq", "kind", "run_state", "status", "reason", "can_compute"])
-
+        emit(ns, seq, kind, run, status, REASONS[status], run == READY and kind != "error")
+        return primary, side, paired
 
-INTERLOCK_OUT = "device_id {key}, ns bigint, seq bigint, kind string, run_state string, status string, reason string, can_compute boolean"
+    out = "ns bigint, seq bigint, kind string, run_state string, status string, reason string, can_compute boolean"
+    return Rule(("kind", "primary", "side"), (Camera(), Camera(), True), step, out)
 
 
-def _stateful(df: DataFrame, fn: Callable, out: str, state: str, key: str = "device_id") -> DataFrame:
-    kind = df.schema[key].dataType.simpleString()
-    return df.groupBy(key).applyInPandasWithState(fn, out.format(key=kind), state, "append", GroupStateTimeout.NoTimeout)
-
-
-def motion_interlock(events: DataFrame, limits: InterlockLimits = InterlockLimits()) -> DataFrame:
-    """State of one or two cameras after every event.
-
-    events: device_id, ns, seq, kind (start, stop, frame, error), primary and side (mean grey level of the
-    frame; a null side is a missing camera and is ignored until it is back).
-    """
-    columns = events.select("device_id", "ns", "seq", "kind", "primary", "side")
-    held = ", ".join([_CAMERA.format(p="a_"), _CAMERA.format(p="b_"), "paired boolean"])
-    return _stateful(columns, partial(_interlock, limits=limits), INTERLOCK_OUT, held)
+#: Class, place and count of consecutive frames of the selected target.
+NO_TRACK = (None, 0.0, 0.0, 0)
 
 
 def _advance(track: tuple, selected: bool, name: str | None, x: float, y: float, max_move: float) -> tuple:
     if not selected:
-        return (None, 0.0, 0.0, 0)
+        return NO_TRACK
     same = track[0] is not None and track[0] == name and float(np.hypot(track[1] - x, track[2] - y)) <= max_move
     return (name, float(x), float(y), track[3] + 1 if same else 1)
 
 
-def _stability(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState, frames: int, max_move: float) -> Iterator[pd.DataFrame]:
-    track = tuple(state.get) if state.exists else (None, 0.0, 0.0, 0)
-    out = []
-    events = _events(batches)
-    for ns, seq, kind, selected, name, x, y in zip(*[events[c] for c in ("ns", "seq", "kind", "selected", "class_key", "x", "y")]):
-        track = _advance(track, kind == "frame" and bool(selected), name, x, y, max_move)
+def stability_rule(*, frames: int = 2, max_move: float = 3.0) -> Rule:
+    """Consecutive frames with the same target in place; any other kind of event resets the count.
+
+    Events: kind (frame, or start, acknowledge, unhealthy), selected, class_key, x, y.
+    """
+
+    def step(track: tuple, event: tuple, emit: Emit) -> tuple:
+        ns, seq, kind, selected, name, x, y = event
+        selected = kind == "frame" and bool(_known(selected))
+        track = _advance(track, selected, name, x, y, max_move)
         if kind == "frame":
-            out.append((key[0], ns, seq, track[3], bool(selected) and track[3] >= max(1, frames)))
-    state.update(track)
-    yield pd.DataFrame(out, columns=["device_id", "ns", "seq", "stable_count", "stable_selected"])
+            emit(ns, seq, track[3], selected and track[3] >= max(1, frames))
+        return track
 
+    return Rule(("kind", "selected", "class_key", "x", "y"), NO_TRACK, step, "ns bigint, seq bigint, stable_count int, stable_selected boolean")
 
-def stability_stream(events: DataFrame, *, frames: int = 2, max_move: float = 3.0) -> DataFrame:
-    """Consecutive frames with the same target in place; any other kind of event resets the count.
 
-    events: device_id, ns, seq, kind (frame, or start, acknowledge, unhealthy), selected, class_key, x, y.
+def gated_rule(limits: InterlockLimits = InterlockLimits(), *, frames: int = 2, max_move: float = 3.0) -> Rule:
+    """Detections of frames taken while ready; a read error or a motion start also forgets the target.
+
+    Events: kind and primary as in :func:`interlock_rule`, and selected, class_key, x, y.
     """
-    columns = events.select("device_id", "ns", "seq", "kind", "selected", "class_key", "x", "y")
-    out = "device_id {key}, ns bigint, seq bigint, stable_count int, stable_selected boolean"
-    return _stateful(columns, partial(_stability, frames=frames, max_move=max_move), out, _TRACK)
-
-
-def _gated(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState, limits: InterlockLimits, frames: int, max_move: float) -> Iterator[pd.DataFrame]:
-    held = state.get if state.exists else (*_FRESH, None, 0.0, 0.0, 0)
-    camera, track = tuple(held[:4]) + (_plain(held[4]), held[5]), tuple(held[6:])
-    out = []
-    events = _events(batches)
-    names = ("ns", "seq", "kind", "primary", "selected", "class_key", "x", "y")
-    for ns, seq, kind, picture, selected, name, x, y in zip(*[events[c] for c in names]):
+
+    def step(held: tuple, event: tuple, emit: Emit) -> tuple:
+        camera, track = held
+        ns, seq, kind, picture, selected, name, x, y = event
         if kind in ("error", "start"):
-            track = (None, 0.0, 0.0, 0)
+            track = NO_TRACK
         if kind in ("start", "stop"):
-            camera = _command(camera, kind, ns)
+            camera = camera.command(kind, ns)
         elif kind == "frame":
-            camera = _observe(camera, float(picture), ns, limits)
-            if camera[0] == READY:
-                track = _advance(track, bool(selected), name, x, y, max_move)
-                out.append((key[0], ns, seq, name, bool(selected) and track[3] >= max(1, frames)))
-    state.update((*camera, *track))
-    yield pd.DataFrame(out, columns=["device_id", "ns", "seq", "class_key", "selected"])
+            camera = camera.observe(_known(picture), ns, limits)
+            if camera.state == READY:
+                selected = bool(_known(selected))
+                track = _advance(track, selected, name, x, y, max_move)
+                emit(ns, seq, name, selected and track[3] >= max(1, frames))
+        return camera, track
 
+    columns = ("kind", "primary", "selected", "class_key", "x", "y")
+    return Rule(columns, (Camera(), NO_TRACK), step, "ns bigint, seq bigint, class_key string, selected boolean")
 
-def gated_detections(events: DataFrame, limits: InterlockLimits = InterlockLimits(), *, frames: int = 2, max_move: float = 3.0) -> DataFrame:
-    """Detections of frames taken while ready; a read error or a motion start also forgets the target.
 
-    events: the columns of :func:`motion_interlock` without side, and selected, class_key, x, y.
-    """
-    columns = events.select("device_id", "ns", "seq", "kind", "primary", "selected", "class_key", "x", "y")
-    out = "device_id {key}, ns bigint, seq bigint, class_key string, selected boolean"
-    held = _CAMERA.format(p="a_") + ", " + _TRACK
-    return _stateful(columns, partial(_gated, limits=limits, frames=frames, max_move=max_move), out, held)
-
-
-def _quality(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState, max_motion: float) -> Iterator[pd.DataFrame]:
-    last, calm = state.get if state.exists else (None, 0)
-    last = _plain(last)
-    out = []
-    events = _events(batches)
-    for ns, seq, measure, valid, sync in zip(*[events[c] for c in ("ns", "seq", "measure", "valid_ratio", "sync_ms")]):
-        motion = None if last is None else abs(measure - last)
-        calm = calm + 1 if motion is not None and motion <= max_motion else 0
-        last = float(measure)
-        out.append((key[0], ns, seq, motion, calm, valid, sync))
-    state.update((last, calm))
-    yield pd.DataFrame(out, columns=["device_id", "ns", "seq", "motion", "stable_frames", "valid_ratio", "sync_ms"])
-
-
-def quality_stream(events: DataFrame, *, required: int = 3, max_motion: float = 2.5, min_valid: float = 0.85, max_sync: float = 50.0) -> DataFrame:
-    """Motion, calm frames, reasons and readiness of every frame (measure, valid_ratio, sync_ms)."""
+def quality_rule(*, max_motion: float = 2.5) -> Rule:
+    """Motion against the last frame and calm frames in a row; events: picture (thumbnail), valid_ratio, sync_ms."""
+
+    def step(held: tuple, event: tuple, emit: Emit) -> tuple:
+        last, calm = held
+        ns, seq, picture, valid, sync = event
+        moved = motion(picture, last)
+        calm = calm + 1 if moved <= max_motion else 0
+        emit(ns, seq, None if moved == float("inf") else moved, calm, valid, sync)
+        return picture, calm
+
+    out = "ns bigint, seq bigint, motion double, stable_frames int, valid_ratio double, sync_ms double"
+    return Rule(("picture", "valid_ratio", "sync_ms"), (None, 0), step, out)
+
+
+def with_readiness(counted: DataFrame, *, required: int = 3, min_valid: float = 0.85, max_sync: float = 50.0) -> DataFrame:
+    """Adds the reasons against a capture and whether there are none."""
     from framelake.operators.projections import capture_rejections
 
-    columns = events.select("device_id", "ns", "seq", "measure", "valid_ratio", "sync_ms")
-    out = "device_id {key}, ns bigint, seq bigint, motion double, stable_frames int, valid_ratio double, sync_ms double"
-    counted = _stateful(columns, partial(_quality, max_motion=max_motion), out, "last double, calm int")
     reasons = capture_rejections(
         stable_frames=F.col("stable_frames"), valid_ratio=F.col("valid_ratio"), sync_ms=F.col("sync_ms"),
         required_stable=required, min_valid=min_valid, max_sync=max_sync,
@@ -208,56 +262,48 @@ def quality_stream(events: DataFrame, *, required: int = 3, max_motion: float =
     return counted.withColumn("reasons", reasons).withColumn("ready", F.size("reasons") == 0)
 
 
-def _capture(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState, target: int) -> Iterator[pd.DataFrame]:
-    (taken,) = state.get if state.exists else (0,)
-    events = _events(batches)
-    good = events[events["ready"].astype(bool)].head(max(0, target - taken))
-    if len(good):
-        out = good[["device_id", "ns", "seq"]].copy()
-        out["capture_index"] = np.arange(taken + 1, taken + 1 + len(good))
-        yield out
-    state.update((taken + len(good),))
+def capture_rule(*, target: int) -> Rule:
+    """Takes ready frames of a scene until the target, then no more (device_id is the scene's key); events: ready."""
+
+    def step(taken: int, event: tuple, emit: Emit) -> int:
+        ns, seq, ready = event
+        if not _known(ready) or taken >= target:
+            return taken
+        emit(ns, seq, taken + 1)
+        return taken + 1
+
+    return Rule(("ready",), 0, step, "ns bigint, seq bigint, capture_index bigint")
 
 
-def auto_capture(events: DataFrame, *, target: int) -> DataFrame:
-    """Takes ready frames of a scene until the target, then no more (device_id is the scene's key)."""
-    out = "device_id {key}, ns bigint, seq bigint, capture_index bigint"
-    return _stateful(events.select("device_id", "ns", "seq", "ready"), partial(_capture, target=target), out, "taken bigint")
+def stretch_rule() -> Rule:
+    """Stretches from the first start to the next stop of each device; events: kind."""
+
+    def step(since: int | None, event: tuple, emit: Emit) -> int | None:
+        ns, _, kind = event
+        if kind == "start":
+            return ns if since is None else since
+        if kind == "stop" and since is not None:
+            emit(since, ns)
+            return None
+        return since
+
+    return Rule(("kind",), None, step, "start_ns bigint, stop_ns bigint")
 
 
 def _latest(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (shown,) = state.get if state.exists else (-1,)
-    best = None
-    for batch in batches:
-        row = batch.loc[batch["ns"].idxmax()]
-        if best is None or (row["ns"], row["seq"]) > (best["ns"], best["seq"]):
-            best = row
-    if best is not None and best["ns"] > shown:
-        state.update((int(best["ns"]),))
-        yield pd.DataFrame([{"device_id": key[0], "ns": best["ns"], "seq": best["seq"]}])
+    shown = tuple(state.get) if state.exists else (-(1 << 62), -(1 << 62))
+    best = max(((int(ns), int(seq)) for b in batches for ns, seq in zip(b["ns"], b["seq"])), default=shown)
+    if best > shown:
+        state.update(best)
+        yield pd.DataFrame([(key[0], *best)], columns=["device_id", "ns", "seq"])
 
 
 def latest_only(events: DataFrame) -> DataFrame:
-    """Newest frame of each device and trigger; superseded and older frames are dropped."""
-    return _stateful(events.select("device_id", "ns", "seq"), _latest, "device_id {key}, ns bigint, seq bigint", "shown bigint")
-
-
-def _stretches(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (since,) = state.get if state.exists else (None,)
-    since = _plain(since)
-    out = []
-    events = _events(batches)
-    for ns, kind in zip(events["ns"], events["kind"]):
-        if kind == "start" and since is None:
-            since = ns
-        elif kind == "stop" and since is not None:
-            out.append((key[0], int(since), int(ns)))
-            since = None
-    state.update((None if since is None else int(since),))
-    yield pd.DataFrame(out, columns=["device_id", "start_ns", "stop_ns"])
-
-
-def motion_stretches(events: DataFrame) -> DataFrame:
-    """Stretches from the first start to the next stop of each device."""
-    commands = events.filter(F.col("kind").isin("start", "stop")).select("device_id", "ns", "seq", "kind")
-    return _stateful(commands, _stretches, "device_id {key}, start_ns bigint, stop_ns bigint", "since bigint")
+    """Newest frame of each device and trigger, the largest seq of equal times; superseded and older frames are dropped.
+
+    What is superseded is a matter of triggers: a viewer gets one frame for each, whatever it has missed.
+    """
+    kind = events.schema["device_id"].dataType.simpleString()
+    return events.select("device_id", "ns", "seq").groupBy("device_id").applyInPandasWithState(
+        _latest, f"device_id {kind}, ns bigint, seq bigint", "ns bigint, seq bigint", "append", GroupStateTimeout.NoTimeout
+    )
