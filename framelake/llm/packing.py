@@ -19,8 +19,8 @@ from framelake.llm.tokens import load_tokenizer
 
 #: Tokens and documents of a shard, the part of the corpus that one inverted index covers.
 SHARD_TOKENS, SHARD_DOCS = 1 << 19, 4096
-#: Pieces of a generation whose tokens a worker remembers.
-REMEMBERED = 400_000
+#: Pieces of a generation whose tokens a worker remembers. Larger memories were slower, as they leave the processor's cache.
+REMEMBERED = 150_000
 #: Saturation of term counts and weight of the document's length.
 K1, B = 1.2, 0.75
 
@@ -97,7 +97,7 @@ class Encoder:
         code, merged = self.kind().dtype.char, self.tokenizer.model.tokenize
         fresh = []
         for piece in new:
-            if ONE_WORD(piece):
+            if (piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha())) or ONE_WORD(piece):
                 known[piece] = array(code, [t.id for t in merged(self.spelt(piece))]).tobytes()
             else:
                 fresh.append(piece)
