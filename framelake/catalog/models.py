@@ -96,7 +96,28 @@ def _(spark, sf):
     return rounded(N.loo_threshold(z), 6, "distance_limit")
 
 
-@query("ml7_leave_one_out_eval")
+WEIGHTINGS = ([1.0] * 64, [2.0] * 16 + [1.0] * 48, [0.5] * 32 + [1.5] * 32)
+
+
+def leave_out_sql(tag: str, weightings) -> str:
+    """Best class of every row from the rows with another tag, each row under the scales of those rows."""
+    each = ", ".join(f"({i}, {[w / (sum(x) / len(x)) for w in x]})" for i, x in enumerate(weightings))
+    return f"""tv AS (SELECT id, label, {tag} AS tag, v FROM vec), lv AS (SELECT tag, unnest(range(64)) AS dim, unnest(v) AS x FROM tv),
+      st AS (SELECT tag, dim, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM lv GROUP BY 1, 2), sa AS (SELECT dim, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM st GROUP BY 1),
+      sd AS (SELECT tag, dim, sqrt(greatest((a.q - t.q) / (a.n - t.n) - ((a.s - t.s) / (a.n - t.n)) ** 2, 0)) AS sd FROM st t JOIN sa a USING (dim)),
+      sc AS (SELECT tag, list(CASE WHEN sd < 1e-4 THEN 1 ELSE sd END ORDER BY dim) AS sc FROM sd GROUP BY 1), wt(weighting, w) AS (VALUES {each}),
+      dd AS (SELECT a.id AS qid, weighting, a.label AS truth, b.label, list_sum([abs(a.v[i] - b.v[i]) * w[i] / sc[i] for i in range(1, 65)]) / 64 AS d
+             FROM tv a JOIN sc ON sc.tag = a.tag JOIN tv b ON a.tag <> b.tag CROSS JOIN wt),
+      nn AS (SELECT * FROM dd QUALIFY row_number() OVER (PARTITION BY qid, weighting, label ORDER BY d) <= 3),
+      cd AS (SELECT qid, weighting, truth, label, avg(d) AS distance FROM nn GROUP BY 1, 2, 3, 4),
+      lo AS (SELECT qid, CAST(weighting AS INT) AS weighting, truth, label, distance FROM cd QUALIFY row_number() OVER (PARTITION BY qid, weighting ORDER BY distance, label) = 1)"""
+
+
+RANK_SQL = """SELECT weighting, count(*) FILTER (decision = truth) AS correct, count(*) FILTER (decision <> truth AND decision <> 'unknown') AS wrong, count(*) FILTER (decision = 'unknown') AS unknown,
+  count(*) FILTER (decision = truth) - 2 * count(*) FILTER (decision <> truth AND decision <> 'unknown') AS score FROM (SELECT *, CASE WHEN distance > {limit} THEN 'unknown' ELSE label END AS decision FROM lo) GROUP BY 1"""
+
+
+@query("ml7_leave_one_out_eval", f"WITH {leave_out_sql('id', WEIGHTINGS[:1])} SELECT qid, weighting, truth, label, round(distance, 6) AS distance FROM lo", "vec")
 def _(spark, sf):
     return rounded(N.leave_out_eval(vectors(spark, sf), by="id"), 6, "distance")
 
@@ -105,10 +126,7 @@ def batched(spark, sf):
     return vectors(spark, sf).withColumn("batch", F.concat(F.lit("b"), (F.col("id") % 4).cast("string")))
 
 
-WEIGHTINGS = ([1.0] * 64, [2.0] * 16 + [1.0] * 48, [0.5] * 32 + [1.5] * 32)
-
-
-@query("ml8_leave_batch_out_eval")
+@query("ml8_leave_batch_out_eval", f"""WITH {leave_out_sql("'b' || (id % 4)", WEIGHTINGS)} {RANK_SQL.format(limit=1.0)}""", "vec")
 def _(spark, sf):
     out = N.leave_out_eval(batched(spark, sf), by="batch", weights=WEIGHTINGS)
     counted = C.rank_weightings(out.withColumn("decision", F.when(F.col("distance") > 1.0, "unknown").otherwise(F.col("label"))))
@@ -266,7 +284,7 @@ def _(spark, sf):
     return C.gated_models(long, [(0.0, 0.0), (0.25, 0.05), (0.35, 0.1)])
 
 
-@query("ml17_weight_sweep")
+@query("ml17_weight_sweep", f"WITH {leave_out_sql('id', WEIGHTINGS)} {RANK_SQL.format(limit=0.95)}", "vec")
 def _(spark, sf):
     out = N.leave_out_eval(vectors(spark, sf), by="id", weights=WEIGHTINGS)
     return C.rank_weightings(out.withColumn("decision", F.when(F.col("distance") > 0.95, "unknown").otherwise(F.col("label"))))

@@ -84,30 +84,33 @@ def nearest_per_class(
     queries: DataFrame, exemplars: DataFrame, *, k: int = 3, metric: str = "l1", exclude: str | None = None,
     groups: tuple[Sequence[int], Sequence[float]] | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """The k nearest exemplars of each class for every query: qid, label, distances (ascending).
+    """The k nearest exemplars of each class for every query: qid, weighting, label, distances (ascending).
 
-    queries: qid, v, optional scale (the query's own standardisation) and tag; exemplars: v, label and tag.
+    queries: qid, v, optional scales (standardisations of the query, one for each weighting) and tag; exemplars: v, label
+    and tag. All weightings are compared while a block of queries and one of exemplars are together; weighting is their number.
     ``exclude='tag'`` skips exemplars with the query's tag (its own id, or its batch). Blocks of queries meet
     blocks of exemplars, both of ``block_rows`` rows, and the nearest of the blocks are merged, so all exemplars
     are compared and none passes through the driver.
     """
-    scaled, tagged = "scale" in queries.columns, exclude is not None
+    scaled, tagged = "scales" in queries.columns, exclude is not None
     fixed = None if groups is None else (np.asarray(groups[0]), np.asarray(groups[1], float))
     query_type = queries.schema["qid"].dataType.simpleString()
-    schema = f"qid {query_type}, label string, distances array<double>"
+    schema = f"qid {query_type}, weighting int, label string, distances array<double>"
+    nothing = {"qid": [], "weighting": [], "label": [], "distances": []}
 
     def score(pdf: pd.DataFrame, vectors: np.ndarray, names: np.ndarray, tags: np.ndarray | None) -> pd.DataFrame:
         if not len(pdf) or not len(vectors):
-            return pd.DataFrame({"qid": [], "label": [], "distances": []})
-        scales = np.stack(pdf["scale"].to_numpy()) if scaled else None
-        found = _distances(np.stack(pdf["v"].to_numpy()), scales, vectors, metric, fixed)
-        if tagged:
-            found[pdf["tag"].to_numpy()[:, None] == tags[None, :]] = np.inf
-        parts = []
-        for name in np.unique(names):
-            own = found[:, names == name]
-            best = np.sort(np.partition(own, min(k, own.shape[1]) - 1, axis=1)[:, :k], axis=1)
-            parts.append(pd.DataFrame({"qid": pdf["qid"].to_numpy(), "label": name, "distances": [b[np.isfinite(b)] for b in best]}))
+            return pd.DataFrame(nothing)
+        each = [np.stack(s) for s in zip(*pdf["scales"])] if scaled else [None]
+        points, parts = np.stack(pdf["v"].to_numpy()), []
+        for weighting, scales in enumerate(each):
+            found = _distances(points, scales, vectors, metric, fixed)
+            if tagged:
+                found[pdf["tag"].to_numpy()[:, None] == tags[None, :]] = np.inf
+            for name in np.unique(names):
+                own = found[:, names == name]
+                best = np.sort(np.partition(own, min(k, own.shape[1]) - 1, axis=1)[:, :k], axis=1)
+                parts.append(pd.DataFrame({"qid": pdf["qid"].to_numpy(), "weighting": weighting, "label": name, "distances": [b[np.isfinite(b)] for b in best]}))
         return pd.concat(parts, ignore_index=True)
 
     columns = ["v", "label", *(["tag"] if tagged else [])]
@@ -128,16 +131,16 @@ def nearest_per_class(
         return score(a, np.stack(b["v"].to_numpy()), b["label"].to_numpy(), b["tag"].to_numpy() if tagged else None)
 
     partial = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(meet, schema)
-    return partial.groupBy("qid", "label").agg(
+    return partial.groupBy("qid", "weighting", "label").agg(
         F.slice(F.array_sort(F.flatten(F.collect_list("distances"))), 1, k).alias("distances")
     )
 
 
 def class_distances(queries: DataFrame, exemplars: DataFrame, **options) -> DataFrame:
-    """Mean distance to the k nearest exemplars of each class; null for a class without any."""
+    """Mean distance to the k nearest exemplars of each class; null for a class without any. Queries with scales keep their weighting."""
     near = nearest_per_class(queries, exemplars, **options)
     total = F.aggregate("distances", F.lit(0.0), lambda a, x: a + x)
-    return near.select("qid", "label", F.when(F.size("distances") > 0, total / F.size("distances")).alias("distance"))
+    return near.select("qid", *(["weighting"] if "scales" in queries.columns else []), "label", F.when(F.size("distances") > 0, total / F.size("distances")).alias("distance"))
 
 
 def accept_reject(
@@ -193,7 +196,7 @@ def loo_threshold(df: DataFrame, *, k: int = 3, metric: str = "l1", percentile:
     )
 
 
-def leave_out_scales(df: DataFrame, *, by: str, floor: float = 1e-4, weights: Sequence[float] | None = None) -> DataFrame:
+def leave_out_scales(df: DataFrame, *, by: str, floor: float = 1e-4) -> DataFrame:
     """Scale of each row's training set, the rows with another ``by`` value, from sums and not by refitting.
 
     Returns the ``by`` value and its scale array.
@@ -208,7 +211,19 @@ def leave_out_scales(df: DataFrame, *, by: str, floor: float = 1e-4, weights: Se
     mean = F.col("a") / F.col("m")
     sd = F.sqrt(F.greatest(F.col("b") / F.col("m") - mean * mean, F.lit(0.0)))
     fitted = rest.select(by, "dim", mean.alias("mean"), F.when(sd < floor, 1.0).otherwise(sd).alias("scale"))
-    return scale_arrays(fitted, [by], weights=weights).select(by, "scale")
+    return scale_arrays(fitted, [by]).select(by, "scale")
+
+
+def weighted_scales(scale: Column, weights: Sequence[Sequence[float]] | None) -> Column:
+    """The scale under each weighting; weights are taken relative to their mean and divide the scale."""
+    each = []
+    for weighting in weights or [None]:
+        if weighting is None:
+            each.append(scale)
+        else:
+            mean = sum(weighting) / len(weighting)
+            each.append(F.zip_with(scale, F.array(*[F.lit(float(w) / mean) for w in weighting]), lambda s, w: s / w))
+    return F.array(*each)
 
 
 def leave_out_eval(
@@ -217,19 +232,15 @@ def leave_out_eval(
     """Predicts every row from the rows with another ``by`` value: id, weighting, truth, label, distance.
 
     by='id' is leave-one-out, by='batch' leaves capture batches out. The work is quadratic by its definition; it
-    runs block by block at any size and is never sampled.
+    runs block by block at any size and is never sampled. Pairs of blocks meet once for all weightings.
     """
     exemplars = df.select("v", "label", F.col(by).alias("tag"))
-    out = None
-    for number, weighting in enumerate(weights or [None]):
-        scales = leave_out_scales(df, by=by, weights=weighting)
-        queries = df.join(scales, by).select(F.col("id").alias("qid"), "v", "scale", F.col(by).alias("tag"))
-        best = class_distances(queries, exemplars, k=k, metric=metric, exclude="tag").groupBy("qid").agg(
-            F.min_by("label", F.struct("distance", "label")).alias("label"), F.min("distance").alias("distance")
-        )
-        part = best.join(df.select(F.col("id").alias("qid"), F.col("label").alias("truth"), *([by] if by != "id" else [])), "qid").withColumn("weighting", F.lit(number))
-        out = part if out is None else out.unionByName(part)
-    return out
+    scales = leave_out_scales(df, by=by).select(by, weighted_scales(F.col("scale"), weights).alias("scales"))
+    queries = df.join(scales, by).select(F.col("id").alias("qid"), "v", "scales", F.col(by).alias("tag"))
+    best = class_distances(queries, exemplars, k=k, metric=metric, exclude="tag").groupBy("qid", "weighting").agg(
+        F.min_by("label", F.struct("distance", "label")).alias("label"), F.min("distance").alias("distance")
+    )
+    return best.join(df.select(F.col("id").alias("qid"), F.col("label").alias("truth"), *([by] if by != "id" else [])), "qid")
 
 
 # Prototypes ---------------------------------------------------------------------------------------
