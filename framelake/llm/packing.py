@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -19,8 +20,8 @@ from framelake.llm.tokens import load_tokenizer
 
 #: Tokens and documents of a shard, the part of the corpus that one inverted index covers.
 SHARD_TOKENS, SHARD_DOCS = 1 << 19, 4096
-#: Pieces of a generation whose tokens a worker remembers. Larger memories were slower, as they leave the processor's cache.
-REMEMBERED = 150_000
+#: Pieces of a generation whose tokens a worker remembers.
+REMEMBERED = 400_000
 #: Saturation of term counts and weight of the document's length.
 K1, B = 1.2, 0.75
 
@@ -55,6 +56,9 @@ def byte_letters() -> dict[int, int]:
 ONE_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
 
 
+TOKEN_ID = attrgetter("id")
+
+
 class Encoder:
     """Token ids of whole texts; pieces met before are not encoded again.
 
@@ -71,8 +75,11 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         cut = [pieces_of(t) for t in texts]
-        self._learn(set().union(*cut))
-        found = [np.frombuffer(b"".join(map(self.known.__getitem__, c)), self.kind) for c in cut]
+        pieces = set().union(*cut)
+        self._learn(pieces)
+        # A small table of these texts' pieces is looked up faster than the large one.
+        here = {p: self.known[p] for p in pieces}
+        found = [np.frombuffer(b"".join(map(here.__getitem__, c)), self.kind) for c in cut]
         if len(self.known) > self.remembered:
             self.older, self.known = self.known, {"": b""}
         return found
@@ -98,7 +105,7 @@ class Encoder:
         fresh = []
         for piece in new:
             if (piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha())) or ONE_WORD(piece):
-                known[piece] = array(code, [t.id for t in merged(self.spelt(piece))]).tobytes()
+                known[piece] = array(code, map(TOKEN_ID, merged(self.spelt(piece)))).tobytes()
             else:
                 fresh.append(piece)
         for piece, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
