@@ -8,6 +8,7 @@ from framelake.catalog.aggregates import LANGS
 from framelake.catalog.base import query
 from framelake.catalog.projections import SAFETY_SQL, STATUS_SQL, safety, status_of
 from framelake.catalog.views import captures, detections, frames, grid, segments, table, vectors
+from framelake.functions import geometry as G
 from framelake.functions import labels
 from framelake.operators import joins as J
 from framelake.operators import pairing
@@ -383,6 +384,39 @@ def _(spark, sf):
     )
 
 
+def cut_sql(polygon: str, k: int) -> str:
+    """A polygon cut at edge k of the convex polygon q, whose corners turn from x to y."""
+    a, b = f"q[{k + 1}]", f"q[{(k + 1) % 4 + 1}]"
+    side = lambda p: f"(({b}.x - {a}.x) * ({p}.y - {a}.y) - ({b}.y - {a}.y) * ({p}.x - {a}.x))"
+    here, there = f"{polygon}[i]", f"{polygon}[i % len({polygon}) + 1]"
+    f, t = side(here), side(there)
+    crossing = f"{{'x': {here}.x + ({there}.x - {here}.x) * {f} / ({f} - {t}), 'y': {here}.y + ({there}.y - {here}.y) * {f} / ({f} - {t})}}"
+    return f"flatten([list_filter([CASE WHEN {f} >= 0 THEN {here} END, CASE WHEN {f} * {t} < 0 THEN {crossing} END], lambda e: e IS NOT NULL) for i in range(1, len({polygon}) + 1)])"
+
+
+TURNED_SQL = """b AS (SELECT batch_id * 100 + supp % 100 AS view_id, frame_id, object_id, x + (w + 30) / 2 AS u, y + h * 4 AS v, w + 30 AS w, h * 8 AS h, (part % 12) * 0.2617993877991494 AS t FROM det),
+  pg AS (SELECT *, [{'x': u + a[1] * w * cos(t) - a[2] * h * sin(t), 'y': v + a[1] * w * sin(t) + a[2] * h * cos(t)} for a in [[-0.5, -0.5], [0.5, -0.5], [0.5, 0.5], [-0.5, 0.5]]] AS p FROM b)"""
+
+
+@query(
+    "join13_roi_overlap_polygons",
+    f"""WITH {TURNED_SQL}, m AS MATERIALIZED (SELECT a.frame_id, a.object_id, a.w * a.h AS s, a.p AS c0, o.p AS q, o.w * o.h AS s2 FROM pg a JOIN pg o ON a.view_id = o.view_id AND (a.frame_id, a.object_id) <> (o.frame_id, o.object_id)
+       AND sqrt((a.u - o.u) ** 2 + (a.v - o.v) ** 2) <= (sqrt(a.w ** 2 + a.h ** 2) + sqrt(o.w ** 2 + o.h ** 2)) / 2),
+     m1 AS MATERIALIZED (SELECT *, {cut_sql("c0", 0)} AS c1 FROM m), m2 AS MATERIALIZED (SELECT *, {cut_sql("c1", 1)} AS c2 FROM m1), m3 AS MATERIALIZED (SELECT *, {cut_sql("c2", 2)} AS c3 FROM m2), m4 AS MATERIALIZED (SELECT *, {cut_sql("c3", 3)} AS c FROM m3),
+     o AS (SELECT frame_id, object_id, max(abs(coalesce(list_sum([c[i].x * c[i % len(c) + 1].y - c[i].y * c[i % len(c) + 1].x for i in range(1, len(c) + 1)]), 0)) / 2 / least(s, s2)) AS o FROM m4 GROUP BY 1, 2)
+    SELECT pg.frame_id, pg.object_id, round(coalesce(o, 0) + 1e-9, 5) AS overlap, round(coalesce(o, 0) + 1e-9, 5) > 0.3 AS occluded FROM pg LEFT JOIN o USING (frame_id, object_id)""",
+    "det",
+)
+def _(spark, sf):
+    c = F.col
+    d = detections(spark, sf).select(
+        (c("batch_id") * 100 + c("supp") % 100).alias("view_id"), "frame_id", "object_id",
+        G.turned_box(c("x"), c("y"), c("w") + 30, c("h") * 8, (c("part") % 12) * 0.2617993877991494).alias("polygon"),
+    )
+    found = boxes.max_polygon_overlap(d, ["view_id"]).withColumn("overlap", F.round(c("overlap") + 1e-9, 5))
+    return found.select("frame_id", "object_id", "overlap", (c("overlap") > 0.3).alias("occluded"))
+
+
 OWNER_SQL = """cp AS (SELECT frame_id, u, v, CAST(floor(depth / 250) AS BIGINT) * 100 + u // 7 AS component FROM grid),
   ob AS (SELECT frame_id, u, v, (u // 9) * 10 + v // 20 AS object FROM grid WHERE depth < 800),
   sz AS (SELECT frame_id, component, count(*) AS pixels FROM cp GROUP BY 1, 2), ar AS (SELECT frame_id, object, count(*) AS area FROM ob GROUP BY 1, 2),

@@ -55,8 +55,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     path = scratch_path(spark, "lines")
-    captures(spark, sf).select("sample").orderBy("sample").select(F.col("sample").cast("string").alias("value")).coalesce(1).write.text(path)
-    return manifest.numbered_lines(spark, path).select("line_number", "line")
+    # A sorted manifest in as many files as there are ranges; their names are in the same order.
+    captures(spark, sf).select("sample").orderBy("sample").select(F.col("sample").cast("string").alias("value")).write.text(path)
+    return manifest.numbered_lines(spark, path, through=True).select("line_number", "line")
 
 
 @query("src2_manifest_errors", "SELECT '{broken' AS line, count(*) AS faults FROM docs WHERE sample % 50 = 8", "docs")
@@ -66,22 +67,20 @@ def _(spark, sf):
 
 @query(
     "src3_scan_samples",
-    """SELECT label_id, CASE WHEN label_id = 'fr' THEN 'unknown_label' ELSE 'ok' END AS reason, count(*) AS n FROM docs GROUP BY 1, 2""",
+    """SELECT label_id, CASE WHEN sample % 11 = 3 THEN 'invalid_metadata' WHEN label_id = 'fr' THEN 'unknown_label' ELSE 'ok' END AS reason, count(*) AS n, CAST(sum(sample) AS BIGINT) AS samples FROM docs GROUP BY 1, 2""",
     "docs",
 )
 def _(spark, sf):
-    root = scratch_path(spark, "samples")
-    meta = captures(spark, sf).select(
-        F.concat(F.lit("batch="), "batch_id").alias("b"), "label_id", F.to_json(F.struct(F.col("label_id").alias("label"), F.lit("train").alias("split"))).alias("value")
-    )
-    # Each text file stands for the metadata of one sample folder.
-    meta.select("label_id", "value").repartition(16).write.partitionBy("label_id").option("compression", "none").text(root)
-    found = manifest.scan_samples(
-        spark, root, labels.registry_aliases(labels.registry_frame(spark, [c for c in LANGS if c[0] != "fr"])), name="*.txt"
+    c = F.col
+    good = F.to_json(F.struct(c("label_id").alias("label"), F.lit("train").alias("split"), F.lit(True).alias("human_reviewed")))
+    # The metadata file of each sample as a row; a broken one says nothing, so its label is its folder.
+    files = captures(spark, sf).select(
+        F.concat_ws("/", F.lit("file:/samples"), "batch_id", "label_id", c("sample").cast("string"), F.lit("metadata.json")).alias("path"),
+        F.when(c("sample") % 11 == 3, F.lit('{"label": ')).otherwise(good).cast("binary").alias("content"),
     )
-    files = found.select(F.col("raw_label").alias("label_id"), "reason").distinct()
-    counts = captures(spark, sf).groupBy("label_id").agg(F.count(F.lit(1)).alias("n"))
-    return files.join(counts, "label_id").select("label_id", "reason", "n")
+    names = labels.registry_aliases(labels.registry_frame(spark, [x for x in LANGS if x[0] != "fr"]))
+    found = manifest.parse_samples(files, names).withColumn("sample", F.element_at(F.split("sample_dir", "/"), -1).cast("bigint"))
+    return found.groupBy(c("raw_label").alias("label_id"), "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("sample").alias("samples"))
 
 
 @query(
@@ -277,21 +276,33 @@ def _words(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sample": spread["sample"], "size": spread["word"].str.len().astype("int64")})
 
 
-@query("udf3_instance_model")
+@query(
+    "udf3_instance_model",
+    """WITH w AS (SELECT sample, regexp_extract_all(content, '[^\\s]+') AS ws FROM docs)
+    SELECT sample, CAST(len(ws) AS BIGINT) AS instances, CAST(list_sum([length(x) for x in ws]) AS BIGINT) AS total_size FROM w WHERE len(ws) > 0""",
+    "docs",
+)
 def _(spark, sf):
     # Every word of a text stands for an instance that a model finds in a frame.
     found = X.instance_model(captures(spark, sf).select("sample", "content"), _words, "sample bigint, size bigint")
     return found.groupBy("sample").agg(F.count(F.lit(1)).alias("instances"), F.sum("size").alias("total_size"))
 
 
-@query("udf4_prediction_struct")
+@query(
+    "udf4_prediction_struct",
+    """WITH pt AS (SELECT label, arg_min(v, id) AS v FROM vec GROUP BY 1), d AS (SELECT a.id AS qid, p.label, sqrt(list_sum([(a.v[i] - p.v[i]) * (a.v[i] - p.v[i]) for i in range(1, 65)])) AS distance FROM vec a CROSS JOIN pt p),
+     s AS (SELECT *, exp(-distance / 0.15) / greatest(sum(exp(-distance / 0.15)) OVER (PARTITION BY qid), 1e-12) AS score, row_number() OVER (PARTITION BY qid ORDER BY distance, label) AS k FROM d)
+    SELECT qid, max(CASE WHEN k = 1 THEN label END) AS label, round(max(score), 6) AS confidence,
+     string_agg(label || ':' || CAST(CAST(round(score * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY score DESC, label DESC) FILTER (k <= 3) AS candidates FROM s GROUP BY 1""",
+    "vec",
+)
 def _(spark, sf):
     c = vectors(spark, sf)
     scored = nearest_prototype(c.select(F.col("id").alias("qid"), "v"), c.groupBy("label").agg(F.min_by("v", "id").alias("v")))
-    entry = F.struct(F.col("label"), F.round("score", 6).alias("probability"))
+    entry = F.concat_ws(":", "label", F.round(F.col("score") * 10000).cast("bigint").cast("string"))
     return scored.groupBy("qid").agg(
         F.min_by(F.col("label"), F.struct("distance", "label")).alias("label"), F.round(F.max("score"), 6).alias("confidence"),
-        F.to_json(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct(F.col("score"), entry.alias("e"))))), 1, 3)["e"]).alias("candidates"),
+        F.array_join(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("score", "label", entry.alias("e"))))), 1, 3)["e"], ",").alias("candidates"),
     )
 
 

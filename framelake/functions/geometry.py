@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -421,3 +421,74 @@ def evidence_reason(lines: Column, quality: Column) -> Column:
 def principal_angle(cov_xx: Column, cov_yy: Column, cov_xy: Column) -> Column:
     """Main axis angle in [-90, 90) from second moments; image y points down, the angle's y up."""
     return F.pmod(F.degrees(0.5 * F.atan2(-2.0 * cov_xy, cov_xx - cov_yy)) + 90.0, F.lit(180.0)) - 90.0
+
+
+# Convex polygons: arrays of corners (x, y) in order, in either sense ----------------------------------
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _next(items: Column, i: Column) -> Column:
+    return F.get(items, (i + 1) % F.size(items))
+
+
+def signed_area(polygon: Column) -> Column:
+    """Half the sum of cross products of neighbouring corners; positive when they turn from x to y."""
+
+    def area(corners: Column) -> Column:
+        turned = F.transform(corners, lambda p, i: cross(p["x"], p["y"], _next(corners, i)["x"], _next(corners, i)["y"]))
+        return F.aggregate(turned, F.lit(0.0), lambda t, c: t + c) / 2
+
+    return _bound(polygon, area)
+
+
+def _cut(polygon: Column, edge: Column) -> Column:
+    """What of a polygon lies on the inner side of a line: corners inside, and where its edges cross the line."""
+    a, b = edge["a"], edge["b"]
+
+    def measured(p: Column) -> Column:
+        side = edge["sense"] * cross(b["x"] - a["x"], b["y"] - a["y"], p["x"] - a["x"], p["y"] - a["y"])
+        return F.struct(p["x"].alias("x"), p["y"].alias("y"), side.alias("side"))
+
+    def crossing(p: Column, q: Column) -> Column:
+        share = p["side"] / (p["side"] - q["side"])
+        return F.struct((p["x"] + (q["x"] - p["x"]) * share).alias("x"), (p["y"] + (q["y"] - p["y"]) * share).alias("y"))
+
+    def kept(corners: Column) -> Column:
+        def of(p: Column, i: Column) -> Column:
+            corner = F.when(p["side"] >= 0, F.struct(p["x"].alias("x"), p["y"].alias("y")))
+            met = _bound(_next(corners, i), lambda q: F.when(p["side"] * q["side"] < 0, crossing(p, q)))
+            return F.filter(F.array(corner, met), lambda e: e.isNotNull())
+
+        return F.flatten(F.transform(corners, of))
+
+    return _bound(F.transform(polygon, measured), kept)
+
+
+def clipped_polygon(polygon: Column, clipper: Column) -> Column:
+    """The common part of two convex polygons: one is cut at each edge of the other in turn."""
+    sense = F.when(signed_area(clipper) < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+
+    def edges(turn: Column) -> Column:
+        return F.transform(clipper, lambda p, i: F.struct(p.alias("a"), _next(clipper, i).alias("b"), turn.alias("sense")))
+
+    return F.aggregate(_bound(sense, edges), polygon, _cut)
+
+
+def polygon_overlap(a: Column, b: Column) -> Column:
+    """Common area over the smaller area; none where an area is zero."""
+    smaller = F.least(F.abs(signed_area(a)), F.abs(signed_area(b)))
+    return _bound(smaller, lambda s: F.when(s > 1e-6, F.abs(signed_area(clipped_polygon(a, b))) / s).otherwise(F.lit(0.0)))
+
+
+def turned_box(x: Column, y: Column, w: Column, h: Column, angle: Column) -> Column:
+    """Corners of a box turned about its centre."""
+    u, v = x + w / 2, y + h / 2
+    cos, sin = F.cos(angle), F.sin(angle)
+    corners = [(-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5)]
+    return F.array(*[
+        F.struct((u + a * w * cos - b * h * sin).alias("x"), (v + a * w * sin + b * h * cos).alias("y")) for a, b in corners
+    ])

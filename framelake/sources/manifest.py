@@ -21,11 +21,12 @@ SCENE_SCHEMA = (
 )
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, *, through: bool = False) -> DataFrame:
     """Lines of text files with their 1-based number: path, line_number, line.
 
     Files are read in splits; a line's number is its place in the split plus the lines of earlier splits,
-    so one huge manifest is neither read nor numbered in a single task.
+    so one huge manifest is neither read nor numbered in a single task. With ``through`` the numbers run on from
+    file to file in order of their names, as for a manifest that was written in sorted parts.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"),
@@ -33,6 +34,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("place"),
         F.col("value").alias("line"),
     )
+    if through:
+        split = lines.withColumn("block", F.struct("path", "block"))
+        return ordinal(split, [], "block", ["place"], "line_number").select("path", "line_number", "line")
     return ordinal(lines, ["path"], "block", ["place"], "line_number").select("path", "line_number", "line")
 
 
@@ -58,11 +62,16 @@ def manifest_errors(spark: SparkSession, path: str, schema: str = MANIFEST_SCHEM
 
 
 def scan_samples(spark: SparkSession, root: str, aliases: DataFrame | None = None, *, name: str = "metadata.json") -> DataFrame:
-    """Metadata of a tree of samples: label from label_id, else label, else the folder above the sample.
+    """Metadata of a tree of samples, one file each; see :func:`parse_samples`."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
+    return parse_samples(files, aliases)
+
+
+def parse_samples(files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """One row for each metadata file (path, content): label from label_id, else label, else the folder above the sample.
 
     Samples that cannot be read stay as rows with a reason.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
     fields = "label_id string, label string, split string, human_reviewed boolean, instance_id string, color_id string, _corrupt_record string"
     parsed = files.select("path", F.from_json(F.decode("content", "utf-8"), fields, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("m"))
     parts = F.split("path", "/")

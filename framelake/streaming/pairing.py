@@ -43,11 +43,25 @@ def with_open_primaries(emitted: DataFrame, primary: DataFrame, side: DataFrame,
     return emitted.unionByName(pair_stream(open_primaries, side, **options))
 
 
-def live_health(events: DataFrame, *, width: str = "1 day", slide: str | None = None, delay: str = "250 milliseconds") -> DataFrame:
-    """Frames, failures and latency of each device and time window (ts, device_id, latency_ms, ok)."""
+def live_health(events: DataFrame, *, width: str = "1 day", slide: str | None = None, delay: str = "250 milliseconds", cell_ms: float = 0.01) -> DataFrame:
+    """Frames, failures and latency of each device and time window (ts, device_id, latency_ms, ok).
+
+    Two aggregates in a row: latencies are counted per cell of ``cell_ms``, then the 95th percentile is taken over cells and their
+    counts. So the state of a window grows with the cells that occur and not with its frames.
+    """
     span = F.window("ts", width, slide) if slide else F.window("ts", width)
     base = events.withWatermark("ts", delay) if events.isStreaming else events
-    return base.groupBy(span.alias("w"), "device_id").agg(
-        F.count(F.lit(1)).alias("frames"), F.count_if(~F.col("ok")).alias("failures"),
-        F.percentile("latency_ms", F.lit(0.95)).alias("p95_ms"), F.max("latency_ms").alias("max_ms"),
+    cell = F.round(F.col("latency_ms") / cell_ms) * cell_ms
+    counted = base.groupBy(span.alias("w"), "device_id", cell.alias("cell")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ok")).alias("bad"), F.max("latency_ms").alias("top")
+    )
+    return counted.groupBy("w", "device_id").agg(
+        F.sum("n").alias("frames"), F.sum("bad").alias("failures"),
+        F.percentile("cell", F.lit(0.95), F.col("n")).alias("p95_ms"), F.max("top").alias("max_ms"),
     ).select(F.unix_micros(F.col("w.start")).alias("window_us"), "device_id", "frames", "failures", "p95_ms", "max_ms")
+
+
+def with_open_windows(emitted: DataFrame, events: DataFrame, **options) -> DataFrame:
+    """The windows of a replay that has ended: those emitted, and those that still waited for the watermark."""
+    whole = live_health(events, **options)
+    return emitted.unionByName(whole.join(emitted.select("window_us", "device_id"), ["window_us", "device_id"], "left_anti"))
