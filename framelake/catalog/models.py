@@ -232,6 +232,33 @@ def _(spark, sf):
     return rounded(out, 6, "fused_probability", "fused_margin", "macro_recall", "coverage")
 
 
+LOGISTIC = {"method": "top2_logistic", "side_weight": 0.30, "weights": (0.8, 0.35, -0.2, 0.5, 0.9), "bias": 0.1}
+
+
+@query(
+    "ml12_fit_policy_logistic",
+    f"""WITH {RULE_SQL}, lg AS (SELECT id, truth, la, lb, 1 / (1 + exp(-(0.1 + 0.8 * ln(ta / tb) + 0.35 * ln(xa / xb) - 0.2 * quality + 0.5 * (ta - tb) + 0.9 * (xa - xb)))) AS p FROM pr),
+     o7 AS (SELECT rule, id, truth, prediction, probability, margin FROM o UNION ALL SELECT 6, id, truth, CASE WHEN p > 1 - p THEN la ELSE lb END, greatest(p, 1 - p), abs(2 * p - 1) FROM lg),
+     g AS (SELECT 0.55::DOUBLE + i * 0.03::DOUBLE AS tp, 0.02::DOUBLE + j * 0.03::DOUBLE AS tm FROM range(11) a(i), range(8) b(j)),
+     k AS (SELECT rule, tp, tm, truth, count(*) AS n, count(*) FILTER (probability >= tp AND margin >= tm) AS a, count(*) FILTER (probability >= tp AND margin >= tm AND prediction = truth) AS c FROM o7 CROSS JOIN g GROUP BY 1, 2, 3, 4)
+    SELECT rule, round(tp, 6) AS fused_probability, round(tm, 6) AS fused_margin, CAST(sum(a) - sum(c) AS BIGINT) AS wrong_accepts, round(avg(c / n), 6) AS macro_recall, round(sum(a) / sum(n), 6) AS coverage FROM k GROUP BY rule, tp, tm""",
+    ("vec", "scores"),
+)
+def _(spark, sf):
+    """Every candidate of the search, the logistic rule with given weights among them."""
+    out = C.policy_candidates(scores(spark, sf), [*POLICY_RULES, LOGISTIC], 1.0, 1.0, C.linear_grid(0.55, 0.03, 11), C.linear_grid(0.02, 0.03, 8))
+    return rounded(out, 6, "fused_probability", "fused_margin", "macro_recall", "coverage").select(
+        "rule", "fused_probability", "fused_margin", "wrong_accepts", "macro_recall", "coverage"
+    )
+
+
+@query("ml12_fit_policy_fitted")
+def _(spark, sf):
+    """The policy chosen among the locked rules, with logistic weights fitted to the same rows."""
+    s = scores(spark, sf)
+    return rounded(C.fit_policy(s, C.locked_rules(s)), 6, "fused_probability", "fused_margin", "macro_recall", "coverage")
+
+
 @query(
     "ml13_rule_scores",
     f"""WITH {RULE_SQL}, k AS (SELECT rule, truth, count(*) AS n, count(*) FILTER (prediction = truth) AS c, count(*) FILTER (la <> truth AND prediction = truth) AS fx, count(*) FILTER (la = truth AND prediction <> truth) AS br FROM o GROUP BY 1, 2)

@@ -190,7 +190,10 @@ def _candidate_pair(df: DataFrame, top_temperature: float, side_temperature: flo
 
 
 def fused_by_rule(df: DataFrame, rules: Sequence[dict], *, top_temperature: float = 1.0, side_temperature: float = 1.0) -> DataFrame:
-    """Winner, probability and margin of each row under every rule (rule number in ``rule``)."""
+    """Winner, probability and margin of each row under every rule (rule number in ``rule``).
+
+    A rule names its method and side_weight; one of ``top2_logistic`` brings its own ``weights`` and ``bias``.
+    """
     c = F.col
     pairs = _candidate_pair(df, top_temperature, side_temperature)
     # What a rule leaves out.
@@ -205,12 +208,15 @@ def fused_by_rule(df: DataFrame, rules: Sequence[dict], *, top_temperature: floa
     columns = ["id", F.col("label").alias("truth"), "a", "b", "ta", "tb", "sa", "sb", "quality", "topology", (c("xa") + c("xb") > 0).alias("seen")]
     spread = pairs.select(*columns, F.explode(entries).alias("r"))
     p = F.lit(None).cast("double")
-    for method in sorted({rule["method"] for rule in rules}):
+    learned = [(i, rule) for i, rule in enumerate(rules) if rule["method"] == "top2_logistic"]
+    cases = [(c("r.method") == method, method, {}) for method in sorted({rule["method"] for rule in rules} - {"top2_logistic"})]
+    cases += [(c("r.rule") == i, rule["method"], {"weights": rule["weights"], "bias": rule.get("bias", 0.0)}) for i, rule in learned]
+    for applies, method, fitted in cases:
         fused = S.fuse_pair(
             c("ta"), c("tb"), c("sa"), c("sb"), c("a"), c("b"), c("quality"), topology=c("topology"), method=method,
-            side_weight=c("r.side_weight"), same_family_scale=c("r.same_family_scale"), guard_strength=c("r.guard_strength"),
+            side_weight=c("r.side_weight"), same_family_scale=c("r.same_family_scale"), guard_strength=c("r.guard_strength"), **fitted,
         )
-        p = F.when(c("r.method") == method, fused).otherwise(p)
+        p = F.when(applies, fused).otherwise(p)
     long = spread.select("id", "truth", "a", "b", c("r.rule").alias("rule"), F.when(c("seen"), p).otherwise(c("ta")).alias("p"))
     first = (c("p") > 1 - c("p")) | ((c("p") == 1 - c("p")) & (c("a") < c("b")))
     return long.select(
@@ -229,6 +235,13 @@ def fit_policy(
     return pick(found, _rank(F.col("rule"), F.col("fused_probability"), F.col("fused_margin")))
 
 
+def locked_rules(df: DataFrame, **heat: float) -> list[dict]:
+    """The rules a policy is chosen from: sums and log products at three side weights, and a logistic one fitted to the rows."""
+    weights, bias = fit_top2_logistic(df, **heat)
+    rules = [{"method": m, "side_weight": w} for m in ("probability_sum", "log_product") for w in (0.15, 0.30, 0.45)]
+    return [*rules, {"method": "top2_logistic", "side_weight": 0.30, "weights": weights, "bias": bias}]
+
+
 def policy_candidates(df: DataFrame, rules: Sequence[dict], top_temperature: float, side_temperature: float, probabilities: Sequence[float], margins: Sequence[float]) -> DataFrame:
     fused = fused_by_rule(df, rules, top_temperature=top_temperature, side_temperature=side_temperature)
     # A lower limit on the probability is an upper one on its negative.
