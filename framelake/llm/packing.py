@@ -10,6 +10,7 @@ from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +21,16 @@ from framelake.llm.tokens import load_tokenizer
 
 #: Tokens and documents of a shard, the part of the corpus that one inverted index covers.
 SHARD_TOKENS, SHARD_DOCS = 1 << 19, 4096
+#: Bytes of text encoded at once: the more, the fewer of their pieces are new.
+ENCODED_BYTES = 16 << 20
 #: Pieces of a generation whose tokens a worker remembers.
 REMEMBERED = 400_000
 #: Saturation of term counts and weight of the document's length.
 K1, B = 1.2, 0.75
 
 _BLANK = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+#: A blank beside another, or one of another kind: such texts are cut one by one.
+ODD_BLANKS = rf"[ \n][ \n]|[\x00{_BLANK}]"
 _AT_BLANK = re.compile(rf"(?<=[^ \n\0{_BLANK}])(?=[ \n])")
 
 
@@ -40,9 +45,7 @@ class Piece(NamedTuple):
 
 def pieces_of(text: str) -> list[str]:
     """The text cut before each blank or line feed that follows something else, where byte-level BPE never merges."""
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text or any(b in text for b in _BLANK):
-        return _AT_BLANK.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+    return _AT_BLANK.split(text)
 
 
 def byte_letters() -> dict[int, int]:
@@ -73,17 +76,40 @@ class Encoder:
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [pieces_of(t) for t in texts]
-        pieces = set().union(*cut)
-        self._learn(pieces)
-        # A small table of these texts' pieces is looked up faster than the large one.
-        here = {p: self.known[p] for p in pieces}
-        found = [np.frombuffer(b"".join(map(here.__getitem__, c)), self.kind) for c in cut]
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text. Texts whose blanks stand alone are cut, and their equal pieces found, by Arrow for all texts at once."""
+        column = column.cast(pa.large_string())
+        plain = pc.invert(pc.match_substring_regex(column, ODD_BLANKS)).to_numpy(zero_copy_only=False)
+        found: list[np.ndarray] = [np.zeros(0, self.kind)] * len(column)
+        rows = np.flatnonzero(plain)
+        for row, ids in zip(rows.tolist(), self._of_plain(column.take(pa.array(rows)))):
+            found[row] = ids
+        for row in np.flatnonzero(~plain).tolist():
+            cut = pieces_of(column[row].as_py())
+            self._learn(set(cut))
+            found[row] = np.frombuffer(b"".join(map(self.known.__getitem__, cut)), self.kind)
         if len(self.known) > self.remembered:
             self.older, self.known = self.known, {"": b""}
         return found
 
+    def _of_plain(self, column: pa.Array) -> list[np.ndarray]:
+        marked = pc.replace_substring(pc.replace_substring(column, " ", "\0 "), "\n", "\0\n")
+        cut = pc.split_pattern(marked, "\0")
+        coded = cut.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        self._learn(set(pieces))
+        blobs = [self.known[p] for p in pieces]
+        width = np.dtype(self.kind).itemsize
+        size = np.array([len(x) // width for x in blobs], np.int64)
+        first = np.cumsum(size) - size
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        many = size[code]
+        end = np.cumsum(many)
+        at = np.repeat(first[code] - (end - many), many) + np.arange(int(end[-1]) if len(end) else 0)
+        ids = np.frombuffer(b"".join(blobs), self.kind)[at]
+        edge = np.concatenate([np.zeros(1, np.int64), end])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return [ids[x:y] for x, y in zip(edge[:-1].tolist(), edge[1:].tolist())]
+
     def spelt(self, piece: str) -> str:
         """The piece in the letters of the vocabulary, as the tokenizer hands it to its merges."""
         if piece.isascii():
@@ -243,8 +269,8 @@ def encoded(docs: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, places = encoder_of(content, kind), _lexical_keys(size)
-        for part in slices(batches):
-            found = encoder([t or "" for t in part.column("text").to_pylist()])
+        for part in slices(batches, most=ENCODED_BYTES):
+            found = encoder(part.column("text"))
             whole = [np.append(f, kind(end_id)) for f in found]
             first = np.cumsum([0, *map(len, whole[:-1])])
             flat = np.concatenate(whole)
@@ -344,5 +370,5 @@ def _rows(sequences: list[list[Piece]], serial: int, id_kind) -> pa.RecordBatch:
 def _check(encoder: Encoder) -> None:
     ids = lambda t: encoder.tokenizer.encode(t, add_special_tokens=False).ids
     probe = "It's  one\n\ntwo \n three,\nfour.\t five <|endoftext|> six  \u00e9t\u00e9 na\u00efve! word? "
-    if ids(probe) != encoder([probe])[0].tolist() or ids("a b c") != ids("a") + ids(" b") + ids(" c"):
+    if ids(probe) != encoder(pa.array([probe]))[0].tolist() or ids("a b c") != ids("a") + ids(" b") + ids(" c"):
         raise ValueError("this is no byte-level tokenizer that merges inside words only; texts cannot be cut before blanks")

@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -87,7 +88,9 @@ def test_pieces_encode_as_whole_texts(whole):
     alphabet += [",", "!", "?.", "b,", "é."]
     encoder = packing.Encoder(whole.to_str(), np.uint16, remembered=50)
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(2000)]
-    for text, ids in [(t, i) for a in range(0, 2000, 20) for t, i in zip(texts[a : a + 20], encoder(texts[a : a + 20]))]:
+    texts += [" ".join(rng.choice(["a", "bé,", "it's", "1.\nX"]) for _ in range(rng.randrange(9))) for _ in range(200)]
+    rng.shuffle(texts)
+    for text, ids in [(t, i) for a in range(0, 2200, 20) for t, i in zip(texts[a : a + 20], encoder(pa.array(texts[a : a + 20])))]:
         assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
