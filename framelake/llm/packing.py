@@ -22,9 +22,9 @@ from framelake.llm.tokens import load_tokenizer
 #: Tokens and documents of a shard, the part of the corpus that one inverted index covers.
 SHARD_TOKENS, SHARD_DOCS = 1 << 19, 4096
 #: Bytes of text encoded at once: the more, the fewer of their pieces are new.
-ENCODED_BYTES = 16 << 20
+ENCODED_BYTES = 6 << 20
 #: Pieces of a generation whose tokens a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Saturation of term counts and weight of the document's length.
 K1, B = 1.2, 0.75
 
