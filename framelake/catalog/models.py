@@ -269,14 +269,41 @@ def _(spark, sf):
     return rounded(C.rule_scores(scores(spark, sf), POLICY_RULES), 6, "raw_accuracy", "macro_raw_recall")
 
 
-@query("ml13_fit_policy_two_stage")
+#: The rules of the two-stage search as rows; classes c0 to c9 are of different families, so the family's scale has no part.
+STAGE_RULES = ", ".join(
+    f"({i}, '{r['method']}', {r['side_weight']}::DOUBLE, {r['guard_strength'] if r['method'] == 'evidence_adaptive' else 0.0}::DOUBLE)" for i, r in enumerate(C.two_stage_rules())
+)
+STAGE_SQL = f"""{RULE_SQL}, pq AS (SELECT pr.*, topology FROM pr JOIN (SELECT DISTINCT id, topology FROM scores) USING (id)), r2(rule, method, w, g) AS (VALUES {STAGE_RULES}),
+  e2 AS (SELECT *, greatest(0, least(0.95, greatest(0, least(0.95, w * quality)) * (1 - g * greatest(0, least(1, topology))))) AS e FROM pq CROSS JOIN r2),
+  f2 AS (SELECT *, CASE WHEN method = 'probability_sum' THEN (1-e)*ta + e*xa ELSE 1 / (1 + exp((1-e)*(ln(tb)-ln(ta)) + e*(ln(xb)-ln(xa)))) END AS p FROM e2),
+  o2 AS (SELECT rule, w, id, truth, la, CASE WHEN p > 1 - p THEN la ELSE lb END AS prediction, greatest(p, 1-p) AS probability, abs(2*p-1) AS margin FROM f2)"""
+
+
+def limits_sql(rows: str, probabilities: list[float], margins: list[float]) -> str:
+    """The best limits over a table of fused rows."""
+    return f"""g2 AS (SELECT tp, tm FROM (SELECT unnest({list(probabilities)}::DOUBLE[]) AS tp), (SELECT unnest({list(margins)}::DOUBLE[]) AS tm)),
+     k2 AS (SELECT rule, tp, tm, truth, count(*) AS n, count(*) FILTER (probability >= tp AND margin >= tm) AS a, count(*) FILTER (probability >= tp AND margin >= tm AND prediction = truth) AS c FROM {rows} CROSS JOIN g2 GROUP BY 1, 2, 3, 4),
+     s2 AS (SELECT rule, tp, tm, CAST(sum(a) - sum(c) AS BIGINT) AS wrong_accepts, avg(c / n) AS macro_recall, sum(a) / sum(n) AS coverage FROM k2 GROUP BY 1, 2, 3)
+    SELECT rule, round(tp, 6) AS fused_probability, round(tm, 6) AS fused_margin, wrong_accepts, round(macro_recall, 6) AS macro_recall, round(coverage, 6) AS coverage FROM s2
+    ORDER BY s2.wrong_accepts <> 0, s2.wrong_accepts, round(s2.macro_recall, 9) DESC, round(s2.coverage, 9) DESC, rule, tp, tm LIMIT 1"""
+
+
+@query(
+    "ml13_fit_policy_two_stage",
+    f"""WITH {STAGE_SQL}, a2 AS (SELECT rule, any_value(w) AS w, truth, count(*) AS n, count(*) FILTER (prediction = truth) AS c, count(*) FILTER (la <> truth AND prediction = truth) AS fx, count(*) FILTER (la = truth AND prediction <> truth) AS br FROM o2 GROUP BY 1, 3),
+     b2 AS (SELECT rule FROM a2 GROUP BY 1 ORDER BY round(sum(c) / sum(n), 9) DESC, round(avg(c / n), 9) DESC, sum(br) - sum(fx), any_value(w), rule LIMIT 1), o3 AS (SELECT o2.* FROM o2 JOIN b2 USING (rule)),
+     {limits_sql("o3", C.linear_grid(0.50, 0.03, 12), C.linear_grid(0.0, 0.03, 9))}""",
+    ("vec", "scores"),
+)
 def _(spark, sf):
-    return C.fit_policy_two_stage(scores(spark, sf), min_coverage=0.0)
+    out = C.fit_policy_two_stage(scores(spark, sf), min_coverage=0.0)
+    return rounded(out, 6, "fused_probability", "fused_margin", "macro_recall", "coverage")
 
 
-@query("ml13_fit_policy_strict")
+@query("ml13_fit_policy_strict", f"WITH {STAGE_SQL}, {limits_sql('o2', [0.72, 0.78, 0.84, 0.90, 0.96, 0.999], [0.12, 0.18, 0.24])}", ("vec", "scores"))
 def _(spark, sf):
-    return C.fit_policy_two_stage(scores(spark, sf), strict=True)
+    out = C.fit_policy_two_stage(scores(spark, sf), strict=True)
+    return rounded(out, 6, "fused_probability", "fused_margin", "macro_recall", "coverage")
 
 
 @query("ml14_fit_top2_logistic")
