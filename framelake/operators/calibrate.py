@@ -378,7 +378,8 @@ def bundle_manifest(df: DataFrame, *, item: str = "sample", split: str = "split"
     """
     shared = df.groupBy(hash_column).agg(F.count_distinct(split).alias("__k"))
     marked = df.join(shared, hash_column)
-    part = F.conv(F.substring(hash_column, 1, 12), 16, 10).cast("bigint")
+    # 48 bits a row: a bigint sum would overflow at some ten thousand rows.
+    part = F.conv(F.substring(hash_column, 1, 12), 16, 10).cast("decimal(28,0)")
     return marked.groupBy(split).agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct(hash_column).alias("contents"),
         F.sum(part).cast("string").alias("fingerprint"), F.count_if(F.col("__k") > 1).alias("overlapping"),

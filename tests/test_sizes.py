@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.operators import neighbors
+from framelake.operators import calibrate, neighbors
 
 
 def test_nearest_holds_tiles_and_not_all_distances():
@@ -50,3 +50,10 @@ def test_blocks_compare_everything(spark, monkeypatch, metric, groups):
             else:
                 far = [np.sqrt(((g[:2] ** 2).mean() + 3.0 * g[2] ** 2) / 4.0) for g in gaps]
             assert got[i, c] == pytest.approx(sorted(far)[:2])
+
+
+def test_bundle_fingerprint_passes_the_range_of_a_long(spark):
+    rows = 70_000
+    df = spark.range(rows).select(F.col("id").alias("sample"), F.lit("train").alias("split"), F.lit("f" * 64).alias("sha256"))
+    got = calibrate.bundle_manifest(df).first()
+    assert got["fingerprint"] == str(rows * (16**12 - 1)) and got["rows"] == rows and got["contents"] == 1 and got["clean"]
