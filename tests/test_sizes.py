@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake.operators import calibrate, neighbors
+from framelake.plans import boxes
 
 
 def test_nearest_holds_tiles_and_not_all_distances():
@@ -57,3 +58,26 @@ def test_bundle_fingerprint_passes_the_range_of_a_long(spark):
     df = spark.range(rows).select(F.col("id").alias("sample"), F.lit("train").alias("split"), F.lit("f" * 64).alias("sha256"))
     got = calibrate.bundle_manifest(df).first()
     assert got["fingerprint"] == str(rows * (16**12 - 1)) and got["rows"] == rows and got["contents"] == 1 and got["clean"]
+
+
+def _gap(a, b):
+    return float(np.hypot(max(b[0] - a[0] - a[2], a[0] - b[0] - b[2], 0), max(b[1] - a[1] - a[3], a[1] - b[1] - b[3], 0)))
+
+
+@pytest.mark.parametrize("few", [0, 12, 100])
+def test_gaps_of_small_and_large_keys(spark, few):
+    rng = np.random.default_rng(5)
+    rows = [(k, f"{i}", *map(float, rng.integers(0, 3000, 2)), *map(float, rng.integers(1, 30, 2))) for k, n in ((1, 1), (2, 12), (3, 60)) for i in range(n)]
+    rows += [(3, "same", *rows[-1][2:]), (2, "far", 90_000.0, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "f int, id string, x double, y double, w double, h double")
+    got = {(r["f"], r["id"]): r["clearance"] for r in boxes.nearest_gap(df, ["f"], few=few).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        gaps = [_gap(r[2:], o[2:]) for o in rows if o[0] == r[0] and o[1] != r[1]]
+        assert got[r[:2]] == (pytest.approx(min(gaps)) if gaps else None)
+
+
+def test_small_keys_are_not_copied_into_cells(spark):
+    df = spark.createDataFrame([(i // 4, float(i % 4) * 9, 0.0, 2.0, 2.0) for i in range(40)], "f int, x double, y double, w double, h double")
+    plan = boxes.nearest_gap(df, ["f"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "cu#" not in plan and "sequence(" not in plan
