@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,20 +152,51 @@ def fit_plane_ransac(df: DataFrame, keys: Sequence[str], item: str, *, threshold
 def local_plane(candidates: DataFrame, grid: DataFrame, keys: Sequence[str], item: str, *, radius: int, intrinsics: dict) -> DataFrame:
     """Plane, RMSE and valid ratio in a disk around each candidate pixel (keys, item, cu0, cv0).
 
-    grid holds the allowed pixels (keys, u, v, depth; an invalid depth is null or not positive).
+    grid holds the allowed pixels (keys, u, v, depth; an invalid depth is null or not positive). Candidates meet the
+    pixels around them tile by tile, and a tile gives one row of moments for each of its candidates.
     """
-    keys = list(keys)
-    c = F.col
-    tiles = with_cells(candidates.select(*keys, item, "cu0", "cv0"), (c("cu0"), c("cv0")), (c("cu0"), c("cv0")), float(radius), grow=float(radius))
-    placed = grid.withColumn("cu", F.floor(c("u") / float(radius))).withColumn("cv", F.floor(c("v") / float(radius)))
-    inside = (c("u") - c("cu0")) ** 2 + (c("v") - c("cv0")) ** 2 <= radius * radius
-    disk = placed.join(tiles, [*keys, "cu", "cv"]).filter(inside)
+    keys, c, side = list(keys), F.col, 8.0 * radius
     good = truth((c("depth") > 0) & ~F.isnan("depth"))
     ray = geometry.backproject(c("u"), c("v"), c("depth"), **{k: intrinsics[k] for k in ("fx", "fy", "cx", "cy")})
-    cloud = disk.select(*keys, item, good.alias("ok"), *[F.when(good, r).alias(a) for a, r in zip(AXES, ray)])
-    share = cloud.groupBy(*keys, item).agg(ratio(F.count_if("ok"), F.count(F.lit(1))).alias("valid_ratio"))
-    fitted = fit_plane(cloud.filter("ok"), [*keys, item])
-    return fitted.join(share, [*keys, item])
+    named = [c(k).isNotNull() for k in keys]
+    spots = candidates.select(*keys, item, c("cu0").cast("double").alias("u"), c("cv0").cast("double").alias("v"))
+    for known in named:
+        spots, grid = spots.filter(known), grid.filter(known)
+    spots = spots.withColumn("cu", F.floor(c("u") / side)).withColumn("cv", F.floor(c("v") / side))
+    cloud = grid.withColumn("ok", good).select(
+        *keys, c("u").cast("double").alias("u"), c("v").cast("double").alias("v"), "ok",
+        *[F.when(c("ok"), r).cast("double").alias(a) for a, r in zip(AXES, ray)],
+    )
+    cloud = with_cells(cloud, (c("u"), c("v")), (c("u"), c("v")), side, grow=float(radius))
+    names = ["n", "m0", "m1", "m2", *[f"c{i}{j}" for i, j in _COV]]
+
+    def meet(spots: pa.Table, cloud: pa.Table) -> pa.Table:
+        u, v, *axes = (cloud[name].to_numpy() for name in ("u", "v", *AXES))
+        ok = cloud["ok"].to_numpy()
+        around = np.nan_to_num(np.stack(axes, axis=1)) * ok[:, None]
+        # Sums about the tile's centre lose no digits to a far origin.
+        centre = around[ok].mean(axis=0) if ok.any() else np.zeros(3)
+        around = (around - centre) * ok[:, None]
+        terms = np.column_stack([np.ones(len(ok)), ok, around, *[around[:, i] * around[:, j] for i, j in _COV]])
+        at = np.stack([spots[name].to_numpy() for name in ("u", "v")], axis=1)
+        sums, step = np.empty((len(at), terms.shape[1])), max(1, 2**20 // max(len(ok), 1))
+        for first in range(0, len(at), step):
+            some = at[first : first + step]
+            inside = (u - some[:, :1]) ** 2 + (v - some[:, 1:]) ** 2 <= radius * radius
+            sums[first : first + step] = inside.astype(float) @ terms
+        kept = np.flatnonzero(sums[:, 1] >= 3)
+        n, sums = sums[kept, 1], sums[kept]
+        means = sums[:, 2:5] / n[:, None]
+        found = [n.astype(np.int64), *(means + centre).T]
+        found += [sums[:, 5 + place] / n - means[:, i] * means[:, j] for place, (i, j) in enumerate(_COV)]
+        some = spots.take(pa.array(kept))
+        return pa.table({**{k: some[k] for k in [*keys, item]}, **dict(zip(names, map(pa.array, found))), "valid_ratio": pa.array(n / sums[:, 0])})
+
+    schema = f"{_ddl(candidates, [*keys, item])}, n bigint, {', '.join(f'{x} double' for x in names[1:])}, valid_ratio double"
+    tile = [*keys, "cu", "cv"]
+    rows = spots.groupBy(*tile).cogroup(cloud.groupBy(*tile)).applyInArrow(meet, schema)
+    fitted = planes_from_moments(rows, [*keys, item, "valid_ratio"])
+    return fitted.select(*[n for n in fitted.columns if n != "valid_ratio"], "valid_ratio")
 
 
 # Object features -------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.operators import calibrate, neighbors
+from framelake.operators import calibrate, neighbors, points
 from framelake.plans import boxes
 
 
@@ -81,3 +81,27 @@ def test_small_keys_are_not_copied_into_cells(spark):
     df = spark.createDataFrame([(i // 4, float(i % 4) * 9, 0.0, 2.0, 2.0) for i in range(40)], "f int, x double, y double, w double, h double")
     plan = boxes.nearest_gap(df, ["f"])._jdf.queryExecution().optimizedPlan().toString()
     assert "cu#" not in plan and "sequence(" not in plan
+
+
+def test_local_plane_meets_tiles_and_sends_nothing_whole(spark):
+    rng = np.random.default_rng(6)
+    pixels = [(f, u, v, float(rng.uniform(300, 500)) if rng.random() > 0.2 else None) for f in ("a", "b") for u in range(45) for v in range(0, 45, 3)]
+    grid = spark.createDataFrame(pixels, "f string, u long, v long, depth double")
+    spots = [("a", i, int(u), int(v)) for i, (u, v) in enumerate(rng.integers(-2, 47, (60, 2)))] + [("c", 0, 5, 5)]
+    candidates = spark.createDataFrame(spots, "f string, c int, cu0 long, cv0 long")
+    out = points.local_plane(candidates, grid, ["f"], "c", radius=5, intrinsics={"fx": 600.0, "fy": 610.0, "cx": 20.0, "cy": 20.0})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan, "a join's side whose copies the planner cannot count may be broadcast"
+    got = {r["c"]: r for r in out.collect()}
+    for f, c, u0, v0 in spots[:-1]:
+        near = [(u, v, d) for g, u, v, d in pixels if g == f and (u - u0) ** 2 + (v - v0) ** 2 <= 25]
+        cloud = np.array([((u - 20) / 600 * d, (v - 20) / 610 * d, d) for u, v, d in near if d])
+        if len(cloud) < 3:
+            assert c not in got
+            continue
+        values, vectors = np.linalg.eigh(np.cov(cloud.T, bias=True))
+        normal = vectors[:, 0] * (-1 if vectors[2, 0] > 0 else 1)
+        assert (got[c]["points"], got[c]["valid_ratio"]) == (len(cloud), pytest.approx(len(cloud) / len(near)))
+        assert [got[c][n] for n in ("nx", "ny", "nz")] == pytest.approx(list(normal), abs=1e-6)
+        assert got[c]["rmse"] == pytest.approx(np.sqrt(max(values[0], 0)), abs=1e-5)
+    assert {r["f"] for r in got.values()} == {"a"}
