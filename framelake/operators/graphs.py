@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,19 +161,74 @@ def graph_features(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> D
     return out.withColumn("cycles", F.greatest(F.lit(0), F.col("edges") - F.col("nodes") + F.col("components")))
 
 
-def face_features(faces: DataFrame, adjacency: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Area shares, fit errors, adjacency, angle bins and triple junctions of visible faces.
+ANGLE_BINS = ((0, 15), (15, 45), (45, 75), (75, 181))
+JUNCTION = 0.08
 
-    faces: keys, face, area, rmse, nx, ny, nz; adjacency: keys, a < b.
-    """
-    from framelake.plans.scan import top_n_per_key
 
-    keys = list(keys)
-    base = faces.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("faces"), F.sum("area").alias("__area"), F.avg("rmse").alias("rmse_mean"), F.max("rmse").alias("rmse_max")
+def _pair_angles(one: np.ndarray, two: np.ndarray, same: bool) -> np.ndarray:
+    """Count, sums of the angle and its square about 45 degrees, and bin counts, of all pairs of normals."""
+    out = np.zeros(3 + len(ANGLE_BINS))
+    for first in range(0, len(one), 64):
+        begin = first if same else 0
+        angle = np.degrees(np.arccos(np.clip(np.abs(one[first : first + 64] @ two[begin:].T), 0.0, 1.0)))
+        angle = angle[np.triu(np.ones(angle.shape, bool), 1)] if same else angle.ravel()
+        out[:3] += len(angle), (angle - 45.0).sum(), ((angle - 45.0) ** 2).sum()
+        out[3:] += [np.count_nonzero((angle >= lo) & (angle < hi)) for lo, hi in ANGLE_BINS]
+    return out
+
+
+def _junctions(one: np.ndarray, two: np.ndarray, three: np.ndarray, same_left: bool, same_right: bool) -> int:
+    """Triples of normals, one of each block, that span a volume; a block that comes twice gives each pair once."""
+    total = 0
+    for i, n in enumerate(one):
+        crossed = np.cross(n, two)
+        for first in range(i + 1 if same_left else 0, len(two), 64):
+            found = np.abs(crossed[first : first + 64] @ three[first if same_right else 0 :].T) >= JUNCTION
+            total += np.count_nonzero(np.triu(found, 1) if same_right else found)
+    return total
+
+
+def _group_features(faces: DataFrame, keys: list[str], shared: str, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Angles, degrees and triple junctions where all faces with one value of ``shared`` are adjacent.
+
+    Pairs and triples are counted block by block and never become rows: a task holds at most three blocks of normals.
+    """
+    group = [*keys, shared]
+    rows = faces.filter(F.col(shared).isNotNull()).select(*group, "face", "nx", "ny", "nz")
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    degree = sizes.filter("__n > 1").groupBy(*keys).agg((F.max("__n") - 1).alias("degree_max"))
+    last = F.ceil(F.col("__n") / block).cast("int") - 1
+    dealt = rows.join(sizes, group).filter("__n > 1").withColumn("__i", F.pmod(F.xxhash64("face"), last + 1).cast("int"))
+    # Each set of three blocks (one may come twice or three times) is one task's work, and each of its blocks goes there once.
+    dealt = dealt.withColumn("__j", F.explode(F.sequence(F.lit(0), last))).withColumn("__k", F.explode(F.sequence(F.col("__j"), last)))
+    sent = dealt.withColumn("__t", F.array_sort(F.array("__i", "__j", "__k"))).select(*group, "__t", "__i", "nx", "ny", "nz")
+    names = ["pairs", "angle", "square", *[f"bin_{i}" for i in range(len(ANGLE_BINS))]]
+
+    def count(table: pa.Table) -> pa.Table:
+        ids = table["__t"][0].as_py()
+        normals = np.stack([table[n].to_numpy() for n in ("nx", "ny", "nz")], axis=1)
+        place = table["__i"].to_numpy()
+        one, two, three = (normals[place == i] for i in ids)
+        angles = _pair_angles(one, two, ids[0] == ids[1]) if ids[1] == ids[2] else np.zeros(len(names))
+        corners = _junctions(one, two, three, ids[0] == ids[1], ids[1] == ids[2])
+        return pa.table({**{k: table[k].slice(0, 1) for k in keys}, **{n: [float(a)] for n, a in zip(names, angles)}, "corners": [corners]})
+
+    ddl = ", ".join(f"`{k}` {faces.schema[k].dataType.simpleString()}" for k in keys)
+    # Few bytes bring much work, so the partitions are counted here and not joined by their size.
+    sent = sent.repartition(int(faces.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group, "__t")
+    counted = sent.groupBy(*group, "__t").applyInArrow(count, f"{ddl}, {', '.join(f'{n} double' for n in names)}, corners bigint")
+    summed = counted.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in (*names, "corners")])
+    n, mean = F.col("pairs"), F.col("angle") / F.col("pairs")
+    per_pair = summed.filter("pairs > 0").select(
+        *keys, n.cast("bigint").alias("adjacent_pairs"), (mean + 45.0).alias("angle_mean"),
+        F.sqrt(F.greatest(F.col("square") / n - mean * mean, F.lit(0.0))).alias("angle_std"),
+        *[(F.col(f"bin_{i}") / n).alias(f"angle_bin_{i}") for i in range(len(ANGLE_BINS))],
     )
-    largest = top_n_per_key(faces.select(*keys, "face", "area"), keys, [F.desc("area"), F.asc("face")], 3, "__r")
-    top = largest.groupBy(*keys).agg(*[F.max(F.when(F.col("__r") == i, F.col("area"))).alias(f"__a{i}") for i in (1, 2, 3)])
+    return per_pair, degree, summed.filter("corners > 0").select(*keys, F.col("corners").alias("triple_junctions"))
+
+
+def _edge_features(faces: DataFrame, adjacency: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Angles, degrees and triple junctions of given pairs of faces."""
     normal = faces.select(*keys, "face", F.struct("nx", "ny", "nz").alias("n"))
 
     def with_normal(df: DataFrame, column: str) -> DataFrame:
@@ -180,11 +237,10 @@ def face_features(faces: DataFrame, adjacency: DataFrame, keys: Sequence[str]) -
     pairs = with_normal(with_normal(adjacency.select(*keys, "a", "b"), "a"), "b")
     cosine = F.abs(F.col("n_a.nx") * F.col("n_b.nx") + F.col("n_a.ny") * F.col("n_b.ny") + F.col("n_a.nz") * F.col("n_b.nz"))
     angles = pairs.withColumn("angle", F.degrees(F.acos(clip(cosine, 0.0, 1.0))))
-    bins = ((0, 15), (15, 45), (45, 75), (75, 181))
     per_pair = angles.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("adjacent_pairs"),
         F.avg("angle").alias("angle_mean"), F.stddev_pop("angle").alias("angle_std"),
-        *[F.avg(((F.col("angle") >= lo) & (F.col("angle") < hi)).cast("double")).alias(f"angle_bin_{i}") for i, (lo, hi) in enumerate(bins)],
+        *[F.avg(((F.col("angle") >= lo) & (F.col("angle") < hi)).cast("double")).alias(f"angle_bin_{i}") for i, (lo, hi) in enumerate(ANGLE_BINS)],
     )
     degree = (
         adjacency.select(*keys, F.explode(F.array("a", "b")).alias("f")).groupBy(*keys, "f").agg(F.count(F.lit(1)).alias("d"))
@@ -203,7 +259,26 @@ def face_features(faces: DataFrame, adjacency: DataFrame, keys: Sequence[str]) -
         - part("a", "y") * (part("b", "x") * part("c", "z") - part("b", "z") * part("c", "x"))
         + part("a", "z") * (part("b", "x") * part("c", "y") - part("b", "y") * part("c", "x"))
     )
-    triples = corners.filter(F.abs(det) >= 0.08).groupBy(*keys).agg(F.count(F.lit(1)).alias("triple_junctions"))
+    triples = corners.filter(F.abs(det) >= JUNCTION).groupBy(*keys).agg(F.count(F.lit(1)).alias("triple_junctions"))
+    return per_pair, degree, triples
+
+
+def face_features(faces: DataFrame, adjacency: DataFrame | str, keys: Sequence[str], *, block: int = 2_048) -> DataFrame:
+    """Area shares, fit errors, adjacency, angle bins and triple junctions of visible faces.
+
+    faces: keys, face, area, rmse, nx, ny, nz; adjacency: keys, a < b. Where adjacency is a column of the faces, those
+    with equal values are adjacent; their pairs are not formed as rows.
+    """
+    from framelake.plans.scan import top_n_per_key
+
+    keys = list(keys)
+    base = faces.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("faces"), F.sum("area").alias("__area"), F.avg("rmse").alias("rmse_mean"), F.max("rmse").alias("rmse_max")
+    )
+    largest = top_n_per_key(faces.select(*keys, "face", "area"), keys, [F.desc("area"), F.asc("face")], 3, "__r")
+    top = largest.groupBy(*keys).agg(*[F.max(F.when(F.col("__r") == i, F.col("area"))).alias(f"__a{i}") for i in (1, 2, 3)])
+    counted = _group_features(faces, keys, adjacency, block) if isinstance(adjacency, str) else _edge_features(faces, adjacency, keys)
+    per_pair, degree, triples = counted
     joined = base.join(top, keys, "left").join(per_pair, keys, "left").join(degree, keys, "left").join(triples, keys, "left")
     whole = F.greatest(F.col("__area").cast("double"), F.lit(1.0))
     return joined.select(

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.operators import calibrate, neighbors, points
+from framelake.operators import calibrate, graphs, neighbors, points
 from framelake.plans import boxes
 
 
@@ -105,3 +105,20 @@ def test_local_plane_meets_tiles_and_sends_nothing_whole(spark):
         assert [got[c][n] for n in ("nx", "ny", "nz")] == pytest.approx(list(normal), abs=1e-6)
         assert got[c]["rmse"] == pytest.approx(np.sqrt(max(values[0], 0)), abs=1e-5)
     assert {r["f"] for r in got.values()} == {"a"}
+
+
+@pytest.mark.parametrize("block", [3, 5, 1_000])
+def test_faces_of_one_cell_count_like_given_pairs(spark, block):
+    rng = np.random.default_rng(7)
+    normals = rng.normal(size=(40, 3))
+    normals /= np.linalg.norm(normals, axis=1)[:, None]
+    rows = [(f"o{i % 2}", i, i * 10, 0.1 * i, *map(float, n), int(i % 7 // 3)) for i, n in enumerate(normals)] + [("lone", 99, 1, 0.0, 0.0, 0.0, 1.0, 5)]
+    faces = spark.createDataFrame(rows, "o string, face long, area long, rmse double, nx double, ny double, nz double, cell int")
+    right = faces.select("o", "cell", F.col("face").alias("b"))
+    pairs = faces.select("o", "cell", F.col("face").alias("a")).join(right, ["o", "cell"]).filter("a < b").drop("cell")
+    want = {r["o"]: r.asDict() for r in graphs.face_features(faces, pairs, ["o"]).collect()}
+    got = {r["o"]: r.asDict() for r in graphs.face_features(faces, "cell", ["o"], block=block).collect()}
+    assert set(got) == set(want) == {"o0", "o1", "lone"} and want["o0"]["triple_junctions"] > 0
+    for o, found in got.items():
+        for name in set(found) - {"o"}:
+            assert found[name] == pytest.approx(want[o][name], abs=1e-9), name
