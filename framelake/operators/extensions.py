@@ -58,12 +58,13 @@ def shape_model(load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], inpu
     return lambda df: df.withColumn("prediction", run(F.struct(*inputs)))
 
 
-def instance_model(df: DataFrame, segment: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Frames to any number of objects each, batch by batch."""
+def instance_model(df: DataFrame, segment: Callable[[pd.DataFrame], pd.DataFrame], schema: str, *, batch_rows: int = 128) -> DataFrame:
+    """Frames to any number of objects each; the model sees up to ``batch_rows`` frames at once, as a frame may hold many objects."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield segment(pdf)
+            for first in range(0, max(len(pdf), 1), batch_rows):
+                yield segment(pdf.iloc[first : first + batch_rows].reset_index(drop=True))
 
     return df.mapInPandas(run, schema)
 

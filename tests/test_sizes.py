@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.operators import calibrate, graphs, neighbors, points
+from framelake.operators import calibrate, extensions, graphs, neighbors, points
 from framelake.plans import boxes
 
 
@@ -122,3 +122,12 @@ def test_faces_of_one_cell_count_like_given_pairs(spark, block):
     for o, found in got.items():
         for name in set(found) - {"o"}:
             assert found[name] == pytest.approx(want[o][name], abs=1e-9), name
+
+
+def test_instance_model_sees_small_batches(spark):
+    def found(pdf):
+        return pdf.loc[pdf.index.repeat(pdf["n"])].assign(seen=len(pdf))[["sample", "seen"]]
+
+    df = spark.range(0, 1_000, 1, 1).select(F.col("id").alias("sample"), (F.col("id") % 3).alias("n"))
+    rows = extensions.instance_model(df, found, "sample bigint, seen bigint").groupBy("sample").agg(F.count("*").alias("n"), F.max("seen").alias("seen")).collect()
+    assert {r["sample"]: r["n"] for r in rows} == {i: i % 3 for i in range(1_000) if i % 3} and max(r["seen"] for r in rows) <= 128
