@@ -131,3 +131,21 @@ def test_instance_model_sees_small_batches(spark):
     df = spark.range(0, 1_000, 1, 1).select(F.col("id").alias("sample"), (F.col("id") % 3).alias("n"))
     rows = extensions.instance_model(df, found, "sample bigint, seen bigint").groupBy("sample").agg(F.count("*").alias("n"), F.max("seen").alias("seen")).collect()
     assert {r["sample"]: r["n"] for r in rows} == {i: i % 3 for i in range(1_000) if i % 3} and max(r["seen"] for r in rows) <= 128
+
+
+@pytest.mark.parametrize("block", [4, 2_048])
+def test_overlaps_of_a_crowded_key_without_rows_of_pairs(spark, block):
+    rng = np.random.default_rng(9)
+    rows = [(k, i, *map(float, rng.integers(0, 150, 2)), *map(float, rng.integers(0, 60, 2))) for k, n in ((1, 1), (2, 50)) for i in range(n)]
+    rows += [(2, 50, *rows[3][2:]), (2, 51, 900.0, 0.0, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "f int, id int, x double, y double, w double, h double")
+    found = boxes.max_overlap(df, ["f"], block=block)
+    assert "a_x" not in found._jdf.queryExecution().optimizedPlan().toString(), "pairs joined as rows"
+    got = {(r["f"], r["id"]): r["overlap"] for r in found.collect()}
+    assert len(got) == len(rows)
+    for f, i, x, y, w, h in rows:
+        want = 0.0
+        for g, j, u, v, p, q in rows:
+            if f == g and i != j and min(w * h, p * q) > 1e-6:
+                want = max(want, max(min(x + w, u + p) - max(x, u), 0) * max(min(y + h, v + q) - max(y, v), 0) / min(w * h, p * q))
+        assert got[f, i] == pytest.approx(want)
