@@ -16,15 +16,18 @@ from framelake.operators.graphs import connected_components
 
 #: Words of a shingle and the least similarity a / b of a link, b * intersection >= a * union, unless given.
 SHINGLE, THRESHOLD = 3, (9, 10)
-#: One in so many tokens is counted over all documents; these tokens come first in the first order, rare ones ahead.
-SLICE = 5
 #: A band's ends have sizes of this ratio times b / a; linked sets differ by b / a at most, so they share a band.
 BAND = 1.008
-#: Further token orders, by seeded hash: a pair must share prefix tokens under all orders.
-SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
-FURTHER = tuple(f"prefix{i}" for i in range(len(SEEDS)))
-#: Groups up to this size are compared pair by pair; larger ones are split by what their members differ in.
-SMALL = 48
+#: Seeds of the hash that deals tokens to parts and of the one that a part's tokens are summed by.
+DEAL, SUM = 0x5851F42D4C957F2D, 0x14057B7EF767814F
+#: One part in so many beyond those needed is cut besides, and the smallest of a set are left out for them.
+SPARE = 4
+#: Rounds in which one member of a group is compared with its others, before the rest is compared in blocks.
+ROUNDS = 2
+#: Families up to this size are compared row by row of a sorted stream; larger ones block by block.
+SMALL, BLOCK = 48, 2_048
+#: Tokens of a set are counted in so many cells; two sets differ in at least as many tokens as their counts do.
+CELLS = 256
 
 
 def shingle_sets(source: Texts, n: int = SHINGLE) -> list[np.ndarray]:
@@ -53,99 +56,101 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return int(np.uint64(a).astype(np.int64)), int(np.uint64(b).astype(np.int64))
 
 
-def prefix_length(n: int, threshold: tuple[int, int]) -> int:
-    """So many first tokens of a set, in any order, have one in common with each set it is linked to."""
-    a, b = threshold
-    return n * (b - a) // b + 1 if n else 0
-
-
-def prefix(tokens: np.ndarray, seed: int, threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
-    """The first `prefix_length` tokens by a seeded hash."""
-    return tokens[np.argsort(mix(tokens ^ np.uint64(seed)))[: prefix_length(len(tokens), threshold)]]
+def signatures(sets: list[np.ndarray], threshold: tuple[int, int] = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit signatures of sets, of which linked sets have one in common, and their number for each set.
 
-
-def counted_tokens(tokens: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> tuple[np.ndarray, np.ndarray, int]:
-    """Tokens that can stand in the prefix of the first order: those of the slice, whose place (-1) depends on
-    their counts, and as many others, by their value, as fill the prefix behind them, with their places."""
-    inside = tokens % np.uint64(SLICE) == 0
-    first, rest = tokens[inside], tokens[~inside]
-    m, length = len(first), prefix_length(len(tokens), threshold)
-    rest = rest[: max(0, length - m)]
-    places = np.concatenate([np.full(m, -1, np.int32), m + np.arange(len(rest), dtype=np.int32)])
-    return np.concatenate([first, rest]), places.astype(np.int32), m
+    Linked sets of at most t tokens differ in no more than h = 2 t (b - a) / (a + b) tokens. Their tokens are dealt to
+    h + 1 + s parts by a hash, so at least s + 1 parts are equal, and a signature stands for a part's tokens. Each set leaves out
+    its s smallest parts: the largest of the equal parts is left out by neither set, as all the others would have to be as well.
+    Sizes fall into bands, and a set has signatures for two of them; the last bit tells the two apart.
+    """
+    a, b = threshold
+    n = np.array([len(x) for x in sets], np.int64)
+    rows, ratio = len(sets), math.log(BAND * b / a)
+    token = np.concatenate(sets) if rows else np.zeros(0, np.uint64)
+    row = np.repeat(np.arange(rows), n)
+    dealt, value = mix(token ^ np.uint64(DEAL)) >> np.uint64(32), mix(token ^ np.uint64(SUM))
+    halves = [(value >> np.uint64(32)).astype(float), (value & np.uint64(0xFFFFFFFF)).astype(float)]
+    band = np.floor(np.log(np.maximum(n, 1)) / ratio).astype(np.int64)
+    found, owners = [], []
+    for key in (band, band + 1):
+        top = np.ceil(np.exp((key + 1) * ratio)).astype(np.int64) + 1
+        apart = 2 * top * (b - a) // (a + b)
+        spare = np.where(apart > 0, -(-(apart + 1) // SPARE), 0)
+        parts = np.where(n > 0, apart + 1 + spare, 0)
+        first = np.cumsum(parts) - parts
+        slot = first[row] + (dealt % np.maximum(parts, 1).astype(np.uint64)[row]).astype(np.int64)
+        slots = int(parts.sum())
+        high, low = (np.bincount(slot, half, slots).astype(np.uint64) for half in halves)
+        size = np.bincount(slot, minlength=slots)
+        owner = np.repeat(np.arange(rows), parts)
+        place = np.arange(slots) - first[owner]
+        named = mix((key[owner].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64))
+        named = mix(low + mix(high + named))
+        order = np.lexsort((place, size, owner))
+        order = order[np.arange(slots) - first[owner[order]] >= spare[owner[order]]]
+        found.append((named[order] & ~np.uint64(1)) | (key[owner[order]] & 1).astype(np.uint64))
+        owners.append(owner[order])
+    owner = np.concatenate(owners)
+    by_owner = np.argsort(owner, kind="stable")
+    return np.concatenate(found)[by_owner].view(np.int64), np.bincount(owner, minlength=rows)
 
 
 def _described(docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
-    """doc_id, n, f1, f2, m (tokens of the slice) and, in four bytes a token, the prefixes of the further orders."""
+    """doc_id, n, f1, f2 and the signatures of each text."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = shingle_sets(texts(part.column("text")), shingle)
             prints = [fingerprint(s) for s in sets]
-            further = [_lists([_short(prefix(s, seed, threshold)) for s in sets], np.int32) for seed in SEEDS]
+            values, counts = signatures(sets, threshold)
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.record_batch(
                 [
                     part.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([f[0] for f in prints], pa.int64()),
                     pa.array([f[1] for f in prints], pa.int64()),
-                    pa.array([int((s % np.uint64(SLICE) == 0).sum()) for s in sets], pa.int64()),
-                    *further,
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)),
                 ],
-                names=["doc_id", "n", "f1", "f2", "m", *FURTHER],
+                names=["doc_id", "n", "f1", "f2", "signatures"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    return rows.mapInArrow(describe, f"doc_id {kind}, n long, f1 long, f2 long, m long, " + ", ".join(f"{p} array<int>" for p in FURTHER))
+    return rows.mapInArrow(describe, f"doc_id {kind}, n long, f1 long, f2 long, signatures array<long>")
 
 
-def _counted(docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
-    """(t, u, place) of the tokens of each text that can stand in its prefix."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            sets = [s for s in shingle_sets(texts(part.column("text")), shingle) if len(s)]
-            found = [counted_tokens(s, threshold) for s in sets]
-            owner = np.repeat(np.array([fingerprint(s)[0] for s in sets], np.int64), [len(f[0]) for f in found])
-            tokens = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
-            places = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int32)
-            yield pa.record_batch([pa.array(tokens.view(np.int64)), pa.array(owner), pa.array(places)], names=["t", "u", "place"])
+def _groups(described: DataFrame) -> DataFrame:
+    """(g, u, n): the signatures that more than one class has, with their classes."""
+    c = F.col
+    # One shuffle by signature serves the counts and the rows.
+    rows = described.where("n > 0").select(F.explode("signatures").alias("g"), c("f1").alias("u"), "n").repartition("g")
+    shared = rows.groupBy("g").agg(F.min("u").alias("a"), F.max("u").alias("b")).where(c("a") != c("b"))
+    return kept(rows.join(shared.select("g"), "g", "left_semi").distinct(), "jaccard-groups")
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(emit, "t long, u long, place int")
 
+def _verified(pairs: DataFrame, tokens: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) whose sets are linked."""
+    a, b = threshold
+    c = F.col
+    return (
+        pairs.join(tokens.select("u", "toks"), "u")
+        .join(tokens.select(c("u").alias("v"), c("toks").alias("other")), "v")
+        .withColumn("both", F.size(F.array_intersect("toks", "other")))
+        .where(b * c("both") >= a * (F.size("toks") + F.size("other") - c("both")))
+        .select("u", "v")
+    )
 
-def _postings(docs: DataFrame, sets: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
-    """(t, band, u, n, i, size): the prefix tokens of each class that another class of a band has in its own, with place i.
 
-    The first order puts the tokens of the slice first, by the number of classes that have them, and then the
-    others by value. Tokens of one class only take places but make no group, so they need not come back.
-    """
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (g, u, n) of groups that links leave in more than one component, with their component as label."""
     c = F.col
-    a, b = threshold
-    # One shuffle by token serves the counts and the rows.
-    rows = _counted(docs, shingle, threshold).repartition("t").groupBy("t", "u").agg(F.first("place").alias("place"))
-    shared = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("u").alias("a"), F.max("u").alias("b")).where(c("a") != c("b"))
-    shared = kept(rows.join(shared.select("t", "df"), "t"), "jaccard-shared")
-    of_class = Window.partitionBy("u")
-    in_slice = c("place") < 0
-    ranked = shared.withColumns(
-        {
-            "k": F.count_if(in_slice).over(of_class),
-            "r": F.row_number().over(of_class.orderBy(~in_slice, "df", "t")) - 1,
-        }
-    ).join(sets.select("u", "n", "m"), "u")
-    placed = ranked.withColumn("i", F.when(in_slice, c("m") - c("k") + c("r")).otherwise(c("place")).cast("long"))
-    chosen = kept(placed.where(c("i") <= F.floor(c("n") * (b - a) / b)).select("t", "u", "n", "i"), "jaccard-prefix")
-    # Linked sets are of nearly one size, so each class stands in two bands and meets only those of its bands.
-    band = F.floor(F.log("n") / math.log(BAND * b / a))
-    banded = chosen.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("t", F.xxhash64("t", "band"))
-    sizes = banded.groupBy("t").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return kept(banded.join(sizes, "t"), "jaccard-postings")
-
-
-def _short(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    ends = links.select(c("u").alias("node")).union(links.select(c("v").alias("node"))).distinct()
+    parts = kept(connected_components(ends, links.select(c("u").alias("a"), c("v").alias("b"))), "jaccard-parts")
+    marked = rows.join(parts.select(c("node").alias("u"), "component"), "u", "left").withColumn("label", F.coalesce("component", "u")).drop("component")
+    mixed = marked.groupBy("g").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where(c("l1") != c("l2"))
+    return kept(marked.join(mixed.select("g"), "g", "left_semi"), "jaccard-mixed")
 
 
 def _lists(arrays: list[np.ndarray], kind: type = np.int64) -> pa.Array:
@@ -159,103 +164,98 @@ def _long_enough(n: str, m: str, threshold: tuple[int, int]):
     return b * F.least(n, m) >= a * F.greatest(n, m)
 
 
-def _split_groups(rows: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
-    """One level of splitting for rows (g, u, label, n, parent) and the sets of their parents' members.
+def _sketch(tokens: np.ndarray) -> bytes:
+    cell = (mix(tokens ^ np.uint64(DEAL)) % np.uint64(CELLS)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=CELLS), 127).astype(np.int8).tobytes()
+
 
-    A set (g, u, p, rem, add) is a centre of p tokens of its group without `rem` and with `add`. Returns pairs to
-    verify, proven links, and the rows and sets of the next level (None after the last).
+def _near_in_groups(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (u, v) of different labels in groups (g, u, label, n, sketch) that sizes and sketches allow to be linked.
 
-    Small groups give all pairs of different labels. In a large group the centre moves to the tokens that most
-    members have. With cost c = b |rem| + a |add|, two members with s common differences are linked exactly when
-    c1 + c2 <= (b - a) p + (a + b) s. So the member with the least cost is linked to all whose cost allows it without any
-    common difference, and these need no pairs among themselves. Each other member, the open ones, can only be
-    linked to members with which it shares s >= 1 differences; prefixes of the differences, by that bound,
-    make the groups of the next level. A difference is in half the members at most, so groups halve each time.
-    Only large groups take sets along.
+    Rows come sorted by group, each is compared with the ones behind it in arrays, and other pairs never become rows.
+    A task holds one batch and the group that goes on from the one before; groups have `SMALL` members at most.
     """
-    c = F.col
     a, b = threshold
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l1"), F.max("label").alias("l2"))
-    sized = kept(rows.join(sizes.where(c("l1") != c("l2")).select("g", "size"), "g"), "jaccard-groups")
-    small = sized.where(c("size") <= SMALL).select("g", "u", "label", "n")
-    other = small.select("g", c("u").alias("v"), c("label").alias("label2"), c("n").alias("m"))
-    pairs = small.join(other, "g").where((c("u") < c("v")) & (c("label") != c("label2")) & _long_enough("n", "m", threshold)).select("u", "v")
-    pairs = kept(pairs.distinct(), "jaccard-pairs")
-    large = sized.where(c("size") > SMALL)
-    if large.isEmpty():
-        return pairs, pairs.limit(0), None, None
-    large = kept(large.join(sets.withColumnRenamed("g", "parent"), ["parent", "u"]), "jaccard-large")
-    marks = F.concat(
-        F.transform("rem", lambda t: F.struct(t.alias("t"), F.lit(-1).alias("way"))),
-        F.transform("add", lambda t: F.struct(t.alias("t"), F.lit(1).alias("way"))),
-    )
-    common = (
-        large.select("g", F.explode(marks).alias("m"))
-        .groupBy("g", "m.t", "m.way")
-        .agg(F.count(F.lit(1)).alias("k"))
-        .join(sizes.select("g", "size"), "g")
-        .where(2 * c("k") > c("size"))
-        .groupBy("g")
-        .agg(
-            F.collect_list(F.when(c("way") < 0, c("t"))).alias("lost"),
-            F.collect_list(F.when(c("way") > 0, c("t"))).alias("won"),
-        )
-    )
-    none = F.array().cast("array<long>")
-    moved = (
-        large.join(kept(common, "jaccard-common"), "g", "left")
-        .withColumns({"lost": F.coalesce("lost", none), "won": F.coalesce("won", none)})
-        .select(
-            "g", "u", "label", "n",
-            (c("p") + F.size("won") - F.size("lost")).alias("p"),
-            F.concat(F.array_except("rem", "lost"), F.array_except("won", "add")).alias("rem"),
-            F.concat(F.array_except("add", "won"), F.array_except("lost", "rem")).alias("add"),
-        )
-        .withColumn("cost", b * F.size("rem") + a * F.size("add"))
-    )
-    moved = kept(moved, "jaccard-moved")
-    best = moved.groupBy("g").agg(F.min(F.struct("cost", "u", "label")).alias("b")).select(
-        "g", c("b.cost").alias("least"), c("b.u").alias("centre"), c("b.label").alias("centre_label")
-    )
-    met = moved.join(best, "g").withColumn("open", (c("u") != c("centre")) & (c("cost") + c("least") > (b - a) * c("p")))
-    links = kept(met.where(~c("open") & (c("u") != c("centre"))).select("u", c("centre").alias("v")), "jaccard-proven")
-    opened = met.where("open").groupBy("g").agg(F.min("cost").alias("least_open"))
-    meeting = met.join(opened, "g").withColumn(
-        "needed", F.greatest(F.lit(1), F.ceil((c("cost") + F.when(c("open"), c("least")).otherwise(c("least_open")) - (b - a) * c("p")) / (a + b)))
-    )
-    marked = F.array_sort(
-        F.concat(F.transform("rem", lambda t: F.xxhash64(t, F.lit(-1))), F.transform("add", lambda t: F.xxhash64(t, F.lit(1))))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not part.num_rows:
+                continue
+            g, u, label, n = (part[k].to_numpy().astype(np.int64) for k in ("g", "u", "label", "n"))
+            counts = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.int8).reshape(len(g), CELLS)
+            new = len(g) - batch.num_rows
+            for step in range(1, SMALL):
+                j = np.arange(max(step, new), len(g))
+                i = j - step
+                some = (g[i] == g[j]) & (label[i] != label[j]) & (b * np.minimum(n[i], n[j]) >= a * np.maximum(n[i], n[j]))
+                i, j = i[some], j[some]
+                for at in range(0, len(i), 8_192):
+                    x, y = i[at : at + 8_192], j[at : at + 8_192]
+                    apart = np.abs(counts[x].astype(np.int16) - counts[y]).sum(axis=1, dtype=np.int64)
+                    near = (a + b) * apart <= (b - a) * (n[x] + n[y])
+                    x, y = u[x[near]], u[y[near]]
+                    if len(x):
+                        yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
+            held = part.slice(int(np.searchsorted(g, g[-1])))
+
+    return rows.select("g", "u", "label", "n", "sketch").repartition("g").sortWithinPartitions("g").mapInArrow(compare, "u long, v long")
+
+
+def _near_in_blocks(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The same for groups of any size: two blocks of a group meet in a task, which holds no more of it."""
+    a, b = threshold
+    c = F.col
+    last = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int") - 1
+    dealt = rows.join(rows.groupBy("g").agg(last.alias("last")), "g").withColumn("own", F.pmod(F.xxhash64("u"), c("last") + 1).cast("int"))
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), c("last")))).withColumns(
+        {"one": F.least("own", "other"), "two": F.greatest("own", "other")}
     )
-    length = (F.size("rem") + F.size("add") - c("needed") + 1).cast("int")
-    following = meeting.select(
-        F.explode(F.when(length > 0, F.slice(marked, 1, F.greatest(length, F.lit(1))))).alias("mark"),
-        c("g").alias("parent"), "u", "n",
-        F.when(c("open"), c("label")).otherwise(c("centre_label")).alias("label"),
-    ).withColumn("g", F.xxhash64("parent", "mark"))
-    return pairs, links, following.drop("mark"), moved.select("g", "u", "p", "rem", "add")
-
-
-def _links_in_large_groups(families: DataFrame, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """Pairs to verify and proven links of families (g, u, toks)."""
-    none = F.array().cast("array<long>")
-    sets = families.select("g", "u", F.lit(0).alias("p"), none.alias("rem"), F.col("toks").alias("add"))
-    rows = families.select("g", "u", F.col("u").alias("label"), F.size("toks").alias("n"), F.col("g").alias("parent"))
-    pairs, links, rows, sets = _split_groups(rows, sets, threshold)
-    while rows is not None:
-        more, proven, rows, sets = _split_groups(rows, sets, threshold)
-        pairs, links = pairs.unionByName(more), links.unionByName(proven)
-    return pairs, links
+
+    def compare(part: pa.Table) -> pa.Table:
+        own, u, label, n = (part[k].to_numpy().astype(np.int64) for k in ("own", "u", "label", "n"))
+        counts = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.int8).reshape(len(u), CELLS).astype(np.int16)
+        pairs = []
+        ones, twos = (np.flatnonzero(own == part[k][0].as_py()) for k in ("one", "two"))
+        few = np.ascontiguousarray(counts[:, : CELLS // 4])
+        for x in ones:
+            y = twos[(label[twos] != label[x]) & (b * np.minimum(n[twos], n[x]) >= a * np.maximum(n[twos], n[x]))]
+            for cells in (few, counts):
+                apart = np.abs(cells[y] - cells[x]).sum(axis=1, dtype=np.int64)
+                y = y[(a + b) * apart <= (b - a) * (n[x] + n[y])]
+            pairs.append((np.full(len(y), u[x]), u[y]))
+        x, y = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.table({"u": np.minimum(x, y), "v": np.maximum(x, y)})
+
+    return sent.select("g", "one", "two", "own", "u", "label", "n", "sketch").groupBy("g", "one", "two").applyInArrow(compare, "u long, v long")
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) that their sketches allow to be linked."""
+    a, b = threshold
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.int8).reshape(-1, CELLS) for k in ("sketch", "other"))
+            apart = np.abs(left.astype(np.int16) - right).sum(axis=1, dtype=np.int64)
+            both = batch.column("n").to_numpy().astype(np.int64) + batch.column("m").to_numpy()
+            yield batch.select(["u", "v"]).filter(pa.array((a + b) * apart <= (b - a) * both))
+
+    c = F.col
+    joined = pairs.join(sketches, "u").join(sketches.select(c("u").alias("v"), c("n").alias("m"), c("sketch").alias("other")), "v")
+    return joined.select("u", "v", "n", "m", "sketch", "other").mapInArrow(near, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of `docs` at b * |A & B| >= a * |A | B|, (a, b) the threshold.
 
     A and B are sets of `shingle` words in a row.
-    Texts with equal sets form a class. Classes that share a prefix token under the first order in a small group,
-    and prefix tokens under all other orders, become candidates and are verified on whole sets. Larger groups
-    are joined to families and split by what their members differ in (`_split_groups`), without all pairs; every
-    link outside a proven component is still found. component_id is the smallest doc_id reachable; null ids
-    count as none. Null, empty and word-free texts have no shingle and are linked with nothing; equal rows
+    Texts with equal sets form a class. Classes that share a signature form a group (`signatures`); one member of each is compared
+    with the others, on whole sets, and the components of the links found so far decide which groups still have members to
+    compare. What is left after some rounds is joined to families, whose members of different components are compared by
+    sketches, in arrays and block by block; only pairs that a sketch allows become rows and are verified. component_id is the
+    smallest doc_id reachable; null ids count as none. Null, empty and word-free texts have no shingle and are linked with nothing; equal rows
     stay separate and share a component; an empty table gives an empty result.
     """
     c = F.col
@@ -265,42 +265,36 @@ def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, threshold: tu
     docs = docs.select("doc_id", "text")
     described = kept(_described(docs, shingle, threshold), "jaccard-documents")
     sets = kept(
-        described.where("n > 0").groupBy("f1", "f2", "n", "m").agg(F.min("doc_id").alias("first_id")).withColumnRenamed("f1", "u"),
+        described.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first_id")).withColumnRenamed("f1", "u"),
         "jaccard-classes",
     )
-    held = _postings(docs, sets, shingle, threshold)
-    warm = held.where(c("size") <= SMALL).select("t", "u", "n", "i")
-    near = warm.join(warm.select("t", c("u").alias("v"), c("n").alias("m"), c("i").alias("j")), "t")
-    # A linked pair's first common token leaves enough tokens behind it on both sides.
-    enough = (a + b) * F.least(c("n") - c("i"), c("m") - c("j")) >= a * (c("n") + c("m"))
-    near = kept(near.where((c("u") < c("v")) & _long_enough("n", "m", threshold) & enough).select("u", "v").distinct(), "jaccard-near")
-    ends = near.select("u").union(near.select("v")).distinct()
-    others = described.join(ends, c("f1") == c("u")).groupBy("u").agg(*(F.first(p).alias(p) for p in FURTHER))
-    others = kept(others, "jaccard-prefixes")
-    candidates = near.join(others, "u").join(others.select(c("u").alias("v"), *(c(p).alias(f"v_{p}") for p in FURTHER)), "v")
-    for p in FURTHER:
-        candidates = candidates.where(F.arrays_overlap(p, f"v_{p}"))
-    candidates = kept(candidates.select("u", "v"), "jaccard-candidates")
-
-    # A family holds the members of large groups of one band, as far as they hang together.
-    hot = held.where(c("size") > SMALL).withColumn("node", F.xxhash64("u", "band"))
-    hot = kept(hot.join(hot.groupBy("t").agg(F.min("node").alias("lowest")), "t").select("node", "u", "lowest").distinct(), "jaccard-hot")
-    members = hot.select("node", "u").distinct()
-    family_of = kept(connected_components(members, hot.select(c("node").alias("a"), c("lowest").alias("b"))), "jaccard-families")
-    needed = candidates.select("u").union(candidates.select("v")).union(family_of.select("u")).distinct()
-    needed = kept(sets.select("u", "first_id").join(needed, "u"), "jaccard-needed")
+    held = _groups(described)
+    needed = kept(sets.select("u", "first_id").join(held.select("u").distinct(), "u"), "jaccard-needed")
     tokens = kept(_tokens_of(docs, needed, shingle), "jaccard-tokens")
-    families = family_of.select("u", c("component").alias("g")).join(tokens.select("u", "toks"), "u")
-    more, proven = _links_in_large_groups(families, threshold)
-    candidates = candidates.union(more).distinct()
-    verified = (
-        candidates.join(tokens.select("u", "toks"), "u")
-        .join(tokens.select(c("u").alias("v"), c("toks").alias("other")), "v")
-        .withColumn("both", F.size(F.array_intersect("toks", "other")))
-        .where(b * c("both") >= a * (F.size("toks") + F.size("other") - c("both")))
-        .select("u", "v")
-    )
-    links = kept(verified.union(proven).distinct(), "jaccard-links")
+    sketches = tokens.select("u", "n", "sketch")
+    left = held.withColumn("label", c("u"))
+    links = tokens.select("u", c("u").alias("v")).limit(0)
+    for turn in range(ROUNDS):
+        # The same few classes come first in most of their groups, so a pair comes up in many groups and is compared once.
+        first = left.groupBy("g").agg(F.min(F.struct(F.xxhash64("u", F.lit(turn)).alias("h"), "u", "n", "label")).alias("p"))
+        met = kept(left.join(first, "g").where(c("u") != c("p.u")), "jaccard-met")
+        pairs = met.where((c("label") != c("p.label")) & _long_enough("n", "p.n", threshold))
+        pairs = pairs.select(F.least("u", "p.u").alias("u"), F.greatest("u", "p.u").alias("v")).distinct()
+        pairs = kept(_possible(pairs, sketches, threshold), "jaccard-pairs")
+        links = kept(links.union(_verified(pairs, tokens, threshold)), "jaccard-links")
+        # The first one is through with its group.
+        left = _labelled(met.select("g", "u", "n"), links)
+
+    # A family holds the members of the groups left in one band, as far as they hang together.
+    nodes = left.select("g", "u", "label", F.xxhash64("u", c("g").bitwiseAND(F.lit(1))).alias("node"))
+    hot = kept(nodes.join(nodes.groupBy("g").agg(F.min("node").alias("lowest")), "g").select("node", "u", "label", "lowest").distinct(), "jaccard-hot")
+    members = hot.select("node", "u", "label").distinct()
+    family_of = kept(connected_components(members, hot.select(c("node").alias("a"), c("lowest").alias("b"))), "jaccard-families")
+    families = family_of.select("u", "label", c("component").alias("g")).join(sketches, "u")
+    families = kept(families.join(family_of.groupBy(c("component").alias("g")).agg(F.count(F.lit(1)).alias("size")), "g"), "jaccard-sketches")
+    candidates = _near_in_groups(families.where(c("size") <= SMALL), threshold).union(_near_in_blocks(families.where(c("size") > SMALL), threshold))
+    candidates = kept(candidates.distinct(), "jaccard-candidates")
+    links = kept(links.union(_verified(candidates, tokens, threshold)).distinct(), "jaccard-links")
     ends = links.select(c("u").alias("node")).union(links.select(c("v").alias("node"))).distinct()
     component = connected_components(ends, links.select(c("u").alias("a"), c("v").alias("b")))
     named = sets.select("u", "f2", "first_id").join(component.withColumnRenamed("node", "u"), "u", "left")
@@ -319,7 +313,7 @@ def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, threshold: tu
 
 
 def _tokens_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """u and the sorted tokens of one text of each wanted class (u, first_id)."""
+    """u, the sorted tokens and their sketch of one text of each wanted class (u, first_id)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -327,12 +321,12 @@ def _tokens_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             asked = part.column("u").to_pylist()
             same = [i for i, s in enumerate(sets) if fingerprint(s)[0] == asked[i]]
             yield pa.record_batch(
-                [pa.array([asked[i] for i in same], pa.int64()), _lists([sets[i].view(np.int64) for i in same])],
-                names=["u", "toks"],
+                [pa.array([asked[i] for i in same], pa.int64()), _lists([sets[i].view(np.int64) for i in same]), pa.array([_sketch(sets[i]) for i in same], pa.binary()), pa.array([len(sets[i]) for i in same], pa.int64())],
+                names=["u", "toks", "sketch", "n"],
             )
 
     asked = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first_id"])).select("u", text_or_empty().alias("text"))
-    return asked.mapInArrow(read, "u long, toks array<long>").dropDuplicates(["u"])
+    return asked.mapInArrow(read, "u long, toks array<long>, sketch binary, n long").dropDuplicates(["u"])
 
 
 def nearest_kept(docs: DataFrame, components: DataFrame) -> DataFrame:

@@ -51,3 +51,56 @@ def test_pairs_on_one_line_of_both_views(spark, block):
     got = {(r["o"], r["a"], r["b"], r["top_line"], r["side_line"]) for r in out.collect()}
     assert len(expected) > 10
     assert got <= expected and len(got) >= len(expected) - 2  # planes that are parallel are no edge
+
+
+def test_linked_sets_share_a_signature():
+    import numpy as np
+
+    from framelake.llm import jaccard
+
+    rng = np.random.default_rng(3)
+    for (a, b), n in [(t, n) for t in ((9, 10), (4, 5)) for n in (5, 10, 19, 20, 60, 333, 2_000)]:
+        for _ in range(30):
+            one = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            # The most that a set may lose, or lose and win, and still be linked.
+            lost = int(rng.integers(0, n * (b - a) // b + 1))
+            won = int(rng.integers(0, max(0, (b * (n - lost)) // a - n) + 1))
+            two = np.unique(np.concatenate([rng.permutation(one)[lost:], rng.integers(0, 2**63, won).astype(np.uint64)]))
+            both = len(np.intersect1d(one, two))
+            assert b * both >= a * (len(one) + len(two) - both)
+            values, counts = jaccard.signatures([one, np.zeros(0, np.uint64), two], (a, b))
+            assert counts[1] == 0 and len(values) == counts.sum()
+            assert set(values[: counts[0]]) & set(values[counts[0] :])
+
+
+def test_groups_that_go_on_in_the_next_batch(spark, monkeypatch):
+    import numpy as np
+
+    from framelake.llm import jaccard
+
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
+    rows, sets = [], {}
+    for u in range(24):
+        tokens = base[rng.permutation(200)[: 200 - u % 12]]
+        sets[u] = set(tokens.tolist())
+        for g in {u % 3, 7}:
+            rows.append((g, u, u % 5, len(tokens), bytearray(jaccard._sketch(tokens))))
+    df = spark.createDataFrame(rows, "g long, u long, label long, n long, sketch binary")
+    must = set()
+    for g, u, x, *_ in rows:
+        for h, v, y, *_ in rows:
+            both = len(sets[u] & sets[v])
+            if g == h and u < v and x != y and 10 * both >= 9 * (len(sets[u] | sets[v])):
+                must.add((u, v))
+    labels = {r[1]: r[2] for r in rows}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    try:
+        for found in (jaccard._near_in_groups(df, (9, 10)), jaccard._near_in_blocks(df, (9, 10))):
+            got = {(r["u"], r["v"]) for r in found.collect()}
+            assert must and must <= got
+            assert all(labels[u] != labels[v] for u, v in got)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
