@@ -69,6 +69,22 @@ def test_largest_overlap_does_not_depend_on_cells(spark, cell):
     assert got == {k: pytest.approx(v, abs=1e-9) for k, v in expected.items()}
 
 
+@pytest.mark.parametrize("block", [100, 2_048])
+def test_dense_polygons_are_compared_in_arrays(spark, block):
+    rng = random.Random(3)
+    shapes = [(i, turned(rng.random() * 90, rng.random() * 90, 4 + rng.random() * 20, 4 + rng.random() * 9, rng.random() * 3, i % 2)) for i in range(700)]
+    shapes += [(700 + i, [(x, y), (x + 9, y), (x, y + 9)]) for i, (x, y) in enumerate([(0.0, 0.0), (40.0, 40.0), (400.0, 400.0)])]
+    df = spark.createDataFrame(shapes, f"i int, polygon {POINTS}").withColumn("k", F.lit("a"))
+    some = df.filter("i % 60 = 0 or i >= 700").select(F.col("i").alias("j"), F.col("polygon").alias("p"))
+    expected = some.join(df, F.col("i") != F.col("j")).groupBy("j").agg(F.max(G.polygon_overlap(F.col("p"), F.col("polygon"))).alias("o"))
+    found = boxes.max_polygon_overlap(df, ["k"], cell=64.0, block=block)
+    got = {r["i"]: r["overlap"] for r in found.collect()}
+    assert len(got) == 703 and got[702] == 0.0
+    assert {r["j"]: r["o"] for r in expected.collect()} == {i: pytest.approx(got[i], abs=1e-9) for i in got if i % 60 == 0 or i >= 700}
+    # Pairs are no rows: polygons are joined with their own results only.
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_every_metadata_file_decides(spark, tmp_path):
     for i in range(12):
         folder = tmp_path / "batch-01" / ("cone" if i % 2 else "cube") / f"s{i}"
