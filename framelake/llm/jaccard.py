@@ -26,6 +26,8 @@ SPARE = 4
 ROUNDS = 2
 #: Families up to this size are compared row by row of a sorted stream; larger ones block by block.
 SMALL, BLOCK = 48, 2_048
+#: Bits of the map by which texts are told that are not wanted, and 64-bit words of it in a row: 2 MB in all, at any size of the input.
+BITS, ROW_WORDS = 1 << 24, 128
 #: Tokens of a set are counted in so many cells; two sets differ in at least as many tokens as their counts do.
 CELLS = 256
 
@@ -312,6 +314,27 @@ def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, threshold: tu
     )
 
 
+def _perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id may be a first_id of `wanted`, all that are and few others.
+
+    A map of bits set by the hashes of the wanted ids goes to all tasks. It has one size, so it sifts less the more ids
+    there are, and no wanted row is ever lost: the join behind it decides.
+    """
+
+    def placed(rows: DataFrame, key: str) -> DataFrame:
+        bit = F.pmod(F.xxhash64(key), F.lit(BITS))
+        return rows.withColumns(
+            {"__row": F.floor(bit / (64 * ROW_WORDS)), "__word": (F.floor(bit / 64) % ROW_WORDS).cast("int"), "__bit": (bit % 64).cast("int")}
+        )
+
+    words = placed(wanted.select("first_id"), "first_id").groupBy("__row", "__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__mask"))
+    packed = words.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("__word", "__mask"))).alias("__masks")).select(
+        "__row", F.transform(F.sequence(F.lit(0), F.lit(ROW_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("__masks", i), F.lit(0).cast("long"))).alias("__masks")
+    )
+    asked = placed(docs, "doc_id").join(F.broadcast(packed), "__row")
+    return asked.where(F.expr("getbit(get(__masks, __word), __bit) = 1")).select(*docs.columns)
+
+
 def _tokens_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """u, the sorted tokens and their sketch of one text of each wanted class (u, first_id)."""
 
@@ -325,7 +348,9 @@ def _tokens_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 names=["u", "toks", "sketch", "n"],
             )
 
-    asked = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first_id"])).select("u", text_or_empty().alias("text"))
+    # Texts are large: without the sieve all of them would be shuffled to meet the few wanted ids.
+    some = _perhaps(docs, wanted)
+    asked = some.join(wanted, some["doc_id"].eqNullSafe(wanted["first_id"])).select("u", text_or_empty().alias("text"))
     return asked.mapInArrow(read, "u long, toks array<long>, sketch binary, n long").dropDuplicates(["u"])
 
 

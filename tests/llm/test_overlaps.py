@@ -129,6 +129,19 @@ def test_pipeline_links_at_five_words_and_four_fifths(make_docs, spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, make_docs(rows), "").collect()} == expected
 
 
+def test_few_texts_are_shuffled_for_their_tokens(make_docs, spark):
+    rows = [(i, f"text {i}") for i in range(4_000)] + [(None, "no id")]
+    docs = make_docs(rows).select("doc_id", "text")
+    wanted = spark.createDataFrame([(10 * i, 10 * i) for i in range(40)] + [(-1, None)], "u long, first_id long")
+    some = jaccard._perhaps(docs, wanted)
+    kept = {r["doc_id"] for r in some.collect()}
+    assert {None, *range(0, 400, 10)} <= kept and len(kept) < 60
+    # The texts reach the sieve without an exchange: only the map's rows are shuffled and sent.
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert jaccard._perhaps(docs, wanted.limit(0)).count() == 0
+
+
 def test_components_odd_tables(odd_docs, make_docs):
     assert jaccard.jaccard_components(odd_docs.withColumnRenamed("lang", "n_shingles")).count() == 8
     assert jaccard.jaccard_components(make_docs([])).count() == 0
