@@ -42,12 +42,19 @@ class Rule:
     out: str
 
 
-def _walk(rule: Rule, key: Any, held: Any, events: Iterable[tuple]) -> tuple[Any, pd.DataFrame]:
+#: Rows of several keys that go out together; a table for each key would cost more than its rows.
+ROWS_OUT = 20_000
+
+
+def _walk(rule: Rule, key: Any, held: Any, events: Iterable[tuple]) -> tuple[Any, list[tuple]]:
     rows: list[tuple] = []
     for event in events:
         held = rule.step(held, event, lambda *values: rows.append((key, *values)))
-    names = ["device_id", *(part.split()[0] for part in rule.out.split(", "))]
-    return held, pd.DataFrame(rows, columns=names)
+    return held, rows
+
+
+def _table(rule: Rule, rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["device_id", *(part.split()[0] for part in rule.out.split(", "))])
 
 
 def _in_order(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState, rule: Rule) -> Iterator[pd.DataFrame]:
@@ -61,7 +68,8 @@ def _in_order(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState, ru
     state.update((pickle.dumps((held, waiting[n:])),))
     if len(waiting) > n:
         state.setTimeoutTimestamp(max(passed + 1, waiting[n][0] // 1_000_000))
-    yield rows
+    if rows:
+        yield _table(rule, rows)
 
 
 def ordered(events: DataFrame, rule: Rule, *, delay: str = "1 hour") -> DataFrame:
@@ -73,16 +81,23 @@ def ordered(events: DataFrame, rule: Rule, *, delay: str = "1 hour") -> DataFram
     )
 
 
+def _finished(batches: Iterable[pd.DataFrame], rule: Rule) -> Iterator[pd.DataFrame]:
+    rows: list[tuple] = []
+    for batch in batches:
+        for key, blob in zip(batch["device_id"].tolist(), batch["held"]):
+            rows += _walk(rule, key, *pickle.loads(blob))[1]
+            if len(rows) >= ROWS_OUT:
+                yield _table(rule, rows)
+                rows = []
+    if rows:
+        yield _table(rule, rows)
+
+
 def still_waiting(state: DataFrame, rule: Rule, kind: str) -> DataFrame:
     """Rows of the events that wait in the state of an ended stream, as read from its checkpoint."""
 
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, blob in zip(batch["device_id"].tolist(), batch["held"]):
-                yield _walk(rule, key, *pickle.loads(blob))[1]
-
     kept = state.select(F.col("key.*"), F.col("value.groupState.held").alias("held")).toDF("device_id", "held")
-    return kept.mapInPandas(finish, f"device_id {kind}, {rule.out}")
+    return kept.mapInPandas(partial(_finished, rule=rule), f"device_id {kind}, {rule.out}")
 
 
 def replay(events: DataFrame, rule: Rule, name: str, *, delay: str = "1 hour") -> DataFrame:

@@ -128,3 +128,17 @@ def test_captures_stop_at_the_target(spark):
 def test_newest_frame_only(spark):
     out = run_to_table(T.latest_only(stream(spark, [("d", min(i, 2), 9 - i, "frame") for i in range(4)])), "t")
     assert [(r["ns"] - DAY, r["seq"]) for r in out.collect()] == [(2, 7)]
+
+
+def test_rows_of_many_keys_leave_the_state_together():
+    import pickle
+
+    import pandas as pd
+
+    from framelake.streaming import stateful
+
+    rule = stateful.capture_rule(target=2)
+    held = [pickle.dumps((0, [(10, 1, True), (20, 2, False), (30, 3, True)])) for _ in range(50)]
+    tables = list(stateful._finished([pd.DataFrame({"device_id": range(50), "held": held})], rule))
+    assert len(tables) == 1
+    assert [tuple(r) for r in tables[0].itertuples(index=False)] == [(k, ns, seq, i) for k in range(50) for ns, seq, i in ((10, 1, 1), (30, 3, 2))]
