@@ -126,10 +126,11 @@ def _described(docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> Dat
 def _groups(described: DataFrame) -> DataFrame:
     """(g, u, n): the signatures that more than one class has, with their classes."""
     c = F.col
-    # One shuffle by signature serves the counts and the rows.
-    rows = described.where("n > 0").select(F.explode("signatures").alias("g"), c("f1").alias("u"), "n").repartition("g")
-    shared = rows.groupBy("g").agg(F.min("u").alias("a"), F.max("u").alias("b")).where(c("a") != c("b"))
-    return kept(rows.join(shared.select("g"), "g", "left_semi").distinct(), "jaccard-groups")
+    rows = described.where("n > 0").select(F.explode("signatures").alias("g"), c("f1").alias("u"), "n")
+    # A window has both in one shuffle; counts that are joined back take a second one of all signatures.
+    same = Window.partitionBy("g")
+    shared = rows.withColumns({"a": F.min("u").over(same), "b": F.max("u").over(same)}).where(c("a") != c("b"))
+    return kept(shared.select("g", "u", "n").distinct(), "jaccard-groups")
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, threshold: tuple[int, int]) -> DataFrame:
