@@ -246,11 +246,53 @@ def depth_spread(df: DataFrame, keys: Sequence[str], depth: str = "z") -> DataFr
     ).join(histogram, keys)
 
 
-def object_features(df: DataFrame, keys: Sequence[str], *, minimum: int = 40) -> DataFrame:
-    """Extents along the main axes, shape ratios, flatness and depth spread of each object."""
-    keys = list(keys)
-    sums = moments(df, keys).filter(F.col("n") >= minimum)
-    axes = principal_axes(sums, keys)
+#: Points of an object up to which its quantiles are read from sorted arrays.
+FEW = 65_536
+SPREAD = ("depth_range", "depth_iqr", *[f"hist_{i}" for i in range(5)])
+
+
+def _between(values: np.ndarray, q: float) -> float:
+    """The same linear interpolation as that of `quantiles`, of sorted values."""
+    place = q * (len(values) - 1)
+    low = int(np.floor(place))
+    high = min(low + 1, len(values) - 1)
+    return values[low] + (values[high] - values[low]) * (place - low)
+
+
+def _known(values: np.ndarray) -> np.ndarray:
+    return np.sort(values[~np.isnan(values)])
+
+
+def _small_spans(df: DataFrame, axes: DataFrame, keys: list[str]) -> DataFrame:
+    """Extents along the main axes and depth spread of objects that fit into a task's arrays: one shuffle of the points."""
+    names = [*keys, "e", *SPREAD]
+
+    def measure(cloud: pa.Table, axis: pa.Table) -> pa.Table:
+        schema = pa.schema([*(axis.schema.field(k) for k in keys), pa.field("e", pa.list_(pa.float64())), *(pa.field(n, pa.float64()) for n in SPREAD)])
+        if not cloud.num_rows or not axis.num_rows:
+            return schema.empty_table()
+        # A null becomes NaN; both have no place among the quantiles.
+        point = [cloud[c].cast(pa.float64()).to_numpy().astype(float) for c in AXES]
+        row = {n: axis[n][0].as_py() for n in axis.column_names}
+        along = [sum(((point[i] - row[f"m{i}"]) * row[f"a{k}{i}"] for i in (1, 2)), (point[0] - row["m0"]) * row[f"a{k}0"]) for k in range(3)]
+        along, depth = [_known(v) for v in along], _known(point[2])
+        if not all(map(len, along)) or not len(depth):
+            return schema.empty_table()
+        extents = sorted((max(_between(v, 0.975) - _between(v, 0.025), 1e-3) for v in along), reverse=True)
+        p02, p25, p75, p98 = (_between(depth, q) for q in (0.02, 0.25, 0.75, 0.98))
+        place = np.where(np.isnan(point[2]), 1.0, np.clip((point[2] - p02) / max(p98 - p02, 1.0), 0.0, 1.0))
+        cell = np.minimum(np.floor(place * 5), 4).astype(int)
+        shares = np.bincount(cell, minlength=5) / len(cell)
+        found = [extents, p98 - p02, p75 - p25, *shares.tolist()]
+        return pa.table([*(axis[k].slice(0, 1) for k in keys), *(pa.array([f], schema.field(n).type) for n, f in zip(names[len(keys) :], found))], schema=schema)
+
+    near = df.select(*keys, *AXES).join(axes.select(*keys), keys, "left_semi")
+    schema = f"{_ddl(df, keys)}, e array<double>, {', '.join(f'{n} double' for n in SPREAD)}"
+    return near.groupBy(*keys).cogroup(axes.groupBy(*keys)).applyInArrow(measure, schema)
+
+
+def _large_spans(df: DataFrame, axes: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for objects of any size, whose points are ordered by several tasks."""
     local = df.join(axes, keys)
     place = [
         geometry.dot([F.col(c) - F.col(f"m{i}") for i, c in enumerate(AXES)], [F.col(f"a{k}{i}") for i in range(3)]) for k in range(3)
@@ -262,14 +304,28 @@ def object_features(df: DataFrame, keys: Sequence[str], *, minimum: int = 40) ->
     extents = spans.groupBy(*keys).agg(
         F.reverse(F.array_sort(F.collect_list(F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-3))))).alias("e")
     )
+    spread = depth_spread(df.join(axes.select(*keys), keys, "left_semi"), keys)
+    return extents.join(spread, keys).select(*keys, "e", *SPREAD)
+
+
+def object_features(df: DataFrame, keys: Sequence[str], *, minimum: int = 40, few: int = FEW) -> DataFrame:
+    """Extents along the main axes, shape ratios, flatness and depth spread of each object.
+
+    Objects of up to ``few`` points are measured in arrays, one object at a time, so their points are shuffled once and never
+    aggregated as values; the others go through quantiles that several tasks share.
+    """
+    keys = list(keys)
+    sums = moments(df, keys).filter(F.col("n") >= minimum)
+    axes = principal_axes(sums, keys)
+    spans = _small_spans(df, axes.filter(F.col("n") <= few), keys).unionByName(_large_spans(df, axes.filter(F.col("n") > few), keys))
     e = F.col("e")
-    shape = axes.join(extents, keys).select(
+    flat = planes_from_moments(sums, keys).select(*keys, F.col("rmse").alias("plane_rmse"))
+    return axes.join(spans, keys).join(flat, keys).select(
         *keys, F.col("n").alias("points"), *[e[i].alias(f"extent_{i + 1}") for i in range(3)],
         (e[1] / e[0]).alias("extent_ratio_2"), (e[2] / e[0]).alias("extent_ratio_3"),
         (F.col("e1") / F.col("e0")).alias("eigen_ratio_2"), (F.col("e2") / F.col("e0")).alias("eigen_ratio_3"),
+        "plane_rmse", *SPREAD,
     )
-    flat = planes_from_moments(sums, keys).select(*keys, F.col("rmse").alias("plane_rmse"))
-    return shape.join(flat, keys).join(depth_spread(df, keys), keys)
 
 
 def principal_angles(df: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:

@@ -23,3 +23,16 @@ def test_signatures_are_shuffled_once(spark, monkeypatch):
     assert {tuple(r) for r in groups.collect()} == {(6, 10, 2), (6, 20, 3)}
     assert groups.count() == 2
     assert plan_of(groups).split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_large_and_small_objects_have_the_same_features(spark):
+    from framelake.operators import points
+
+    rows = [(k, float(i * i % 17), float(i * 7 % 11) / 3, float("nan") if i == 5 and k == 2 else float(i % 13 + k * i)) for k in (1, 3) for i in range(40 + 5 * k)]
+    rows += [(4, 1.0, 2.0, 3.0)] * 5 + [(None, float(i), 1.0, 2.0) for i in range(60)]
+    cloud = spark.createDataFrame(rows, "object_id long, x double, y double, z double")
+    small, large, both = (
+        sorted(tuple(round(v, 9) for v in r) for r in points.object_features(cloud, ["object_id"], few=few).collect()) for few in (1000, 1, 50)
+    )
+    assert [r[0] for r in small] == [1, 3]
+    assert small == large == both
