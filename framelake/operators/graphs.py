@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from framelake.functions.geometry import touches_border
 from framelake.functions.numeric import clip, ratio
-from framelake.operators.grids import neighbours
 from framelake.plans.boxes import with_cells
 from framelake.plans.greedy import greedy_keep
 from framelake.plans.quantiles import quantiles
@@ -67,20 +66,101 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def grid_components(cells: DataFrame, keys: Sequence[str], *, diagonal: bool = False) -> DataFrame:
-    """Components of occupied cells (keys, u, v) of each grid; the smallest (keys, v, u) names one."""
-    keys = list(keys)
-    node = F.struct(*keys, "v", "u")
-    offsets = {"right": (1, 0), "down": (0, 1)} | ({"dr": (1, 1), "dl": (-1, 1)} if diagonal else {})
-    seen = neighbours(cells.withColumn("__one", F.lit(1)), keys, offsets, "__one")
-    steps = F.array(*[
-        F.when(F.col(n).isNotNull(), F.struct(*keys, (F.col("v") + dv).alias("v"), (F.col("u") + du).alias("u")))
-        for n, (du, dv) in offsets.items()
-    ])
-    edges = seen.select(node.alias("a"), F.explode(F.filter(steps, lambda s: s.isNotNull())).alias("b"))
-    nodes = cells.select(node.alias("node"))
-    found = connected_components(nodes, edges)
-    return found.select("node.*", F.struct(F.col("component.v").alias("v"), F.col("component.u").alias("u")).alias("component"))
+#: Sides of a tile whose cells are labelled in one array, and edges of a block that are contracted in one.
+TILE, EDGES = 64, 65_536
+
+
+def _smallest(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node reachable of each of the nodes 0, 1, ... over the edges a, b."""
+    root = np.arange(size)
+    while (root[a] != root[b]).any():
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def _contracted(edges: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Edges (keys, a, b) as rows (keys, node, root, whole): a block's nodes with the smallest they reach in it; whole: the key has one block."""
+    last = F.ceil(F.count(F.lit(1)) / block).cast("int") - 1
+    dealt = edges.select(*keys, "a", "b").join(edges.groupBy(*keys).agg(last.alias("__last")), keys)
+    dealt = dealt.withColumn("__i", F.pmod(F.xxhash64("a", "b"), F.col("__last") + 1).cast("int"))
+
+    def contract(part: pa.Table) -> pa.Table:
+        a, b = (part[n].to_numpy() for n in "ab")
+        node, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = _smallest(len(node), place[: len(a)], place[len(a) :])
+        repeated = pa.array(np.zeros(len(node), np.int64))
+        kind = part.schema.field("a").type
+        columns = {"node": pa.array(node, kind), "root": pa.array(node[root], kind), "whole": pa.array(np.full(len(node), part["__last"][0].as_py() == 0))}
+        return pa.table({**{k: part[k].take(repeated) for k in keys}, **columns})
+
+    ddl, kind = ", ".join(f"`{k}` {edges.schema[k].dataType.simpleString()}" for k in keys), edges.schema["a"].dataType.simpleString()
+    return dealt.groupBy(*keys, "__i").applyInArrow(contract, f"{ddl}, node {kind}, root {kind}, whole boolean")
+
+
+def components_in_groups(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], *, block: int = EDGES) -> DataFrame:
+    """Adds ``component``, the smallest node reachable, where no edge leaves its key (nodes: keys, node; edges: keys, a, b).
+
+    A key's edges are contracted block by block; only what is left of keys of several blocks goes through the rounds.
+    """
+    keys, c = list(keys), F.col
+    stars = truncate_lineage(_contracted(edges, keys, block))
+
+    def tagged(n: str) -> Column:
+        return F.struct(*keys, c(n).alias("node"))
+
+    rest = stars.filter(~c("whole"))
+    joined = connected_components(rest.select(tagged("node").alias("node")).distinct(), rest.select(tagged("node").alias("a"), tagged("root").alias("b")))
+    roots = stars.filter("whole").select(*keys, "node", c("root").alias("component")).unionByName(
+        joined.select("node.*", c("component.node").alias("component"))
+    )
+    return nodes.join(roots, [*keys, "node"], "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def grid_components(cells: DataFrame, keys: Sequence[str], *, diagonal: bool = False, tile: int = TILE) -> DataFrame:
+    """Components of occupied cells (keys, u, v) of each grid; the smallest (keys, v, u) names one.
+
+    Cells are labelled inside tiles, each in one array; only the labels that meet at a tile's edge go through the rounds.
+    """
+    keys, c = list(keys), F.col
+    offsets = [(1, 0), (0, 1), *([(1, 1), (-1, 1)] if diagonal else [])]
+    placed = cells.select(*keys, "u", "v", F.floor(c("u") / tile).alias("__tu"), F.floor(c("v") / tile).alias("__tv"))
+
+    def label(part: pa.Table) -> pa.Table:
+        u, v = (part[n].to_numpy().astype(np.int64) for n in "uv")
+        # Places in row-major order, with a margin for neighbours that are none.
+        place, row = np.unique((v % tile + 1) * (tile + 2) + u % tile + 1, return_inverse=True)
+        index = np.full((tile + 2) ** 2, -1)
+        index[place] = np.arange(len(place))
+        a, b = [], []
+        for du, dv in offsets:
+            seen = index[place + dv * (tile + 2) + du]
+            a.append(np.flatnonzero(seen >= 0))
+            b.append(seen[seen >= 0])
+        first = np.empty(len(place), np.int64)
+        first[row] = np.arange(len(row))
+        top = first[_smallest(len(place), np.concatenate(a), np.concatenate(b))][row]
+        out = part.select([*keys, "u", "v"])
+        return out.append_column("__u", out["u"].take(pa.array(top))).append_column("__v", out["v"].take(pa.array(top)))
+
+    def ddl(names: Sequence[str], prefix: str = "") -> str:
+        return ", ".join(f"`{prefix}{n}` {cells.schema[n].dataType.simpleString()}" for n in names)
+
+    known = c("u").isNotNull() & c("v").isNotNull()
+    local = placed.filter(known).groupBy(*keys, "__tu", "__tv").applyInArrow(label, f"{ddl([*keys, 'u', 'v'])}, {ddl(['u', 'v'], '__')}")
+    local = truncate_lineage(local.withColumn("__root", F.struct(*keys, c("__v").alias("v"), c("__u").alias("u"))).drop("__u", "__v"))
+    rim = local.filter((c("u") % tile).isin(0, tile - 1, -1, 1 - tile) | (c("v") % tile).isin(0, tile - 1, -1, 1 - tile))
+    at = F.struct(*keys, c("v").cast("long").alias("v"), c("u").cast("long").alias("u"))
+    steps = F.array(*[F.struct(*keys, (c("v") + dv).cast("long").alias("v"), (c("u") + du).cast("long").alias("u")) for du, dv in offsets])
+    sent = rim.select(c("__root").alias("a"), F.explode(steps).alias("at"))
+    edges = sent.join(rim.select(at.alias("at"), c("__root").alias("b")), "at").filter(c("a") != c("b")).select("a", "b").distinct()
+    found = connected_components(edges.select(c("a").alias("node")).union(edges.select(c("b").alias("node"))).distinct(), edges)
+    named = local.join(found.withColumnRenamed("node", "__root"), "__root", "left").withColumn("component", F.coalesce("component", "__root"))
+    alone = cells.filter(~known).select(*keys, "v", "u", F.struct("v", "u").alias("component"))
+    return named.select(*keys, "v", "u", F.struct(c("component.v").alias("v"), c("component.u").alias("u")).alias("component")).unionByName(alone)
 
 
 def component_stats(
@@ -148,15 +228,8 @@ def graph_features(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> D
         ratio(F.count_if(F.array_contains("sources", "SIDE_DEPTH_SUPPORTED")), F.count(F.lit(1))).alias("side_ratio"),
     )
 
-    def tagged(c: str) -> Column:
-        return F.struct(*keys, F.col(c).alias("node"))
-
-    parts = connected_components(
-        nodes.select(tagged("node").alias("node")), real.select(tagged("a").alias("a"), tagged("b").alias("b"))
-    )
-    pieces = parts.select(*[F.col(f"node.{k}").alias(k) for k in keys], "component").groupBy(*keys).agg(
-        F.count_distinct("component").alias("components")
-    )
+    parts = components_in_groups(nodes.select(*keys, "node"), real, keys)
+    pieces = parts.groupBy(*keys).agg(F.count_distinct("component").alias("components"))
     out = sizes.join(links, keys, "left").na.fill(0).join(pieces, keys, "left")
     return out.withColumn("cycles", F.greatest(F.lit(0), F.col("edges") - F.col("nodes") + F.col("components")))
 

@@ -36,3 +36,49 @@ def test_large_and_small_objects_have_the_same_features(spark):
     )
     assert [r[0] for r in small] == [1, 3]
     assert small == large == both
+
+
+def brute(cells, steps):
+    left, found = set(cells), {}
+    while left:
+        todo, part = [left.pop()], []
+        while todo:
+            v, u = todo.pop()
+            part.append((v, u))
+            for dv, du in steps:
+                if (v + dv, u + du) in left:
+                    left.discard((v + dv, u + du))
+                    todo.append((v + dv, u + du))
+        found.update(dict.fromkeys(part, min(part)))
+    return found
+
+
+def test_cells_are_labelled_in_tiles(spark, monkeypatch):
+    from framelake.operators import graphs
+
+    rows = [(k, u, v) for k in (0, 1) for u in range(-7, 9) for v in range(-6, 8) if (u * 7 + v * 13 + k * u * v) % 5 > 1]
+    cells = spark.createDataFrame(rows + rows[:3], "k long, u long, v int")
+    handed = []
+    rounds = graphs.connected_components
+    monkeypatch.setattr(graphs, "connected_components", lambda nodes, edges: handed.append(edges.count()) or rounds(nodes, edges))
+    four = [(0, 1), (1, 0), (0, -1), (-1, 0)]
+    for tile, diagonal in ((4, True), (64, False)):
+        steps = four + [(1, 1), (-1, -1), (1, -1), (-1, 1)] * diagonal
+        want = {k: brute([(v, u) for j, u, v in rows if j == k], steps) for k in (0, 1)}
+        got = graphs.grid_components(cells, ["k"], diagonal=diagonal, tile=tile).collect()
+        assert len(got) == len(rows) + 3
+        assert all(tuple(r.component) == want[r.k][(r.v, r.u)] for r in got)
+    assert 0 < handed[0] < len(rows)
+
+
+def test_edges_are_contracted_in_blocks(spark, monkeypatch):
+    from framelake.operators import graphs
+
+    rows = [("x", i, i * 3 % 41 + 1) for i in range(0, 60, 4)] + [("y", i, i + 1) for i in range(30) if i % 9]
+    edges = spark.createDataFrame([r for r in rows if r[1] != r[2]], "k string, a long, b long")
+    nodes = spark.createDataFrame([(k, n) for k in "xyz" for n in range(62)], "k string, node long")
+    whole = {(r.k, r.node, r.component) for r in graphs.components_in_groups(nodes, edges, ["k"]).collect()}
+    cut = {(r.k, r.node, r.component) for r in graphs.components_in_groups(nodes, edges, ["k"], block=4).collect()}
+    assert whole == cut and len(whole) == 186
+    assert {c for k, n, c in whole if k == "y" and 1 <= n <= 9} == {1}
+    assert {c for k, n, c in whole if k == "z"} == set(range(62))
