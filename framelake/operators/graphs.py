@@ -370,7 +370,48 @@ def _cells3(df: DataFrame, prefix: str, size: float, grow: bool) -> DataFrame:
     return out
 
 
-def augment_graph(nodes: DataFrame, added: DataFrame, edges: DataFrame, new_edges: DataFrame, keys: Sequence[str], *, merge: float = 2.0) -> tuple[DataFrame, DataFrame]:
+def _nearest_anchors(placed: DataFrame, anchors: DataFrame, keys: list[str], merge: float, block: int) -> DataFrame:
+    """keys, node, target: the nearest anchor each node reaches; of equal ones an existing one, then the smallest.
+
+    A cell's nodes meet its anchors in arrays, and pairs never become rows; a task holds one block of a cell's anchors.
+    """
+    cell = [*keys, "cu", "cv", "cw"]
+    for name in cell:
+        placed, anchors = placed.filter(F.col(name).isNotNull()), anchors.filter(F.col(name).isNotNull())
+    sizes = anchors.groupBy(*cell).agg((F.ceil(F.count(F.lit(1)) / block).cast("int") - 1).alias("__last"))
+    near = anchors.join(sizes, cell).withColumn("__i", F.pmod(F.xxhash64("k_node"), F.col("__last") + 1).cast("int")).drop("__last")
+    spots = placed.join(sizes, cell).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__last")))).drop("__last")
+    # Cells without a node have nothing to compare. Both sides descend from the same tables, so their columns are named anew.
+    near = near.join(placed.select(*cell).distinct(), cell, "left_semi")
+    spots, near = (df.select(*[F.col(n).alias(n) for n in df.columns]) for df in (spots, near))
+
+    def meet(spots: pa.Table, near: pa.Table) -> pa.Table:
+        near = near.sort_by([("late", "ascending"), ("k_node", "ascending")])
+        late, names = near["late"].to_numpy(), near["k_node"].to_numpy()
+        nodes = spots["node"].to_numpy()
+        ends = [near[f"k_{n}"].to_numpy() for n in "xyz"]
+        own = [spots[n].to_numpy() for n in "xyz"]
+        best, gaps = np.zeros(len(nodes), np.int64), np.full(len(nodes), np.inf)
+        step = max(1, 2**18 // max(len(names), 1))
+        for at in range(0, len(nodes) if len(names) else 0, step):
+            some = slice(at, at + step)
+            x, y, z = ((o[some, None] - e) ** 2 for o, e in zip(own, ends))
+            gap = np.sqrt(x + y + z)
+            gap[~((gap <= merge) & (~late | (names <= nodes[some, None])))] = np.inf
+            # The first of equal gaps comes first in the order of the anchors.
+            best[some] = gap.argmin(axis=1)
+            gaps[some] = gap.min(axis=1)
+        kept = np.flatnonzero(gaps < np.inf)
+        chosen = near.take(pa.array(best[kept]))
+        out = spots.select([*keys, "node"]).take(pa.array(kept)).append_column("__g", pa.array(gaps[kept]))
+        return out.append_column("late", chosen["late"]).append_column("k_node", chosen["k_node"])
+
+    ddl = ", ".join(f"`{k}` {placed.schema[k].dataType.simpleString()}" for k in [*keys, "node"])
+    found = spots.groupBy(*cell, "__i").cogroup(near.groupBy(*cell, "__i")).applyInArrow(meet, f"{ddl}, __g double, late boolean, k_node bigint")
+    return found.groupBy(*keys, "node").agg(F.min_by("k_node", F.struct("__g", "late", "k_node")).alias("target"))
+
+
+def augment_graph(nodes: DataFrame, added: DataFrame, edges: DataFrame, new_edges: DataFrame, keys: Sequence[str], *, merge: float = 2.0, block: int = 65_536) -> tuple[DataFrame, DataFrame]:
     """Adds measured nodes and edges to a graph; a node closer than ``merge`` to one is that node.
 
     nodes and added: keys, node (bigint, unique over both), x, y, z, sources. A new node joins the nearest
@@ -409,10 +450,7 @@ def augment_graph(nodes: DataFrame, added: DataFrame, edges: DataFrame, new_edge
         _cells3(kept.select(*keys, *[F.col(c).alias(f"k_{c}") for c in ("node", "x", "y", "z")]), "k_", merge, True).withColumn("late", F.lit(True))
     )
     placed = _cells3(added.select(*keys, "node", "x", "y", "z"), "", merge, False)
-    reachable = (gap() <= merge) & (~F.col("late") | (F.col("k_node") <= F.col("node")))
-    mapping = placed.join(anchors, [*keys, "cu", "cv", "cw"]).filter(reachable).groupBy(*keys, "node").agg(
-        F.min_by("k_node", F.struct(gap(), F.col("late"), F.col("k_node"))).alias("target")
-    )
+    mapping = _nearest_anchors(placed, anchors, keys, merge, block)
     mapped = added.join(mapping, [*keys, "node"]).select(*keys, F.col("target").alias("node"), "sources")
     positions = nodes.select(*keys, "node", "x", "y", "z").unionByName(kept.select(*keys, "node", "x", "y", "z"))
     sources = (

@@ -82,3 +82,18 @@ def test_edges_are_contracted_in_blocks(spark, monkeypatch):
     assert whole == cut and len(whole) == 186
     assert {c for k, n, c in whole if k == "y" and 1 <= n <= 9} == {1}
     assert {c for k, n, c in whole if k == "z"} == set(range(62))
+
+
+def test_nodes_meet_their_anchors_in_arrays(spark):
+    from framelake.operators import graphs
+
+    def cloud(sign, rows):
+        return spark.createDataFrame([("o", sign * i - (sign < 0), *p, [f"s{sign}"]) for i, p in enumerate(rows)], "k string, node long, x double, y double, z double, sources array<string>")
+
+    old = cloud(1, [(i * 3.0 % 11, i * 5.0 % 7, 0.0) for i in range(40)])
+    new = cloud(-1, [(i * 3.0 % 11 + i % 3, i * 5.0 % 7 + i % 2, float(i % 5)) for i in range(40)])
+    none = spark.createDataFrame([], "k string, a long, b long, sources array<string>")
+    out, _ = graphs.augment_graph(old, new, none, none, ["k"])
+    cut, _ = graphs.augment_graph(old, new, none, none, ["k"], block=3)
+    assert {r.node: tuple(r.sources) for r in out.collect()} == {r.node: tuple(r.sources) for r in cut.collect()}
+    assert "FlatMapCoGroupsInArrow" in plan_of(out) and out.count() > 40
