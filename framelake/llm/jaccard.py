@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.scratch import kept
+from framelake.llm.scratch import kept, noted, remove
 from framelake.llm.text import LOWER, SPACE, Texts, grams, mix, row_edges, slices, span_hashes, text_or_empty, texts, words
 from framelake.operators.graphs import connected_components
 
@@ -30,6 +31,10 @@ SMALL, BLOCK = 48, 2_048
 BITS, ROW_WORDS = 1 << 24, 128
 #: Tokens of a set are counted in so many cells; two sets differ in at least as many tokens as their counts do.
 CELLS = 256
+#: Bytes of text whose sets are made at once. Signatures lie in so many columns by their values, and one column at a time is shuffled.
+SLICE, SHARES = 1 << 19, 4
+#: Tokens that the pairs of one pass bring together: one part in so many of all tokens, or this many if that is more.
+PASS_SHARE, PASS_TOKENS = 4, 16_000_000
 
 
 def shingle_sets(source: Texts, n: int = SHINGLE) -> list[np.ndarray]:
@@ -98,52 +103,84 @@ def signatures(sets: list[np.ndarray], threshold: tuple[int, int] = THRESHOLD) -
     return np.concatenate(found)[by_owner].view(np.int64), np.bincount(owner, minlength=rows)
 
 
+def _shares(values: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
+    """The signatures of each text in columns: each value has its column."""
+    share, row = (values.view(np.uint64) >> np.uint64(1)) % np.uint64(SHARES), np.repeat(np.arange(len(counts)), counts)
+    out = []
+    for k in range(SHARES):
+        mine = share == k
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row[mine], minlength=len(counts)))]).astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[mine])))
+    return out
+
+
 def _described(docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
-    """doc_id, n, f1, f2 and the signatures of each text."""
+    """doc_id, n, f1, f2, the sketch of each text and the columns s0, s1, ... of its signatures."""
+    columns = [f"s{k}" for k in range(SHARES)]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most=SLICE):
             sets = shingle_sets(texts(part.column("text")), shingle)
             prints = [fingerprint(s) for s in sets]
-            values, counts = signatures(sets, threshold)
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.record_batch(
                 [
                     part.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([f[0] for f in prints], pa.int64()),
                     pa.array([f[1] for f in prints], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)),
+                    pa.array([_sketch(s) for s in sets], pa.binary()),
+                    *_shares(*signatures(sets, threshold)),
                 ],
-                names=["doc_id", "n", "f1", "f2", "signatures"],
+                names=["doc_id", "n", "f1", "f2", "sketch", *columns],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    return rows.mapInArrow(describe, f"doc_id {kind}, n long, f1 long, f2 long, signatures array<long>")
+    signed = ", ".join(f"{s} array<long>" for s in columns)
+    return rows.mapInArrow(describe, f"doc_id {kind}, n long, f1 long, f2 long, sketch binary, {signed}")
 
 
 def _groups(described: DataFrame) -> DataFrame:
     """(g, u, n): the signatures that more than one class has, with their classes."""
     c = F.col
-    rows = described.where("n > 0").select(F.explode("signatures").alias("g"), c("f1").alias("u"), "n")
-    # A window has both in one shuffle; counts that are joined back take a second one of all signatures.
-    same = Window.partitionBy("g")
-    shared = rows.withColumns({"a": F.min("u").over(same), "b": F.max("u").over(same)}).where(c("a") != c("b"))
-    return kept(shared.select("g", "u", "n").distinct(), "jaccard-groups")
+    found = []
+    for k in range(SHARES):
+        rows = described.where("n > 0").select(F.explode(f"s{k}").alias("g"), c("f1").alias("u"), "n")
+        # A window has both in one shuffle; counts that are joined back take a second one of all signatures.
+        same = Window.partitionBy("g")
+        shared = rows.withColumns({"a": F.min("u").over(same), "b": F.max("u").over(same)}).where(c("a") != c("b"))
+        found.append(kept(shared.select("g", "u", "n").distinct(), "jaccard-groups"))
+    return reduce(DataFrame.union, found)
+
 
+def _verified(pairs: DataFrame, docs: DataFrame, wanted: DataFrame, whole: int, shingle: int, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) whose sets are linked. wanted: u, first_id and n of their classes; whole: the tokens of all documents.
 
-def _verified(pairs: DataFrame, tokens: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) whose sets are linked."""
+    Sets are large beside pairs, so only those of pairs are made, and in as many passes as keep the tokens of one pass a
+    part of the input, however many pairs there are. What a pass leaves on disk goes before the next one.
+    """
     a, b = threshold
     c = F.col
-    return (
-        pairs.join(tokens.select("u", "toks"), "u")
-        .join(tokens.select(c("u").alias("v"), c("toks").alias("other")), "v")
-        .withColumn("both", F.size(F.array_intersect("toks", "other")))
-        .where(b * c("both") >= a * (F.size("toks") + F.size("other") - c("both")))
-        .select("u", "v")
-    )
+    size = wanted.select("u", "n")
+    met = pairs.join(size, "u").join(size.select(c("u").alias("v"), c("n").alias("m")), "v")
+    carried = met.agg(F.sum(c("n") + c("m"))).first()[0]
+    if not carried:
+        return pairs.select("u", "v")
+    passes, found = -(-carried // max(PASS_TOKENS, whole // PASS_SHARE)), []
+    for turn in range(passes):
+        some = pairs.where(F.pmod(F.xxhash64("u"), F.lit(passes)) == turn)
+        ends = some.select("u").union(some.select("v")).distinct()
+        with noted() as paths:
+            tokens = _tokens_of(docs, kept(wanted.join(ends, "u", "left_semi").select("u", "first_id"), "jaccard-wanted"), shingle)
+        linked = (
+            some.join(tokens, "u")
+            .join(tokens.select(c("u").alias("v"), c("toks").alias("other")), "v")
+            .withColumn("both", F.size(F.array_intersect("toks", "other")))
+            .where(b * c("both") >= a * (F.size("toks") + F.size("other") - c("both")))
+        )
+        found.append(kept(linked.select("u", "v"), "jaccard-verified"))
+        remove(pairs.sparkSession, paths)
+    return reduce(DataFrame.union, found)
 
 
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -266,17 +303,23 @@ def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, threshold: tu
     if not 0 < a < b:
         raise ValueError("threshold is a / b with 0 < a < b")
     docs = docs.select("doc_id", "text")
-    described = kept(_described(docs, shingle, threshold), "jaccard-documents")
+    with noted() as signed_paths:
+        signed = kept(_described(docs, shingle, threshold), "jaccard-signatures")
+    described = kept(signed.select("doc_id", "n", "f1", "f2"), "jaccard-documents")
     sets = kept(
         described.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first_id")).withColumnRenamed("f1", "u"),
         "jaccard-classes",
     )
-    held = _groups(described)
-    needed = kept(sets.select("u", "first_id").join(held.select("u").distinct(), "u"), "jaccard-needed")
-    tokens = kept(_tokens_of(docs, needed, shingle), "jaccard-tokens")
-    sketches = tokens.select("u", "n", "sketch")
+    held = _groups(signed)
+    needed = kept(sets.select("u", "first_id", "n").join(held.select("u").distinct(), "u"), "jaccard-needed")
+    # All rows of a class have one sketch.
+    sketches = signed.select(c("f1").alias("u"), "n", "sketch").join(needed.select("u"), "u").dropDuplicates(["u"])
+    sketches = kept(sketches, "jaccard-sketches")
+    # From here on the signatures are only disk.
+    remove(docs.sparkSession, signed_paths)
+    whole = described.agg(F.sum("n")).first()[0] or 0
     left = held.withColumn("label", c("u"))
-    links = tokens.select("u", c("u").alias("v")).limit(0)
+    links = needed.select("u", c("u").alias("v")).limit(0)
     for turn in range(ROUNDS):
         # The same few classes come first in most of their groups, so a pair comes up in many groups and is compared once.
         first = left.groupBy("g").agg(F.min(F.struct(F.xxhash64("u", F.lit(turn)).alias("h"), "u", "n", "label")).alias("p"))
@@ -284,7 +327,7 @@ def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, threshold: tu
         pairs = met.where((c("label") != c("p.label")) & _long_enough("n", "p.n", threshold))
         pairs = pairs.select(F.least("u", "p.u").alias("u"), F.greatest("u", "p.u").alias("v")).distinct()
         pairs = kept(_possible(pairs, sketches, threshold), "jaccard-pairs")
-        links = kept(links.union(_verified(pairs, tokens, threshold)), "jaccard-links")
+        links = kept(links.union(_verified(pairs, docs, needed, whole, shingle, threshold)), "jaccard-links")
         # The first one is through with its group.
         left = _labelled(met.select("g", "u", "n"), links)
 
@@ -297,7 +340,7 @@ def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, threshold: tu
     families = kept(families.join(family_of.groupBy(c("component").alias("g")).agg(F.count(F.lit(1)).alias("size")), "g"), "jaccard-sketches")
     candidates = _near_in_groups(families.where(c("size") <= SMALL), threshold).union(_near_in_blocks(families.where(c("size") > SMALL), threshold))
     candidates = kept(candidates.distinct(), "jaccard-candidates")
-    links = kept(links.union(_verified(candidates, tokens, threshold)).distinct(), "jaccard-links")
+    links = kept(links.union(_verified(candidates, docs, needed, whole, shingle, threshold)).distinct(), "jaccard-links")
     ends = links.select(c("u").alias("node")).union(links.select(c("v").alias("node"))).distinct()
     component = connected_components(ends, links.select(c("u").alias("a"), c("v").alias("b")))
     named = sets.select("u", "f2", "first_id").join(component.withColumnRenamed("node", "u"), "u", "left")
@@ -337,22 +380,23 @@ def _perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _tokens_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """u, the sorted tokens and their sketch of one text of each wanted class (u, first_id)."""
+    """u and the sorted tokens of one text of each wanted class (u, first_id)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most=SLICE):
             sets = shingle_sets(texts(part.column("text")), shingle)
             asked = part.column("u").to_pylist()
             same = [i for i, s in enumerate(sets) if fingerprint(s)[0] == asked[i]]
-            yield pa.record_batch(
-                [pa.array([asked[i] for i in same], pa.int64()), _lists([sets[i].view(np.int64) for i in same]), pa.array([_sketch(sets[i]) for i in same], pa.binary()), pa.array([len(sets[i]) for i in same], pa.int64())],
-                names=["u", "toks", "sketch", "n"],
-            )
+            yield pa.record_batch([pa.array([asked[i] for i in same], pa.int64()), _lists([sets[i].view(np.int64) for i in same])], names=["u", "toks"])
 
     # Texts are large: without the sieve all of them would be shuffled to meet the few wanted ids.
     some = _perhaps(docs, wanted)
     asked = some.join(wanted, some["doc_id"].eqNullSafe(wanted["first_id"])).select("u", text_or_empty().alias("text"))
-    return asked.mapInArrow(read, "u long, toks array<long>, sketch binary, n long").dropDuplicates(["u"])
+    tokens = kept(asked.mapInArrow(read, "u long, toks array<long>"), "jaccard-tokens")
+    # Only an id that several rows have gives a class twice; then the sets are shuffled once more.
+    if tokens.groupBy("u").count().where("count > 1").isEmpty():
+        return tokens
+    return kept(tokens.dropDuplicates(["u"]), "jaccard-tokens")
 
 
 def nearest_kept(docs: DataFrame, components: DataFrame) -> DataFrame:

@@ -39,7 +39,8 @@ def noted() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _open.remove(paths)
+        # By identity: lists of blocks inside each other may be equal.
+        _open[:] = [x for x in _open if x is not paths]
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:

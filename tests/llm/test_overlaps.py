@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from framelake.llm import decontaminate, jaccard, suffixes
+from framelake.llm.scratch import noted
 
 
 def ascii_lower(text):
@@ -142,6 +144,21 @@ def test_few_texts_are_shuffled_for_their_tokens(make_docs, spark):
     assert jaccard._perhaps(docs, wanted.limit(0)).count() == 0
 
 
+def test_sets_of_pairs_come_in_passes(make_docs, spark, monkeypatch):
+    """Many passes give the same components, and neither signatures nor sets of tokens are left on disk."""
+    monkeypatch.setattr(jaccard, "PASS_TOKENS", 150, raising=False)
+    monkeypatch.setattr(jaccard, "PASS_SHARE", 1_000, raising=False)
+    passes = []
+    monkeypatch.setattr(jaccard, "_tokens_of", lambda *a, f=jaccard._tokens_of: passes.append(a) or f(*a))
+    rows = [(k, t) for k, (_, t) in enumerate(near_copies(7, 2, 10, 60, 1))] + [(0, "another text of the first id")]
+    with noted() as paths:
+        got = jaccard.jaccard_components(make_docs(rows), shingle=5, threshold=(4, 5)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components_at(rows, 5, (4, 5))
+    assert len(passes) > 3
+    left = [p for p in paths if os.path.isdir(p.removeprefix("file:"))]
+    assert left and not {"s0", "toks", "signatures"} & {c for p in left for c in spark.read.parquet(p).columns}
+
+
 def test_components_odd_tables(odd_docs, make_docs):
     assert jaccard.jaccard_components(odd_docs.withColumnRenamed("lang", "n_shingles")).count() == 8
     assert jaccard.jaccard_components(make_docs([])).count() == 0
