@@ -30,6 +30,26 @@ def test_nearest_holds_tiles_and_not_all_distances():
                 assert got[c, w, i] == pytest.approx(np.sort(far[a:b])[:3])
 
 
+@pytest.mark.parametrize("tag,scaled", [(None, False), ("id", True), ("batch", True), ("batch", False)])
+def test_bounds_lose_no_neighbour(monkeypatch, tag, scaled):
+    """Bounded by products, few distances are taken, and the smallest are those of the direct search."""
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(4_000, 32)) * np.r_[0.0, rng.uniform(0.1, 50.0, size=31)]
+    vectors[7:900:7] = vectors[8]
+    points, ends = np.concatenate([vectors[:290], vectors[:10] * 100]), np.array([2, 2, 1_500, 4_000])
+    factors = (rng.uniform(0.97, 1.03, size=(300, 32, 2)) if scaled else np.ones((1, 32, 1))) / 32 / np.maximum(vectors.std(axis=0), 1e-4)[:, None]
+    own, tags = {None: (None, None), "id": (np.arange(300), np.arange(4_000)), "batch": (np.arange(300) % 4, np.arange(4_000) % 4)}[tag]
+    compared = []
+    monkeypatch.setattr(np, "lexsort", lambda keys, f=np.lexsort: compared.append(len(keys[0])) or f(keys))
+    for tile in (100, 2_048):
+        assert neighbors._boundable(points, factors, vectors)
+        got = neighbors._smallest_bounded(points, factors, vectors, ends, 3, tile, own, tags)
+        expected = neighbors._smallest(points, factors, vectors, ends, "l1", 3, 1_024, own, tags)
+        np.testing.assert_allclose(got, expected, rtol=1e-12, atol=1e-12)
+    assert sum(compared) < 0.2 * 2 * factors.shape[2] * 300 * 4_000
+    assert not neighbors._boundable(points, -factors, vectors) and not neighbors._boundable(points, factors, np.where(vectors > 60, np.nan, vectors))
+
+
 @pytest.mark.parametrize("metric,groups", [("l1", None), ("l2", None), ("l2", ([0, 0, 1], [1.0, 3.0]))])
 def test_blocks_compare_everything(spark, monkeypatch, metric, groups):
     monkeypatch.setattr(neighbors, "SENT_ROWS", 7)
