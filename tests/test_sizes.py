@@ -169,3 +169,23 @@ def test_overlaps_of_a_crowded_key_without_rows_of_pairs(spark, block):
             if f == g and i != j and min(w * h, p * q) > 1e-6:
                 want = max(want, max(min(x + w, u + p) - max(x, u), 0) * max(min(y + h, v + q) - max(y, v), 0) / min(w * h, p * q))
         assert got[f, i] == pytest.approx(want)
+
+
+def test_dense_boxes_are_sent_once(spark, monkeypatch):
+    """Boxes covered fully by one near them are not sent to every block of their cell, and the rest is compared with all."""
+    rng = np.random.default_rng(11)
+    rows = [(1, i, *map(float, rng.integers(0, 40, 2)), *map(float, rng.integers(1, 40, 2))) for i in range(1_500)]
+    rows += [(1, 1_500, 500.0, 0.0, 4.0, 4.0), (1, 1_501, 502.0, 1.0, 4.0, 4.0)]
+    df = spark.createDataFrame(rows, "f int, id int, x double, y double, w double, h double")
+    sent = []
+    monkeypatch.setattr(boxes, "_dealt", lambda d, *by, f=boxes._dealt: sent.append(d.count()) or f(d, *by))
+    got = {r["id"]: r["overlap"] for r in boxes.max_overlap(df, ["f"], cell=1_000.0, block=200).collect()}
+    assert max(sent) < 2 * len(rows), "each row went to all eight blocks"
+    assert got[1_500] == got[1_501] == pytest.approx(2 * 3 / 16)
+    x, y, w, h = np.array([r[2:] for r in rows]).T
+    for i in range(0, 1_500, 50):
+        wide = np.minimum(x[i] + w[i], x + w) - np.maximum(x[i], x)
+        high = np.minimum(y[i] + h[i], y + h) - np.maximum(y[i], y)
+        share = np.maximum(wide, 0) * np.maximum(high, 0) / np.minimum(w[i] * h[i], w * h)
+        share[i] = 0
+        assert got[i] == pytest.approx(share.max())
